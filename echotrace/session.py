@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDERS: set[str] = set()
+
 
 def build_session(app: str = "echotrace", master: str = "local[*]", **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC timestamps; `conf` adds or overrides settings."""
@@ -43,7 +47,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder, so that later stages survive lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _work_folder(spark: SparkSession) -> str:
+    """This application's folder of intermediate tables inside the shared checkpoint folder; removed at exit."""
+    ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    folder = f"{sc.getCheckpointDir()}/tables-{sc.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(drop_path, spark, folder)
+    return folder
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system holds it; a stopped session or a missing folder is no error."""
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:
+        pass
+
+
+def cut_lineage(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Write `df` as a table in the shared checkpoint folder and read it back, so later stages survive lost executors.
+
+    A written table is compact and, unlike checkpoint(), carries no inferred constraints into the next plan, whose number
+    would grow exponentially over the rounds of a loop. With `keep`, the table's path is appended to it, for drop_path.
+    """
+    spark = df.sparkSession
+    path = f"{_work_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if keep is not None:
+        keep.append(path)
+    return spark.read.schema(df.schema).parquet(path)
