@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import components
+from . import components, spans
 
-_MODULES = (components,)
+_MODULES = (components, spans)
 
 
 def queries() -> dict:
