@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import components, spans
+from . import components, neardup, spans
 
-_MODULES = (components, spans)
+_MODULES = (components, spans, neardup)
 
 
 def queries() -> dict:
