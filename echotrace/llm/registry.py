@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import components, neardup, spans
+from . import codefiles, components, neardup, spans
 
-_MODULES = (components, spans, neardup)
+_MODULES = (components, spans, neardup, codefiles)
 
 
 def queries() -> dict:
