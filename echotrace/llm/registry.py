@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import codefiles, components, neardup, spans
+from . import codefiles, components, neardup, residue, spans
 
-_MODULES = (components, spans, neardup, codefiles)
+_MODULES = (components, spans, neardup, codefiles, residue)
 
 
 def queries() -> dict:

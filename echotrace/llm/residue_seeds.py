@@ -1,0 +1,72 @@
+"""Fixed training phrases for residue: what unfilled templates, filler and server or browser notices commonly look like."""
+
+from __future__ import annotations
+
+from itertools import product
+
+# Common wording, grouped by language.
+FILLER = """
+Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
+Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.
+Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.
+Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.
+Placeholder text. Placeholder copy. Replace before publishing. This text is a placeholder and will be replaced.
+Sample text for layout only. Dummy text goes here. Filler text, to be replaced. Body copy goes here. Your text here.
+Our dummy wording checks the width of the column. This is sample wording to fill the page. Test paragraph, please ignore.
+Dies ist Blindtext. Blindtext, bitte ersetzen. Platzhaltertext für das Layout. Hier steht später der richtige Text. Mustertext, wird noch ersetzt.
+Texte fictif pour la mise en page, à remplacer. Faux texte. Texte de remplissage. Ceci est un texte provisoire. Votre texte ici.
+Texto de relleno para la maqueta. Texto ficticio, se sustituirá. Texto de ejemplo. Aquí va el texto. Texto provisional pendiente de sustituir.
+""".strip().split("\n")
+
+ERRORS = """
+404 Not Found. The requested URL was not found on this server. The requested document could not be located on this server.
+Error 404: page not found. The page you requested does not exist. This page does not exist on this server. Return to the start page.
+The page you are looking for might have been removed, had its name changed, or is temporarily unavailable. This page is no longer available.
+403 Forbidden. You don't have permission to access this resource. Access denied. You do not have permission to view this page.
+500 Internal Server Error. The server encountered an internal error and was unable to complete your request. Something went wrong.
+502 Bad Gateway. nginx. 503 Service Unavailable. 503 Service Temporarily Unavailable. 504 Gateway Time-out. The server did not respond in time.
+The service is temporarily unavailable. Please try again later. The document is temporarily offline. The request timed out. This document timed out.
+That file was moved without a forwarding address. That document cannot be displayed. That file cannot be found. The file has been moved or deleted.
+429 Too Many Requests. You have been rate limited; wait 30 seconds. Request id 4f2a91. Incident 95626f0d. status 97.
+Your session has expired. Please log in again. The connection was reset. Could not connect to the database. Database error.
+Warning: include(page.inc): failed to open stream: No such file or directory in /srv/www/index.php on line 12. Fatal error: Uncaught exception. Traceback (most recent call last):
+Checking your browser before granting access. Please complete the security check. Are you a robot? Ray ID.
+Seite nicht gefunden. Die angeforderte Seite existiert nicht oder wurde verschoben. Fehler 404. Interner Serverfehler. Zugriff verweigert.
+Der Dienst ist derzeit nicht verfügbar. Bitte versuchen Sie es später erneut. Zeitüberschreitung der Anfrage. Die Datei wurde nicht gefunden.
+Page introuvable. Erreur 404 : la page demandée est introuvable. La page demandée n'existe pas. Accès refusé. Erreur interne du serveur.
+Le service est momentanément indisponible. Veuillez réessayer plus tard. Délai d'attente dépassé. Le document a été déplacé ou supprimé.
+Página no encontrada. Error 404: la página solicitada no existe. La página que busca no existe o ha sido movida. Acceso denegado. Error interno del servidor.
+El servicio no está disponible temporalmente. Inténtelo de nuevo más tarde. Tiempo de espera agotado. El documento ha sido trasladado.
+""".strip().split("\n")
+
+_SCRIPT_EN = [
+    f"{a}{v} {o}{t}"
+    for a, v, o, t in product(
+        ("Please ", "You must ", "You need to ", "Kindly ", "To continue, "),
+        ("enable", "activate", "turn on", "switch on", "allow"),
+        ("JavaScript", "JS", "scripts", "scripting", "client-side scripts", "script execution", "scripts and cookies"),
+        (" to view this page.", " in your browser.", " and reload.", " for this site.", ", then refresh."),
+    )
+]
+SCRIPTS = _SCRIPT_EN[::7] + """
+This page requires JavaScript. This site needs JavaScript to work. JavaScript is disabled in your browser. JavaScript is required.
+Your browser does not support scripts, so the page cannot be shown. Turn it on in your browser settings and reload. Scripts and cookies must be on.
+You need to have scripts enabled to read this page. In order to read this page enable JS. For the full text turn on scripts in your browser (see your browser's help).
+<noscript>Please enable JavaScript.</noscript> noscript: the reader needs JS to run. <noscript>You must switch on scripts.</noscript>
+Loading… If nothing appears, allow scripts and cookies for this site. We use cookies. You must accept cookies to continue. Cookies must be enabled.
+Bitte aktivieren Sie JavaScript. Bitte schalten Sie JavaScript ein, um diese Seite anzuzeigen. Für diese Ansicht werden Skripte benötigt. Diese Seite benötigt JavaScript. Ihr Browser unterstützt keine Skripte.
+Veuillez activer JavaScript pour afficher cette page. Cette page nécessite JavaScript. JavaScript est désactivé dans votre navigateur. Activez les scripts et les cookies.
+Active JavaScript en su navegador para leer esta página. Esta página requiere JavaScript. Debe habilitar JavaScript. Habilite las secuencias de comandos y las cookies.
+""".strip().split("\n")
+
+_OPEN_CLOSE = [("{{", "}}"), ("{{ ", " }}"), ("{", "}"), ("{% ", " %}"), ("<%= ", " %>"), ("<<", ">>"), ("[[", "]]"), ("@@", "@@"), ("__", "__"), ("%", "%"), ("$", "$"), ("${", "}"), ("#{", "}"), ("&&", ";"), ("?", "?")]
+_FIELDS = [("first", "name"), ("speaker", "name"), ("user", "id"), ("agenda", "title"), ("vote", "date"), ("party", "abbr"), ("page", "number"), ("body", "text"), ("member", "place"), ("item", "count"), ("nombre", "orador"), ("titre", "page"), ("redner", "name"), ("motion", "role"), ("minister", "party"), ("session", "title")]
+_STYLES = [lambda a, b: f"{a}_{b}", lambda a, b: f"{a}.{b}", lambda a, b: f"{a}-{b}", lambda a, b: f"{a}{b.title()}", lambda a, b: f"{a.title()} {b.title()}", lambda a, b: f"{a}_{b}".upper(), lambda a, b: f"{a} {b}".upper(), lambda a, b: a]
+SLOTS = [f" {o}{s(a, b)}{c} " for (o, c), (a, b), s in product(_OPEN_CLOSE, _FIELDS, _STYLES)]
+SLOTS += 40 * """
+ [INSERT NAME HERE] [Insert title here] [INSERT NAME OF MEMBER] [TO BE COMPLETED] [TO BE CONFIRMED] [insert date] [Your name] [NAME OF SPEAKER] <INSERT TEXT> <ENTER NAME> <ENTER AGENDA ITEM>
+ TODO: text of speech TODO: fill in TBD TBC XXXXX (XX) XXXX undefined undefined (undefined) undefined NULL NULL (NULL) null null [object Object] NaN NaN None None (None) (null) UNDEFINED NOT SET
+ [nombre del orador] [insertar texto aquí] [nom de l'orateur] [insérer le texte ici] [Name des Redners] [hier Text einfügen] [Name einsetzen] [à compléter] [por completar]
+""".strip("\n").split("\n")
+
+SEEDS = {"slot": SLOTS, "filler": FILLER, "notice": ERRORS + SCRIPTS}
