@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import codefiles, components, neardup, residue, spans
+from . import codefiles, components, mixing, neardup, packing, residue, spans
 
-_MODULES = (components, spans, neardup, codefiles, residue)
+_MODULES = (components, spans, neardup, codefiles, packing, mixing, residue)
 
 
 def queries() -> dict:
