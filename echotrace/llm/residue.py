@@ -13,6 +13,7 @@ Model tables have a fixed size (ORDER * TABLE counts), so what is gathered doesn
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from ..session import cut_lineage, table
 from .residue_seeds import SEEDS
 
 ORDER = 5
-TABLE = 1 << 19
+TABLE = 1 << 18
 #: Strength of the next shorter context in each estimate.
 BACKOFF = 3.0
 #: Sequences that make up less than these shares of all characters count as unknown to prose: residue stands in the documents
@@ -81,7 +82,7 @@ def _grams(a: np.ndarray, case: bool = True) -> list[np.ndarray]:
         prev[n:] = a[: len(a) - n]
         h = (h * np.uint64(0x100000001B3)) ^ (prev + np.uint64(1 + n))
         m = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append((m >> np.uint64(64 - 19)).astype(np.int64))
+        out.append((m >> np.uint64(64 - 18)).astype(np.int64))
     return out
 
 
@@ -184,23 +185,47 @@ def verdicts(j: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _small(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype("<i8").tobytes(), 1)
+
+
+def _large(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), dtype="<i8")
+
+
+def _send(spark: SparkSession, models: dict[str, np.ndarray]):
+    """Broadcast the models compressed, as most of their cells are empty."""
+    return spark.sparkContext.broadcast({k: zlib.compress(np.minimum(m, 2**31 - 1).astype("<i4").tobytes(), 1) for k, m in models.items()})
+
+
+_OPENED: dict = {}
+
+
+def _open(sent) -> dict[str, np.ndarray]:
+    """A worker's models, unpacked once."""
+    if sent.value is not _OPENED.get("of"):
+        _OPENED.clear()
+        _OPENED.update({"of": sent.value, "models": {k: np.frombuffer(zlib.decompress(m), dtype="<i4").reshape(2 * ORDER, TABLE) for k, m in sent.value.items()}})
+    return _OPENED["models"]
+
+
 def _packed(total: np.ndarray, name: str) -> pd.DataFrame:
     """Non-empty blocks of a table of counts."""
     flat = total.reshape(-1, _BLOCK)
     keep = np.flatnonzero(flat.any(axis=1))
-    return pd.DataFrame({"name": name, "block": keep.astype(np.int64), "counts": [flat[i].astype("<i8").tobytes() for i in keep]})
+    return pd.DataFrame({"name": name, "block": keep.astype(np.int64), "counts": [_small(flat[i]) for i in keep]})
 
 
 def _gather(parts: DataFrame) -> dict[str, np.ndarray]:
     """Sum the tasks' blocks of counts; the sums have a fixed size whatever the input."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = sum(np.frombuffer(b, dtype="<i8") for b in pdf["counts"])
-        return pd.DataFrame({"name": [pdf["name"].iloc[0]], "block": [pdf["block"].iloc[0]], "counts": [s.tobytes()]})
+        s = sum(_large(b) for b in pdf["counts"])
+        return pd.DataFrame({"name": [pdf["name"].iloc[0]], "block": [pdf["block"].iloc[0]], "counts": [_small(s)]})
 
     out: dict[str, np.ndarray] = {}
     for r in parts.groupBy("name", "block").applyInPandas(add, "name string, block bigint, counts binary").toLocalIterator():
-        out.setdefault(r.name, np.zeros((2 * ORDER * TABLE // _BLOCK, _BLOCK), dtype=np.int64))[r.block] = np.frombuffer(r.counts, dtype="<i8")
+        out.setdefault(r.name, np.zeros((2 * ORDER * TABLE // _BLOCK, _BLOCK), dtype=np.int64))[r.block] = _large(r.counts)
     return {k: v.reshape(2 * ORDER, TABLE) for k, v in out.items()}
 
 
@@ -245,7 +270,7 @@ def sure_counts(docs: DataFrame, models) -> dict[str, np.ndarray]:
         total = {k: np.zeros((2 * ORDER, TABLE), dtype=np.int64) for k in LEARNED}
         for pdf in batches:
             for lo in range(0, len(pdf), 500):
-                parts, _, j = _judged(pdf.iloc[lo : lo + 500], models.value)
+                parts, _, j = _judged(pdf.iloc[lo : lo + 500], _open(models))
                 for k, c in sure(parts, j).items():
                     total[k] += c
         for k, t in total.items():
@@ -271,7 +296,7 @@ def fit(docs: DataFrame) -> dict[str, np.ndarray]:
     """All models, after the second round."""
     spark = docs.sparkSession
     start = seed_models() | prose_counts(docs)
-    return learned(start, sure_counts(docs, spark.sparkContext.broadcast(start)))
+    return learned(start, sure_counts(docs, _send(spark, start)))
 
 
 def residue(docs: DataFrame, per_batch: int = 500) -> DataFrame:
@@ -280,13 +305,13 @@ def residue(docs: DataFrame, per_batch: int = 500) -> DataFrame:
     Empty and null texts have no residue; a repeated doc_id is judged by any of its rows.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
-    models = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    models = _send(docs.sparkSession, fit(docs))
 
     def run(batches):
         for pdf in batches:
             for lo in range(0, len(pdf), per_batch):
                 part = pdf.iloc[lo : lo + per_batch]
-                _, own, j = _judged(part, models.value)
+                _, own, j = _judged(part, _open(models))
                 v = verdicts(j)
                 n = len(part)
                 add = lambda x: np.bincount(own, weights=x, minlength=n)
