@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import buckets
+from . import buckets, files
 
-_MODULES = (buckets,)
+_MODULES = (buckets, files)
 
 
 def queries() -> dict:
