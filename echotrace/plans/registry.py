@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import buckets, files
+from . import buckets, clones, files, text
 
-_MODULES = (buckets, files)
+_MODULES = (buckets, files, text, clones)
 
 
 def queries() -> dict:
