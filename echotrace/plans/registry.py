@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import buckets, clones, files, text
+from . import buckets, clones, detect, files, text
 
-_MODULES = (buckets, files, text, clones)
+_MODULES = (buckets, files, text, clones, detect)
 
 
 def queries() -> dict:
