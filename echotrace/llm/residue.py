@@ -29,6 +29,8 @@ BACKOFF = 3.0
 #: Sequences that make up less than these shares of all characters count as unknown to prose: residue stands in the documents
 #: that the prose model is fitted on. RARE for phrases, OFTEN and SELDOM for shapes, FOREIGN for filler in no language of the corpus.
 RARE, OFTEN, SELDOM, FOREIGN = 2e-6, 2e-5, 5e-6, 2e-5
+#: In a small collection, sequences seen no more often than this are unknown as well.
+SEEN = 2.0
 #: Filler or notice: a piece of MIN_PIECE characters or more whose mean ratio reaches PIECE_LEVEL, with COVERAGE of it in windows above LEVEL.
 #: Shorter pieces need SHORT / length more.
 WINDOW, LEVEL, COVERAGE, MIN_PIECE, PIECE_LEVEL, SHORT = 24, 0.35, 0.8, 12, 0.9, 6.0
@@ -108,9 +110,9 @@ def counts_of(parts: list[str]) -> np.ndarray:
 def log_probs(model: np.ndarray, grams: list[np.ndarray], ctx: list[np.ndarray], rare: float = 0.0) -> np.ndarray:
     """log P of each byte after the ones before it, shorter contexts backing up longer ones.
 
-    Counts of two and more characters are lowered by `rare` per character of the training text.
+    With `rare`, counts of two and more characters are lowered by that share of the training text, or SEEN if that is more.
     """
-    cut = rare * model[ORDER, 0]
+    cut = max(rare * model[ORDER, 0], SEEN) if rare else 0.0
     p = (model[0][grams[0]] + 0.5) / (model[ORDER, 0] + 128.0)
     for n in range(1, ORDER):
         p = (np.maximum(model[n][grams[n]] - cut, 0.0) + BACKOFF * p) / (np.maximum(model[ORDER + n][ctx[n - 1]] - cut, 0.0) + BACKOFF)
