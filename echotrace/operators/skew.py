@@ -53,3 +53,11 @@ def rank_within(df: DataFrame, key: str, order: str, salts: int = SALTS) -> Data
         .withColumn("rank", (F.col("_n") + F.col("_start")).cast("bigint"))
         .drop("_part", "_n", "_start")
     )
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition on `key` into spark.sql.shuffle.partitions parts that adaptive execution leaves alone.
+
+    For stages whose cost is work per row, not bytes: few bytes would be coalesced into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

@@ -16,6 +16,7 @@ from ..functions.languages import BY_EXTENSION
 from ..functions.paths import slashed
 from ..operators.labels import smallest_labels
 from ..operators.matching import greedy_matching
+from ..operators.skew import spread
 from ..session import cut_lineage, table
 
 #: Defaults of a scan (fixed values): window length, least lines of a clone, and the share of lines that makes a clone redundant.
@@ -64,14 +65,17 @@ def lex_files(files: DataFrame, whole_file: bool = True) -> DataFrame:
                 out.append((f, r, p, k, [symbol(t, not i) for t, i in zip(tokens, inside)], before))
             yield pd.DataFrame(out, columns=["file_id", "run_id", "path", "k", "sym", "scope"])
 
-    return files.select("file_id", "run_id", "path", "text", "k").mapInPandas(run, _LEXED)
+    return spread(files.select("file_id", "run_id", "path", "text", "k"), "file_id").mapInPandas(run, _LEXED)
 
 
 def window_rows(lexed: DataFrame) -> DataFrame:
     """(run_id, file_id, path, pos, h, k): hashes of all windows of k tokens that are in scope throughout."""
-    ok = F.expr("filter(sequence(0, size(sym) - k), i -> scope[i + k] = scope[i])")
-    w = lexed.where(F.size("sym") >= F.col("k")).select("run_id", "file_id", "path", "k", "sym", F.explode(ok).alias("pos"))
-    return w.select("run_id", "file_id", "path", "k", "pos", F.expr("xxhash64(run_id, slice(sym, pos + 1, k))").alias("h"))
+    w = F.expr(
+        "transform(filter(sequence(0, size(sym) - k), i -> scope[i + k] = scope[i]), "
+        "i -> struct(i AS pos, xxhash64(run_id, slice(sym, i + 1, k)) AS h))"
+    )
+    fit = lexed.where(F.size("sym") >= F.col("k"))
+    return fit.select("run_id", "file_id", "path", "k", F.explode(w).alias("w")).select("run_id", "file_id", "path", "k", "w.pos", "w.h")
 
 
 def sweep(rows: pd.DataFrame) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -128,7 +132,7 @@ def exact_clones(files: DataFrame, whole_file: bool = True) -> DataFrame:
     """
     from ..functions import lexer
 
-    w = window_rows(lex_files(files, whole_file))
+    w = window_rows(cut_lineage(lex_files(files, whole_file)))
     rep = cut_lineage(w.join(w.groupBy("h").count().where("count > 1").select("h"), "h", "left_semi"))
     by = Window.partitionBy("file_id").orderBy("pos")
     runs = rep.withColumn("g", F.col("pos") - F.row_number().over(by)).withColumn("node", F.xxhash64("file_id", "g"))
@@ -144,7 +148,7 @@ def exact_clones(files: DataFrame, whole_file: bool = True) -> DataFrame:
             rows += [(pdf["run_id"].iloc[0], f"{starts[0][0]}:{starts[0][1]}", i, f, x, size) for i, (f, x) in enumerate(starts)]
         return pd.DataFrame(rows, columns=["run_id", "clone", "no", "file_id", "pos", "size"])
 
-    places = parts.groupBy("label").applyInPandas(per_part, "run_id int, clone string, no int, file_id int, pos int, size int")
+    places = spread(parts, "label").groupBy("label").applyInPandas(per_part, "run_id int, clone string, no int, file_id int, pos int, size int")
 
     def describe(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -161,7 +165,7 @@ def exact_clones(files: DataFrame, whole_file: bool = True) -> DataFrame:
         return pd.DataFrame(rows, columns=["run_id", "clone", "no", "file_id", "path", "start_line", "end_line", "function", "hash", "full", "size"])
 
     texts = files.select(F.col("file_id").alias("fid"), "path", "text")
-    inst = places.join(texts, places.file_id == texts.fid).drop("fid").groupBy("file_id").applyInPandas(
+    inst = spread(places.join(texts, places.file_id == texts.fid).drop("fid"), "file_id").groupBy("file_id").applyInPandas(
         describe, "run_id int, clone string, no int, file_id int, path string, start_line int, end_line int, function string, hash string, full string, size int"
     )
     order = F.array_sort(F.collect_list(F.struct("no", "file_id", "path", "start_line", "end_line", "function", "hash", "full")))
