@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import buckets, clones, detect, files, text
+from . import buckets, clones, deadcode, detect, files, text
 
-_MODULES = (buckets, files, text, clones, detect)
+_MODULES = (buckets, files, text, clones, detect, deadcode)
 
 
 def queries() -> dict:
