@@ -51,12 +51,14 @@ def block_sets(blocks: DataFrame, runs: DataFrame) -> DataFrame:
 
 def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(representatives, membership): equal sets of a run become one class, named by its smallest block."""
-    reps = cut_lineage(sets.groupBy("run_id", "s").agg(F.min("block_id").alias("rep"), F.max("t").alias("t"), F.count(F.lit(1)).alias("copies")))
-    named = reps.select("run_id", "s", "rep")
-    # Copies of one set, however many, meet one row: the class row is repeated for each salt.
+    keyed = sets.withColumn("key", F.sha2(F.to_json(F.struct("run_id", "s")), 256))
+    reps = cut_lineage(
+        keyed.groupBy("key").agg(F.min("block_id").alias("rep"), F.first("run_id").alias("run_id"), F.first("s").alias("s"), F.max("t").alias("t"), F.count(F.lit(1)).alias("copies"))
+    )
+    # Copies of one set, however many, meet one short row: it is repeated for each salt.
     salts = 16
-    members = sets.withColumn("_salt", F.pmod(F.xxhash64("block_id"), F.lit(salts)).cast("int")).join(
-        named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["run_id", "s", "_salt"]
+    members = keyed.select("block_id", "key", F.pmod(F.xxhash64("block_id"), F.lit(salts)).cast("int").alias("_salt")).join(
+        reps.select("key", "rep", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")), ["key", "_salt"]
     ).select("block_id", "rep")
     return reps, cut_lineage(members)
 
@@ -64,11 +66,12 @@ def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 def popcounts(s: Column, segments: int = SEGMENTS) -> Column:
     """The coarse embedding: members of `s` per segment."""
     seg = F.transform(s, lambda x: F.pmod(F.xxhash64(x), F.lit(segments)))
-    return F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda i: F.size(F.filter(seg, lambda y: y == i)))
+    # Counts are capped at what a byte holds, which can only lower a distance.
+    return F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda i: F.least(F.size(F.filter(seg, lambda y: y == i)), F.lit(127)).cast("tinyint"))
 
 
 def manhattan(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, x: acc + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda acc, x: acc + x)
 
 
 def similar_classes(reps: DataFrame) -> DataFrame:
