@@ -212,8 +212,10 @@ def score_files(files: DataFrame, models) -> DataFrame:
 
 
 def sample_of(files: DataFrame) -> pd.DataFrame:
-    """At most SAMPLE_ROWS rows in the order of a hash of their id."""
-    return files.select("file_id", "file_path", "src_text", "run_id").orderBy(F.xxhash64("file_id"), "file_id").limit(SAMPLE_ROWS).toPandas().drop_duplicates("file_id")
+    """At most SAMPLE_ROWS files in the order of a hash of their id: the ids are chosen first, then their texts are fetched."""
+    ids = files.select("file_id").distinct().orderBy(F.xxhash64("file_id"), "file_id").limit(SAMPLE_ROWS)
+    rows = files.select("file_id", "file_path", "src_text", "run_id").join(F.broadcast(ids), "file_id", "left_semi")
+    return rows.toPandas().sort_values(["file_id", "file_path"]).drop_duplicates("file_id").reset_index(drop=True)
 
 
 def not_hand_written(files: DataFrame) -> DataFrame:
