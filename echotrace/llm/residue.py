@@ -34,13 +34,17 @@ SEEN = 2.0
 #: Filler or notice: a piece of MIN_PIECE characters or more whose mean ratio reaches PIECE_LEVEL, with COVERAGE of it in windows above LEVEL.
 #: Shorter pieces need SHORT / length more.
 WINDOW, LEVEL, COVERAGE, MIN_PIECE, PIECE_LEVEL, SHORT = 24, 0.35, 0.8, 12, 0.9, 6.0
+#: With so strong a mean ratio, so much coverage is enough.
+STRONG = (1.3, 0.5)
+#: Pieces below SHORT_PIECE characters are covered by windows of NARROW: a known phrase with a rare name is prose.
+SHORT_PIECE, NARROW = 44, 8
 #: Filler in invented words: so long a piece with such a mean ratio against FOREIGN prose.
 LONG_PIECE, FOREIGN_LEVEL = 60, 2.5
 #: A slot: its best window of words, or of shapes, or of both together, reaches this mean ratio.
 WORD_WINDOW, SHAPE_WINDOW, MIN_SLOT = 12, 5, 8
 WORD_LEVEL, SHAPE_LEVEL, BOTH_LEVELS = 2.2, 2.2, (1.8, 1.0)
 #: Mean ratio of a whole piece from which the second round learns it.
-SURE = 1.3
+SURE = 1.8
 
 KINDS = ("slot", "filler", "notice")
 LEARNED = ("filler", "notice")
@@ -143,13 +147,18 @@ class _Ratio:
         self.inside[self.first - 1] = False
         self.prose, self.base = models[prose], {}
 
-    def __call__(self, kind: str, width: int, rare: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, kind: str, width: int, rare: float, narrow: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per piece: the mean ratio, the share of characters in windows above LEVEL, and the best window."""
         if rare not in self.base:
             self.base[rare] = log_probs(self.prose, self.grams, self.ctx, rare)
         r = np.where(self.inside, log_probs(self.models[kind], self.grams, self.ctx) - self.base[rare], 0.0)
-        means, sums = _means(np.clip(r, -6.0, 6.0), self.start, self.end, width)
-        hot = np.r_[0, np.cumsum((means > LEVEL) & self.inside)]
+        r = np.clip(r, -6.0, 6.0)
+        means, sums = _means(r, self.start, self.end, width)
+        close = means
+        if narrow:  # windows as wide as a short piece would all be alike
+            short = self.end - self.start < SHORT_PIECE
+            close = np.where(short, _means(r, self.start, self.end, narrow)[0], means)
+        hot = np.r_[0, np.cumsum((close > LEVEL) & self.inside)]
         best = np.maximum.reduceat(np.where(self.inside, means, -9.0), self.first - 1)
         n = np.maximum(self.size, 1)
         return (sums[self.last] - sums[self.first]) / n, (hot[self.last] - hot[self.first]) / n, best
@@ -165,7 +174,7 @@ def judge(parts: list[str], models: dict[str, np.ndarray]) -> pd.DataFrame:
     words, forms = _Ratio(parts, models, "prose"), _Ratio(shapes(parts), models, "prose_shape")
     out = {"size": words.size}
     for k in ("filler", "notice"):
-        out[k], out[k + "_cover"], _ = words(k, WINDOW, RARE)
+        out[k], out[k + "_cover"], _ = words(k, WINDOW, RARE, NARROW)
     out["foreign"] = words("filler", WINDOW, FOREIGN)[0]
     out["slot"] = words("slot", WORD_WINDOW, RARE)[2]
     out["form_often"] = forms("slot_shape", SHAPE_WINDOW, OFTEN)[2]
@@ -176,7 +185,9 @@ def judge(parts: list[str], models: dict[str, np.ndarray]) -> pd.DataFrame:
 def verdicts(j: pd.DataFrame) -> pd.DataFrame:
     """Which pieces are residue of which kind."""
     long = j["size"] >= MIN_PIECE
-    found = lambda k: long & (j[k + "_cover"] >= COVERAGE) & (j[k] >= PIECE_LEVEL + SHORT / np.maximum(j["size"], 1))
+    level = PIECE_LEVEL + SHORT / np.maximum(j["size"], 1)
+    full = lambda k: (j[k + "_cover"] >= COVERAGE) & (j[k] >= level)
+    found = lambda k: long & (full(k) | (j[k + "_cover"] >= STRONG[1]) & (j[k] >= STRONG[0]))
     slot = (j["slot"] >= WORD_LEVEL) & (j["size"] >= MIN_SLOT) | (j["form_seldom"] >= SHAPE_LEVEL)
     return pd.DataFrame(
         {
