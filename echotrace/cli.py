@@ -22,6 +22,8 @@ def parser() -> argparse.ArgumentParser:
     a("-e", "--exclude", action="append", default=[])
     a("-i", "--include", action="append", default=[])
     a("-L", "--language", default="")
+    a("--similarity", type=float, default=0.70)
+    a("--max-bucket", type=int, default=5000)
     a("--scope", choices=["file", "function"], default="file")
     a("--min-clone-lines", type=int, default=5)
     a("--max-file-size", type=int, default=5 * 1024 * 1024)
@@ -48,6 +50,7 @@ def scan(spark, o) -> dict:
     from .plans.deadcode import dead_functions
     from .plans.detect import dedup_overlapping, exact_clones
     from .plans.files import line_count
+    from .plans.fuzzy import fuzzy_clones
     from .session import cut_lineage
     from .sources.tree import read_tree
 
@@ -56,6 +59,10 @@ def scan(spark, o) -> dict:
     if o.max_files and n > o.max_files:
         raise ValueError(f"{n} files are more than --max-files {o.max_files}")
     c = cut_lineage(exact_clones(files, o.scope == "file").withColumn("key", F.col("clone")))
+    c = c.withColumn("similarity", F.lit(1.0))
+    if o.similarity < 1.0:
+        near = fuzzy_clones(files, c, o.similarity, o.max_bucket or (1 << 31) - 1)
+        c = cut_lineage(c.unionByName(near.withColumn("key", F.concat(F.lit("~"), "clone"))))
     c = cut_lineage(dedup_overlapping(c, "key").where(F.col("line_count") >= o.min_clone_lines))
     lines = files.select("path", line_count(F.col("text")).alias("total"))
     ranges = c.select(F.explode("instances").alias("i")).select(F.col("i.path").alias("path"), F.col("i.start_line").alias("lo"), F.col("i.end_line").alias("hi"))
@@ -67,7 +74,7 @@ def scan(spark, o) -> dict:
         inst = [{"file": i.path, "start_line": i.start_line, "end_line": i.end_line, **({"function": i.function} if i.function else {})} for i in r.instances]
         dirs, names = {i["file"].rpartition("/")[0] for i in inst}, {i["file"] for i in inst}
         scope = "cross-dir" if len(dirs) > 1 else "cross-file" if len(names) > 1 else "same-file"
-        clones.append({"hash": r.hash, "type": r.clone_type, "similarity": 1.0, "line_count": r.line_count, "token_count": r.token_count, "saved_lines": (len(inst) - 1) * r.line_count, "scope": scope, "instances": inst})
+        clones.append({"hash": r.hash, "type": r.clone_type, "similarity": r.similarity, "line_count": r.line_count, "token_count": r.token_count, "saved_lines": (len(inst) - 1) * r.line_count, "scope": scope, "instances": inst})
     if o.ignore_file:
         rules = G.parse_ignore(Path(o.ignore_file).read_text())
         for x in clones:

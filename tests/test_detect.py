@@ -217,3 +217,17 @@ def test_scan_command(tmp_path, spark, capsys):
     assert "03b40946904ef992" in out and '"total_lines": 18' in out and "vendor" not in out
     assert main(["scan", "-p", str(tmp_path), "--baseline", str(tmp_path / "base.json"), "-o", str(tmp_path / "o.txt")]) == 0
     assert main(["scan", "-p", str(tmp_path / "none")]) == 2
+
+
+def test_fuzzy_clones(spark):
+    from echotrace.plans.fuzzy import fuzzy_clones, mini_width
+
+    assert [mini_width(k) for k in (1, 12, 50)] == [2, 4, 17]
+    body = "func a(x int) int {{\n y := x + 1\n z := y * 2\n {}\n for i := 0; i < z; i++ {{\n  y += call(i)\n  z -= other(y)\n }}\n return y + z\n}}\n"
+    texts = {"a.go": "package a\n" + body.format("w := first(z)"), "b.go": "package b\n" + body.format("w := second(z)"), "c.go": "package c\nfunc q() { for { } }\n", "d.go": None}
+    df = files_df(spark, texts, 30)
+    got = fuzzy_clones(df, None, 0.5).collect()
+    assert got and all(r.clone_type == "type-3" and len(r.instances) == 2 and 0.5 <= r.similarity < 1 for r in got)
+    used = [(i.path, r.clone) for r in got for i in r.instances]
+    assert {p for p, _ in used} == {"a.go", "b.go"}
+    assert fuzzy_clones(df, None, 1.0).count() == 0 and fuzzy_clones(files_df(spark, texts, 9), None, 0.5).count() == 0
