@@ -23,7 +23,8 @@ from ..session import cut_lineage, table
 from .residue_seeds import SEEDS
 
 ORDER = 5
-TABLE = 1 << 18
+BITS = 19
+TABLE = 1 << BITS
 #: Strength of the next shorter context in each estimate.
 BACKOFF = 3.0
 #: Sequences that make up less than these shares of all characters count as unknown to prose: residue stands in the documents
@@ -88,7 +89,7 @@ def _grams(a: np.ndarray, case: bool = True) -> list[np.ndarray]:
         prev[n:] = a[: len(a) - n]
         h = (h * np.uint64(0x100000001B3)) ^ (prev + np.uint64(1 + n))
         m = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append((m >> np.uint64(64 - 18)).astype(np.int64))
+        out.append((m >> np.uint64(64 - BITS)).astype(np.int64))
     return out
 
 

@@ -218,6 +218,14 @@ def test_residue(spark):
     assert residue.residue(df.limit(0)).count() == 0
 
 
+def test_residue_tables_keep_grams_apart():
+    """As many distinct 5-grams as sf0.1 has: few may share a cell with another one."""
+    text = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz ", k=83_000)).encode()
+    cells = dict(zip((text[i - 4 : i + 1] for i in range(4, len(text))), residue._grams(np.frombuffer(text, dtype=np.uint8))[4][4:]))
+    taken = np.bincount(list(cells.values()), minlength=residue.TABLE)
+    assert len(taken) == residue.TABLE and taken[taken > 1].sum() < 0.2 * len(cells)
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no test data")
 def test_llm_queries_against_sql(spark):
     from echotrace.llm import registry
