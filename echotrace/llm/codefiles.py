@@ -243,19 +243,28 @@ def p5_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per kind, on repositories held out of training and with all marks masked: rows marked, found, and both."""
-    sample = sample_of(table(spark, sf_dir, "tokenized_files").where("file_id is not null"))
-    held = sample["run_id"].map(lambda r: zlib.crc32(str(r).encode()) % 4 == 0)
-    models = train(sample[~held])
-    out = {k: [0, 0, 0] for k in KINDS}
-    for path, text in zip(sample[held]["file_path"], sample[held]["src_text"]):
-        p, (comments, code) = clean_path(path), split_source(text)
-        kinds = marked(p, comments, code)
-        ids, vals = features(*list(_views(p, comments, code, kinds))[-1])
-        for k, m in models.items():
-            hit = score(m, (ids, vals)) > 0
-            out[k] = [out[k][0] + kinds[k], out[k][1] + hit, out[k][2] + (hit and kinds[k])]
-    return spark.createDataFrame([(k, *map(int, v)) for k, v in out.items()], "kind string, marked int, found int, both int")
+    """Per kind, on all files of repositories held out of training and with all marks masked: rows marked, found, and both."""
+    files = table(spark, sf_dir, "tokenized_files").where("file_id is not null")
+    held = F.coalesce(F.crc32(F.col("run_id").cast("string")) % 4 == 0, F.lit(False))
+    models = spark.sparkContext.broadcast(train(sample_of(files.where(~held))))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for fid, path, text in zip(pdf["file_id"], pdf["file_path"], pdf["src_text"]):
+                p, (comments, code) = clean_path(path), split_source(text)
+                kinds = marked(p, comments, code)
+                row = features(*list(_views(p, comments, code, kinds))[-1])
+                out.append((fid, path, *(x for k in KINDS for x in (kinds[k], score(models.value[k], row) > 0))))
+            yield pd.DataFrame(out, columns=["file_id", "file_path", *flags])
+
+    flags = [f"{k}_{x}" for k in KINDS for x in ("marked", "found")]
+    scored = files.where(held).select("file_id", "file_path", "src_text").mapInPandas(run, "file_id int, file_path string, " + ", ".join(f"{x} boolean" for x in flags))
+    once = scored.groupBy("file_id").agg(F.min(F.struct("file_path", *flags)).alias("r")).select("r.*")  # a repeated file counts once
+    rows = once.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"{k}_marked").alias("m"), F.col(f"{k}_found").alias("f")) for k in KINDS))).alias("x")).select("x.*")
+    counts = rows.groupBy("kind").agg(*(F.count_if(F.expr(c)).cast("int").alias(n) for n, c in (("marked", "m"), ("found", "f"), ("both", "m and f"))))
+    kinds = spark.createDataFrame([(k,) for k in KINDS], "kind string")
+    return kinds.join(counts, "kind", "left").na.fill(0)
 
 
 QUERIES = {"p5_found": p5_found, "p5_kinds": p5_kinds, "p5_validation": p5_validation}

@@ -207,6 +207,16 @@ def test_code_classifier_separates(spark):
     assert got == {i for i in range(160) if i % 4 == 0} | {1000}
 
 
+def test_code_validation_scores_all_held_out_files(spark, tmp_path, monkeypatch):
+    rows = [(i, f"api/m{i}.pb.go" if i % 3 == 0 else f"src/m{i}.go", f"func f{i}() {{\n  return {i}\n}}\n" * 3, i % 8) for i in range(160)]
+    df = spark.createDataFrame(rows + rows[:40], "file_id int, file_path string, src_text string, run_id int")
+    df.write.parquet(str(tmp_path / "tokenized_files.parquet"))
+    monkeypatch.setattr(codefiles, "SAMPLE_ROWS", 24)
+    held = [i for i in range(160) if codefiles.zlib.crc32(str(i % 8).encode()) % 4 == 0]
+    got = {r.kind: r for r in codefiles.p5_validation(spark, str(tmp_path)).collect()}
+    assert held and got["generated"].marked == sum(i % 3 == 0 for i in held) and set(got) == set(codefiles.KINDS)
+
+
 def test_residue(spark):
     prose = ["The committee heard many witnesses and the report was adopted after a long debate.", "My council pays a great deal towards the harbour, and I say so with care.", "We shall divide the House on this question before the recess begins in summer."]
     rows = [(i, " ".join(random.Random(i).sample(prose, 2))) for i in range(300)]
