@@ -137,6 +137,16 @@ def _masked_comments(comments: str, marks: re.Pattern) -> str:
     return "\n".join(c for c in comments.split("\n") if not marks.search(c))
 
 
+def masked(path: str, comments: str, code: list[str]) -> tuple[str, str, list[str]]:
+    """The row without comment lines, file endings and folders that are marks; its code is kept."""
+    *dirs, name = path.split("/")
+    for ends, plain in ((GENERATED_PATHS, lambda m: "." + m[0].rsplit(".", 1)[1]), (MINIFIED_PATHS, r".\2")):
+        while ends.search(name):
+            name = ends.sub(plain, name)
+    dirs = [d for d in dirs if d not in GENERATED_PARTS | VENDORED_PARTS]
+    return "/".join([*dirs, name]), _masked_comments(_masked_comments(comments, GENERATED_MARKS), VENDORED_MARKS), code
+
+
 def _views(path: str, comments: str, code: list[str], kinds: dict[str, bool]):
     """The row as it is, and with the marks of its kind masked where something else tells its kind."""
     yield path, comments, code
@@ -146,6 +156,7 @@ def _views(path: str, comments: str, code: list[str], kinds: dict[str, bool]):
         yield "src/" + plain.rsplit("/", 1)[-1], "", code
     elif kinds["generated"] and GENERATED_MARKS.search(comments):
         yield "src/" + path.rsplit("/", 1)[-1], comments, []
+        yield masked(path, comments, code)
     elif kinds["generated"]:
         yield "src/" + path.rsplit("/", 1)[-1], "", code
     if kinds["minified"]:
@@ -158,6 +169,7 @@ def _views(path: str, comments: str, code: list[str], kinds: dict[str, bool]):
             yield path, "", code
         if banner:
             yield "src/" + path.rsplit("/", 1)[-1], comments, code
+        yield masked(path, comments, code)
 
 
 def train(sample: pd.DataFrame) -> dict[str, tuple[np.ndarray, float]]:
@@ -254,7 +266,7 @@ def p5_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
             for fid, path, text in zip(pdf["file_id"], pdf["file_path"], pdf["src_text"]):
                 p, (comments, code) = clean_path(path), split_source(text)
                 kinds = marked(p, comments, code)
-                row = features(*list(_views(p, comments, code, kinds))[-1])
+                row = features(*masked(p, comments, code))
                 out.append((fid, path, *(x for k in KINDS for x in (kinds[k], score(models.value[k], row) > 0))))
             yield pd.DataFrame(out, columns=["file_id", "file_path", *flags])
 

@@ -207,6 +207,16 @@ def test_code_classifier_separates(spark):
     assert got == {i for i in range(160) if i % 4 == 0} | {1000}
 
 
+def test_code_views_without_marks():
+    for path, head in (("a/x.go", "// code generated by q. do not edit."), ("a/x.go", "// vendored from q"), ("third_party/a/x.go", "// plain")):
+        row = path, head + "\n// more", ["x = 1"]
+        kinds = codefiles.marked(*row)
+        assert any(kinds.values())
+        assert any(v[2] and not any(codefiles.marked(*v).values()) for v in codefiles._views(*row, kinds))
+    assert codefiles.masked("gen/a/x.gen.pb.go", "// @generated\n// @license q\n// c", ["y"]) == ("a/x.go", "// c", ["y"])
+    assert codefiles.masked("", "", []) == ("", "", [])
+
+
 def test_code_validation_scores_all_held_out_files(spark, tmp_path, monkeypatch):
     rows = [(i, f"api/m{i}.pb.go" if i % 3 == 0 else f"src/m{i}.go", f"func f{i}() {{\n  return {i}\n}}\n" * 3, i % 8) for i in range(160)]
     df = spark.createDataFrame(rows + rows[:40], "file_id int, file_path string, src_text string, run_id int")
