@@ -1,13 +1,18 @@
 """Template residue and error-page text in documents, by character n-gram models and likelihood-ratio windows.
 
-Four models of characters given the ORDER-1 before them: slots of templates, filler, notices (of servers and browsers),
-fitted on short lists of common wording, and natural prose, fitted on all documents. A text is read as pieces (lines and
-sentences); within a piece, windows of WINDOW characters are compared by their mean log-likelihood ratio. A piece whose
-windows are mostly filler or notice is residue; one that only quotes such words is mostly prose and is not. A slot stands
-inside good prose, so one short window with a strong ratio is enough. In a second round, pieces found for certain join
-their model and leave the prose model, which they had been part of, and all documents are judged again.
-
-Model tables have a fixed size (ORDER * TABLE counts), so what is gathered doesn't grow with the input.
+Models of characters for slots of templates, filler and notices (of servers and browsers) are fitted on public wording
+(residue_seeds), the model of natural prose on all documents. A model gives the share of each n-gram in its text; shares, not
+counts, so that a document is judged alike however much else is read. A table of log-likelihood ratios against prose
+follows for each kind, and a text is read against it in pieces:
+
+* filler and notices: a piece (a sentence, a line or a quotation) is residue when windows of strong ratio cover it and the evidence of the
+  whole piece, the sum of its ratios, is large enough; or when one stretch of strong windows holds as much by itself.
+* slots: the pieces are bracketed groups, repeated words and single words, read as they are and as shapes.
+
+In a second round, pieces that are residue beyond doubt join their model and leave prose, which they had been counted in.
+
+What a speaker quotes is spoken of and not residue, if prose around the quotation on its line says so; a quotation that stands alone is judged
+as any other piece. Nothing is cut: every character of every text is read, and each distinct piece of a batch is judged once.
 """
 
 from __future__ import annotations
@@ -22,318 +27,442 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import cut_lineage, table
 from .residue_seeds import SEEDS
 
-ORDER = 5
-BITS = 19
+#: Lengths of n-grams, with how much each counts in a ratio.
+ORDERS = ((3, 0.4), (5, 0.6))
+#: A table's cells for each order.
+BITS = 20
 TABLE = 1 << BITS
-#: Strength of the next shorter context in each estimate.
-BACKOFF = 3.0
-#: Sequences that make up less than these shares of all characters count as unknown to prose: residue stands in the documents
-#: that the prose model is fitted on. RARE for phrases, OFTEN and SELDOM for shapes, FOREIGN for filler in no language of the corpus.
-RARE, OFTEN, SELDOM, FOREIGN = 2e-6, 2e-5, 5e-6, 2e-5
-#: In a small collection, sequences seen no more often than this are unknown as well.
-SEEN = 2.0
-#: Filler or notice: a piece of MIN_PIECE characters or more whose mean ratio reaches PIECE_LEVEL, with COVERAGE of it in windows above LEVEL.
-#: Shorter pieces need SHORT / length more.
-WINDOW, LEVEL, COVERAGE, MIN_PIECE, PIECE_LEVEL, SHORT = 24, 0.35, 0.8, 12, 0.9, 6.0
-#: With so strong a mean ratio, so much coverage is enough.
-STRONG = (1.3, 0.5)
-#: Pieces below SHORT_PIECE characters are covered by windows of NARROW: a known phrase with a rare name is prose.
-SHORT_PIECE, NARROW = 44, 8
-#: Filler in invented words: so long a piece with such a mean ratio against FOREIGN prose.
-LONG_PIECE, FOREIGN_LEVEL = 60, 2.5
-#: A slot: its best window of words, or of shapes, or of both together, reaches this mean ratio.
-WORD_WINDOW, SHAPE_WINDOW, MIN_SLOT = 12, 5, 8
-WORD_LEVEL, SHAPE_LEVEL, BOTH_LEVELS = 2.2, 2.2, (1.8, 1.0)
-#: Mean ratio of a whole piece from which the second round learns it.
-SURE = 1.8
+#: What pieces are compared with, and the shares of n-grams that are as good as none. Invented Latin repeats few words, so it has to pass
+#: for unknown where it makes up a good part of a collection.
+UNKNOWN = {"filler": {3: 3e-5, 5: 4e-6}, "notice": {3: 3e-5, 5: 4e-6}, "foreign": {3: 2e-4, 5: 3e-5}}
+#: The share of page furniture in prose.
+FURNITURE = 0.01
+#: A ratio of one n-gram counts no more than this.
+CLIP = 4.0
+#: Windows of WINDOW characters are strong above LEVEL; they must cover COVERAGE of a piece whose ratios sum up to EVIDENCE and MEAN a character.
+WINDOW, LEVEL, COVERAGE, EVIDENCE, MEAN = 16, 0.6, 0.65, 20.0, 0.5
+#: A stretch of strong windows inside a longer piece needs more, less where the piece as a whole is half covered; so do words in no language.
+STRETCH, HALF, FOREIGN = 90.0, (0.5, 40.0), 45.0
+#: Evidence, and evidence a character, from which the second round learns a piece.
+SURE, SURE_MEAN = 30.0, 1.0
+#: Words and shapes of units are judged by chains of conditional n-grams up to CHAIN, in tables of 2^CHAIN_BITS cells; LEAN is the share of a
+#: context that the shorter one is worth. A slot is so many nats likelier in templates than in prose: one unit in e^SLOT is expected to be one.
+CHAIN, CHAIN_BITS, LEAN, SLOT, SURE_SLOT, PLAIN_WORDS = 5, 18, 1e-6, 4.2, 8.0, 3.0
 
 KINDS = ("slot", "filler", "notice")
-LEARNED = ("filler", "notice")
-_BLOCK = 4096
-_SPACE = re.compile(r"[ \t   ]+")
-_DIGIT = re.compile(r"\d+")
-
-
-_QUOTED = re.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|«[^»\n]{1,200}»|„[^“”\n]{1,200}[“”]")
-_LETTERS = re.compile(r"[^\W\d_]+")
-
-
-def shapes(parts: list[str]) -> list[str]:
-    """Pieces with each run of letters as one letter: what the slot model looks at besides the words."""
-    return [_LETTERS.sub("a", p) for p in parts]
-
-
-def pieces(text: str | None) -> list[str]:
-    """Lines cut after sentence ends, quotations masked as they are spoken of, not used; null and blank texts have none."""
+#: Characters judged at once; a single piece longer than LONGEST is read as several.
+CHUNK, LONGEST = 4_000_000, 100_000
+#: Lanes of the first of two levels that add up counts.
+LANES = 512
+_BLOCK = 1 << 14
+_SPACE = re.compile(r"[^\S\n]+")
+_DIGITS = str.maketrans("012345678", "999999999")
+_QUOTE = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|„[^“”]*[“”]|‘[^’]*’(?!\w)")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[\"“«(\[¿¡A-ZÀ-Ý0-9{<@_%$#&])")
+_UNIT = re.compile(
+    r"[^\w\s()\[\]{}<>«»]*(?:\[+[^\[\]]*\]+|\{+[^{}]*\}+|<+[^<>]*>+|\([^()\[\]{}<>@#$%_]*\)|«[^«»]*»)|(?<!\w)([%@$#_?*|~&]{1,2})\w[\w .-]{0,60}\1(?!\w)|(?<!\w)(\w+)(?:,? \2(?!\w))+|[^\s()\[\]<>«»]+|\S"
+)
+_HYPHEN = re.compile(r"(?<=[^\W\d_])-\n(?=[a-zß-öø-ÿ])")
+_BARE = re.compile(r"[^\W\d_]+(?:,? [^\W\d_]+)*[.,;:!?]*")
+_PLAIN = re.compile(r"[(\[][^\W\d_][^\[\](){}<>_]*[)\]][.,;:!?]*")
+_WORD = re.compile(r"[^\W\d_]+")
+_RUNS = re.compile(r"([A-ZÀ-ÖØ-Þ]+)([a-zß-öø-ÿ]*)|[^\W\d_]+|(\d+)")
+
+# Words of speech about a text, in the corpus' languages; near one of them a quoted slot is spoken of.
+MENTION = re.compile(
+    r"\b(words?|letters?|forms?|templates?|screen|placeholders?|draft|brackets?|blank|Wort\w*|Brief\w*|Formular\w*|Vorlage\w*|Entwurf\w*|Klammer\w*|Platzhalter\w*"
+    r"|mots?|lettre|formulaire|modèle|brouillon|crochets|palabras?|carta|formulario|plantilla|borrador|corchetes)\b",
+    re.I,
+)
+
+
+def pieces(text: str | None) -> list[tuple[str, int, bool]]:
+    """(piece, line, quoted) of a text: quotations, and the sentences of each line around them. Null and blank texts have none."""
     out = []
-    for line in (text or "").replace("\r", "\n").split("\n"):
-        line = _QUOTED.sub('"q"', _DIGIT.sub("9", _SPACE.sub(" ", line))).strip()
-        if line:
-            out += [p for p in re.split(r"(?<=[.!?])\s+(?=[\"“«(\[¿¡A-ZÀ-Ý0-9{<@_%$#&])", line) if p]
+    for n, line in enumerate(_HYPHEN.sub("", (text or "").replace("\r\n", "\n").replace("\r", "\n")).split("\n")):
+        line = _SPACE.sub(" ", line).strip()
+        if not line:
+            continue
+        if _QUOTE.search(line):
+            out += [(p, n, True) for q in _QUOTE.findall(line) for p in _sentences(q[1:-1].strip())]
+            line = _QUOTE.sub('"q"', line)
+        out += [(p, n, False) for p in _sentences(line)]
     return out
 
 
-def _codes(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of all parts in lower case, each after a separator; offsets of the parts' first bytes and the end)."""
-    raw = [p.lower().encode("utf-8", "replace") for p in parts]
-    ends = np.cumsum([len(r) + 1 for r in raw])
-    return np.frombuffer(b"".join(b"\n" + r for r in raw), dtype=np.uint8), np.r_[0, ends] + 1
+def _sentences(line: str) -> list[str]:
+    return [p[i : i + LONGEST] for p in _SENTENCE.split(line) for i in range(0, len(p), LONGEST)]
 
 
-def _grams(a: np.ndarray, case: bool = True) -> list[np.ndarray]:
-    """Hashed n-grams that end at each byte, for n = 1..ORDER."""
-    a = a.astype(np.uint64)
-    out, h = [], np.zeros(len(a), dtype=np.uint64)
-    for n in range(ORDER):
-        prev = np.full(len(a), 10, dtype=np.uint64)
-        prev[n:] = a[: len(a) - n]
-        h = (h * np.uint64(0x100000001B3)) ^ (prev + np.uint64(1 + n))
-        m = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append((m >> np.uint64(64 - BITS)).astype(np.int64))
-    return out
+def units(piece: str) -> list[str]:
+    """Bracketed groups with the signs before them, words repeated, and single words of a piece; nothing but blanks is left out."""
+    return [m[0] for m in _UNIT.finditer(piece)]
 
 
-def _contexts(a: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the n-1 bytes before each byte, for n = 2..ORDER, named as the n-grams that they are."""
-    shifted = np.r_[np.uint8(10), a[:-1]] if len(a) else a
-    return _grams(shifted)[: ORDER - 1]
+def shape(unit: str) -> str:
+    """A unit with each run of letters as a, A or Aa, and of digits as 9."""
+    return _RUNS.sub(lambda m: ("Aa" if m[2] else "A") if m[1] else "9" if m[3] else "a", unit)
 
 
-def counts_of(parts: list[str]) -> np.ndarray:
-    """(2 * ORDER, TABLE) counts: of n-grams, and of the contexts that are continued."""
-    out = np.zeros((2 * ORDER, TABLE), dtype=np.int64)
-    if parts:
-        a, _ = _codes(parts)
-        for n, g in enumerate(_grams(a)):
-            out[n] += np.bincount(g, minlength=TABLE)
-        for n, g in enumerate(_contexts(a)):
-            out[ORDER + n + 1] += np.bincount(g, minlength=TABLE)
-        out[ORDER, 0] = len(a)
-    return out
+_PAD = b"\n\n\n\n"
 
 
-def log_probs(model: np.ndarray, grams: list[np.ndarray], ctx: list[np.ndarray], rare: float = 0.0) -> np.ndarray:
-    """log P of each byte after the ones before it, shorter contexts backing up longer ones.
+class _Grams:
+    """Cells of the n-grams that end at each byte of the given texts, which don't reach into their neighbours."""
 
-    With `rare`, counts of two and more characters are lowered by that share of the training text, or SEEN if that is more.
-    """
-    cut = max(rare * model[ORDER, 0], SEEN) if rare else 0.0
-    p = (model[0][grams[0]] + 0.5) / (model[ORDER, 0] + 128.0)
-    for n in range(1, ORDER):
-        p = (np.maximum(model[n][grams[n]] - cut, 0.0) + BACKOFF * p) / (np.maximum(model[ORDER + n][ctx[n - 1]] - cut, 0.0) + BACKOFF)
-    return np.log(np.maximum(p, 1e-12))
-
-
-def _means(x: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean of x over each place's window of `width` places, cut at its piece; and the running sums."""
-    sums = np.r_[0.0, np.cumsum(x)]
-    at = np.arange(len(x))
-    lo = np.maximum(at, start)
-    hi = np.minimum(at + width, end)
-    lo = np.minimum(lo, np.maximum(hi - width, start))
-    return (sums[hi] - sums[lo]) / np.maximum(hi - lo, 1), sums
-
-
-class _Ratio:
-    """Log-likelihood ratios of pieces against prose."""
-
-    def __init__(self, parts: list[str], models: dict[str, np.ndarray], prose: str):
-        a, off = _codes(parts)
-        self.models, self.grams, self.ctx = models, _grams(a), _contexts(a)
-        self.first, self.last = off[:-1], off[1:] - 1
-        self.size = self.last - self.first
-        owner = np.repeat(np.arange(len(parts)), self.size + 1)  # the separator before a piece belongs to it, and is skipped
-        self.start, self.end = self.first[owner], self.last[owner]
+    def __init__(self, parts: list[str], lower: bool = True):
+        raw = [(p.lower() if lower else p).translate(_DIGITS).encode("utf-8", "replace") for p in parts]
+        self.size = np.array([len(r) for r in raw], dtype=np.int64)
+        self.last = np.cumsum(self.size + len(_PAD))  # one beyond the last byte
+        self.first = self.last - self.size
+        a = np.frombuffer(b"".join(_PAD + r for r in raw), dtype=np.uint8).astype(np.uint64)
+        code = a.copy()
+        self.cells = {}
+        for n in range(1, 5):
+            code[n:] |= a[:-n] << np.uint64(8 * n)
+            if n in (2, 4):
+                self.cells[n + 1] = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
         self.inside = np.ones(len(a), dtype=bool)
-        self.inside[self.first - 1] = False
-        self.prose, self.base = models[prose], {}
-
-    def __call__(self, kind: str, width: int, rare: float, narrow: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per piece: the mean ratio, the share of characters in windows above LEVEL, and the best window."""
-        if rare not in self.base:
-            self.base[rare] = log_probs(self.prose, self.grams, self.ctx, rare)
-        r = np.where(self.inside, log_probs(self.models[kind], self.grams, self.ctx) - self.base[rare], 0.0)
-        r = np.clip(r, -6.0, 6.0)
-        means, sums = _means(r, self.start, self.end, width)
-        close = means
-        if narrow:  # windows as wide as a short piece would all be alike
-            short = self.end - self.start < SHORT_PIECE
-            close = np.where(short, _means(r, self.start, self.end, narrow)[0], means)
-        hot = np.r_[0, np.cumsum((close > LEVEL) & self.inside)]
-        best = np.maximum.reduceat(np.where(self.inside, means, -9.0), self.first - 1)
-        n = np.maximum(self.size, 1)
-        return (sums[self.last] - sums[self.first]) / n, (hot[self.last] - hot[self.first]) / n, best
-
-
-_COLUMNS = ("size", "filler", "filler_cover", "notice", "notice_cover", "foreign", "slot", "form_often", "form_seldom")
-
-
-def judge(parts: list[str], models: dict[str, np.ndarray]) -> pd.DataFrame:
-    """Per piece: mean ratio and coverage of filler and notice, and the best slot windows of words and of shapes."""
-    if not parts:
-        return pd.DataFrame({k: np.zeros(0) for k in _COLUMNS})
-    words, forms = _Ratio(parts, models, "prose"), _Ratio(shapes(parts), models, "prose_shape")
-    out = {"size": words.size}
-    for k in ("filler", "notice"):
-        out[k], out[k + "_cover"], _ = words(k, WINDOW, RARE, NARROW)
-    out["foreign"] = words("filler", WINDOW, FOREIGN)[0]
-    out["slot"] = words("slot", WORD_WINDOW, RARE)[2]
-    out["form_often"] = forms("slot_shape", SHAPE_WINDOW, OFTEN)[2]
-    out["form_seldom"] = forms("slot_shape", SHAPE_WINDOW, SELDOM)[2]
-    return pd.DataFrame(out)
+        for i in range(1, len(_PAD) + 1):
+            self.inside[self.first - i] = False
 
 
-def verdicts(j: pd.DataFrame) -> pd.DataFrame:
-    """Which pieces are residue of which kind."""
-    long = j["size"] >= MIN_PIECE
-    level = PIECE_LEVEL + SHORT / np.maximum(j["size"], 1)
-    full = lambda k: (j[k + "_cover"] >= COVERAGE) & (j[k] >= level)
-    found = lambda k: long & (full(k) | (j[k + "_cover"] >= STRONG[1]) & (j[k] >= STRONG[0]))
-    slot = (j["slot"] >= WORD_LEVEL) & (j["size"] >= MIN_SLOT) | (j["form_seldom"] >= SHAPE_LEVEL)
-    return pd.DataFrame(
-        {
-            "slot": slot | (j["form_often"] >= BOTH_LEVELS[0]) & (j["slot"] >= BOTH_LEVELS[1]),
-            "filler": found("filler") | (j["size"] >= LONG_PIECE) & (j["foreign"] >= FOREIGN_LEVEL),
-            "notice": found("notice"),
-        }
-    )
+def counts_of(parts: list[str], weight: np.ndarray | None = None, lower: bool = True) -> np.ndarray:
+    """(orders, TABLE) counts of the n-grams of texts, each of which counts `weight` times."""
+    out = np.zeros((len(ORDERS), TABLE))
+    if parts:
+        g = _Grams(parts, lower)
+        w = np.repeat(np.ones(len(parts)) if weight is None else weight, g.size)
+        for i, (n, _) in enumerate(ORDERS):
+            out[i] = np.bincount(g.cells[n][g.inside], weights=w, minlength=TABLE)
+    return out.astype(np.int64)
+
+
+def ratios(kind: str, counts: dict[str, np.ndarray]) -> np.ndarray:
+    """(orders, TABLE) log-likelihood ratios of a kind against prose, from counts; only shares matter. Without any prose all of it is unknown."""
+    out = np.zeros((len(ORDERS), TABLE), dtype=np.float16)
+    share = lambda x: x / max(x.sum(), 1)
+    for i, (n, w) in enumerate(ORDERS):
+        p = (1 - FURNITURE) * share(counts["prose"][i]) + FURNITURE * share(counts["furniture"][i])
+        k = share(counts[kind][i])
+        sure = counts.get(kind + "_sure")
+        if sure is not None and sure[i].any():  # public wording and what was found weigh the same, however much was found
+            k = (k + share(sure[i])) / 2
+        out[i] = w * np.clip(np.log((k + UNKNOWN[kind][n]) / (p + UNKNOWN[kind][n])), -CLIP, CLIP)
+    return out
 
 
-def _small(counts: np.ndarray) -> bytes:
-    return zlib.compress(counts.astype("<i8").tobytes(), 1)
+class _Chain:
+    """Cells of the n-grams, n = 1..CHAIN, that end at each byte of the given texts and at their ends, and of what precedes each byte."""
+
+    def __init__(self, parts: list[str]):
+        raw = [p.translate(_DIGITS).encode("utf-8", "replace") for p in parts]
+        self.size = np.array([len(r) + 1 for r in raw], dtype=np.int64)  # the end counts
+        a = np.frombuffer(b"".join(_PAD + r + b"\n" for r in raw), dtype=np.uint8).astype(np.uint64)
+        self.last = np.cumsum(self.size + len(_PAD))
+        self.first = self.last - self.size
+        at = np.repeat(self.first - np.r_[0, np.cumsum(self.size)[:-1]], self.size) + np.arange(int(self.size.sum()))
+        code, self.grams, self.before = a.copy(), [], []
+        for n in range(CHAIN):
+            if n:
+                code[n:] |= a[:-n] << np.uint64(8 * n)
+            cells = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CHAIN_BITS)).astype(np.int64)
+            self.grams.append(cells[at])
+            self.before.append(cells[at - 1])
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        s = np.r_[0.0, np.cumsum(x)]
+        end = np.cumsum(self.size)
+        return s[end] - s[end - self.size]
+
+
+def chain_counts(parts: list[str], weight: np.ndarray | None = None) -> np.ndarray:
+    """(2 * CHAIN, cells) counts: of n-grams, and of what precedes a byte; each text counts `weight` times."""
+    out = np.zeros((2 * CHAIN, 1 << CHAIN_BITS))
+    if parts:
+        c = _Chain(parts)
+        w = np.repeat(np.ones(len(parts)) if weight is None else weight, c.size)
+        for n in range(CHAIN):
+            out[n] = np.bincount(c.grams[n], weights=w, minlength=out.shape[1])
+            out[CHAIN + n] = np.bincount(c.before[n], weights=w, minlength=out.shape[1])
+    return out.astype(np.int64)
+
+
+def shares(counts: np.ndarray) -> np.ndarray:
+    return (counts / max(int(counts[0].sum()), 1)).astype(np.float32)
+
+
+def chain_logs(share: np.ndarray, c: _Chain) -> np.ndarray:
+    """log P of each byte given the ones before it; longer contexts lean on shorter ones. Only shares matter."""
+    p = (share[0].take(c.grams[0]) + LEAN) / (1 + 256 * LEAN)
+    for n in range(1, CHAIN):
+        p = (share[n].take(c.grams[n]) + LEAN * p) / (share[CHAIN + n - 1].take(c.before[n - 1]) + LEAN)
+    return np.log(p)
+
+
+def _along(g: _Grams, table: np.ndarray) -> np.ndarray:
+    """The ratio at each byte, 0 between texts."""
+    r = sum(table[i].take(g.cells[n]) for i, (n, _) in enumerate(ORDERS)).astype(np.float64)
+    r[~g.inside] = 0.0
+    return r
+
+
+def _sums(r: np.ndarray, g: _Grams) -> np.ndarray:
+    s = np.r_[0.0, np.cumsum(r)]
+    return s[g.last] - s[g.first]
+
+
+def localise(g: _Grams, r: np.ndarray) -> pd.DataFrame:
+    """Per text: the sum of its ratios, the share of it that strong windows cover, and the largest sum of one covered stretch."""
+    s = np.r_[0.0, np.cumsum(r)]
+    n = len(r)
+    at = np.arange(n)
+    end = np.minimum(at + WINDOW, np.repeat(g.last, g.size + len(_PAD)))
+    start_ok = g.inside & ((end - at == WINDOW) | np.isin(at, g.first, assume_unique=True))
+    strong = start_ok & ((s[end] - s[at]) > LEVEL * (end - at))
+    d = np.zeros(n + 1, dtype=np.int64)
+    d[:n] += strong
+    np.subtract.at(d, end[strong], 1)
+    covered = (np.cumsum(d[:n]) > 0) & g.inside
+    c = np.r_[0, np.cumsum(covered)]
+    edge = np.diff(np.r_[0, covered.astype(np.int8), 0])
+    lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    best = np.zeros(len(g.size))
+    if len(lo):
+        np.maximum.at(best, np.searchsorted(g.last, lo, side="right"), s[hi] - s[lo])
+    return pd.DataFrame({"size": g.size, "sum": s[g.last] - s[g.first], "cover": (c[g.last] - c[g.first]) / np.maximum(g.size, 1), "stretch": best})
+
+
+def judge_pieces(parts: list[str], models) -> pd.DataFrame:
+    """Per piece: whether it is filler, is a notice, and is so beyond doubt."""
+    g = _Grams(parts)
+    out = {"size": g.size}
+    for k in ("filler", "notice", "foreign"):
+        j = localise(g, _along(g, models[k]))
+        whole = (j["cover"] >= COVERAGE) & (j["sum"] >= (FOREIGN if k == "foreign" else EVIDENCE)) & (j["sum"] >= MEAN * j["size"])
+        out[k + "_sum"], out[k + "_cover"], out[k + "_stretch"] = j["sum"], j["cover"], j["stretch"]
+        half = (j["cover"] >= HALF[0]) & (j["sum"] >= HALF[1])
+        out[k] = whole if k == "foreign" else whole | half | (j["stretch"] >= STRETCH)
+        out[k + "_sure"] = whole & (j["sum"] >= SURE) & (j["sum"] >= SURE_MEAN * j["size"])
+    out["filler"] |= out["foreign"]
+    out["filler_sure"] |= out["foreign"]
+    return pd.DataFrame(out)
 
 
-def _large(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed), dtype="<i8")
+def words(unit: str) -> list[str]:
+    """The words of a unit, without its signs."""
+    return _WORD.findall(unit.lower())
 
 
-def _send(spark: SparkSession, models: dict[str, np.ndarray]):
-    """Broadcast the models compressed, as most of their cells are empty."""
-    return spark.sparkContext.broadcast({k: zlib.compress(np.minimum(m, 2**31 - 1).astype("<i4").tobytes(), 1) for k, m in models.items()})
+def unit_views(parts: list[str]) -> dict[str, tuple[list[str], np.ndarray]]:
+    """What the models of slots read of units: their words and their shapes, each with the unit that it belongs to."""
+    own = [words(p) for p in parts]
+    return {
+        "word": ([w for ws in own for w in ws], np.repeat(np.arange(len(parts)), [len(ws) for ws in own])),
+        "shape": ([shape(p) for p in parts], np.arange(len(parts))),
+    }
 
 
-_OPENED: dict = {}
+def unit_counts(parts: list[str], weight: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    weight = np.ones(len(parts)) if weight is None else weight
+    return {v: chain_counts(texts, weight[own]) for v, (texts, own) in unit_views(parts).items()}
 
 
-def _open(sent) -> dict[str, np.ndarray]:
-    """A worker's models, unpacked once."""
-    if sent.value is not _OPENED.get("of"):
-        _OPENED.clear()
-        _OPENED.update({"of": sent.value, "models": {k: np.frombuffer(zlib.decompress(m), dtype="<i4").reshape(2 * ORDER, TABLE) for k, m in sent.value.items()}})
-    return _OPENED["models"]
+def judge_units(parts: list[str], models) -> pd.DataFrame:
+    """Per unit: how much likelier its words and its shape are in slots than in prose, and whether it is a slot, for certain, or plainly written.
 
+    Half of the words in slots are any words of prose. Plain brackets, as remarks of the clerk have them, need words of a slot; words
+    without any sign need more of that, and no shape makes up for it.
+    """
+    out = {}
+    for v, (texts, own) in unit_views(parts).items():
+        c = _Chain(texts)
+        r = c.sums(chain_logs(models[v, "slot"], c) - chain_logs(models[v, "prose"], c))
+        out[v] = np.bincount(own, weights=np.logaddexp(r, 0.0) - np.log(2.0) if v == "word" else r, minlength=len(parts))
+    bare, plain = (np.array([bool(x.fullmatch(p)) for p in parts], dtype=bool) for x in (_BARE, _PLAIN))
+    total = out["word"] + np.where(bare, np.minimum(out["shape"], 0.0), out["shape"])
+    sure = total >= SURE_SLOT
+    slot = np.where(bare, sure, (total >= SLOT) & (~plain | (out["word"] >= PLAIN_WORDS)))
+    return pd.DataFrame({**out, "slot": slot, "slot_sure": slot & sure, "plain": bare | plain})
+
+
+class _Chunk:
+    """The pieces of some texts, each distinct piece and each distinct unit once, with how often it stands there."""
+
+    def __init__(self, texts: list[str | None]):
+        rows = [(i, *p) for i, t in enumerate(texts) for p in pieces(t)]
+        self.n = len(texts)
+        self.doc, self.line = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 2))
+        self.quoted = np.array([r[3] for r in rows], dtype=bool)
+        self.code, uniq = pd.factorize(np.array([r[1] for r in rows], dtype=object))
+        self.parts, self.times = list(uniq), np.bincount(self.code, minlength=len(uniq))
+        per = [units(p) for p in self.parts]
+        self.owner = np.repeat(np.arange(len(per)), [len(u) for u in per])
+        self.unit, uniq = pd.factorize(np.array([u for us in per for u in us], dtype=object))
+        self.units = list(uniq)
+        self.unit_times = np.bincount(self.unit, weights=self.times[self.owner], minlength=len(uniq))
+
+    def any_of(self, flag: np.ndarray) -> np.ndarray:
+        """Which pieces hold a unit with the flag."""
+        return np.bincount(self.owner, weights=flag[self.unit], minlength=len(self.parts)) > 0
+
+    def judged(self, models) -> pd.DataFrame:
+        """Per text: how many pieces of each kind it holds, and the share of it that they take. What a speaker quotes or speaks of is left out."""
+        if not self.parts:
+            return pd.DataFrame({k: np.zeros(self.n) for k in (*KINDS, "coverage")})
+        j, u = judge_pieces(self.parts, models), judge_units(self.units, models)
+        slot = self.any_of(u["slot"].to_numpy(float))
+        rest = j["filler"].to_numpy() | j["notice"].to_numpy()
+        speaks = np.array([bool(MENTION.search(p)) for p in self.parts], dtype=bool)
+        spoken_slot = slot & speaks & ~self.any_of((u["slot"] & ~u["plain"]).to_numpy(float)) & ~rest  # a bracket that its sentence speaks of
+        bad = (slot & ~spoken_slot) | rest
+        prose = ~bad & np.array([len(p.split()) > 2 for p in self.parts], dtype=bool)
+        # On each line: is there prose around its quotations, and does it speak of a text?
+        place, at = np.unique(self.doc * (self.line.max() + 1) + self.line, return_inverse=True)
+        around = lambda f: np.bincount(at, weights=(f[self.code] & ~self.quoted), minlength=len(place))[at] > 0
+        host, spoken = around(prose), around(prose & speaks)
+        counts = bad[self.code] & ~(self.quoted & np.where(rest[self.code], host, host & spoken))
+        out = {k: np.bincount(self.doc, weights=counts & f[self.code], minlength=self.n) for k, f in (("slot", slot), ("filler", j["filler"].to_numpy()), ("notice", j["notice"].to_numpy()))}
+        size = j["size"].to_numpy(float)[self.code]
+        out["coverage"] = np.bincount(self.doc, weights=counts * size, minlength=self.n) / np.maximum(np.bincount(self.doc, weights=size, minlength=self.n), 1)
+        return pd.DataFrame(out)
+
+    def prose(self) -> dict[str, np.ndarray]:
+        return {"prose": counts_of(self.parts, self.times), **{v + "_prose": c for v, c in unit_counts(self.units, self.unit_times).items()}}
+
+    def sure(self, models) -> dict[str, np.ndarray]:
+        """Counts of what is residue for certain: what to add to each kind, and to take from prose."""
+        if not self.parts:
+            return {}
+        j, u = judge_pieces(self.parts, models), judge_units(self.units, models)
+        pick = lambda items, f: [items[i] for i in f]
+        out = {}
+        for k in ("filler", "notice"):
+            f = np.flatnonzero(j[k + "_sure"])
+            out[k] = counts_of(pick(self.parts, f), self.times[f])
+        f = np.flatnonzero(u["slot_sure"])
+        return out | {v + "_prose": c for v, c in unit_counts(pick(self.units, f), self.unit_times[f]).items()}
+
+
+def _chunks(batches):
+    """(rows, chunk) of about CHUNK characters."""
+    for pdf in batches:
+        sizes = pdf["text"].map(lambda t: len(t or "")).to_numpy()
+        part = (np.cumsum(sizes) // CHUNK) if len(sizes) else sizes
+        for _, rows in pdf.groupby(part, sort=False):
+            yield rows, _Chunk(rows["text"].tolist())
+
+
+_COUNTS = "name string, block int, lane int, counts binary"
+_SHAPES = {"prose": (len(ORDERS), TABLE), "filler": (len(ORDERS), TABLE), "notice": (len(ORDERS), TABLE), "word_prose": (2 * CHAIN, 1 << CHAIN_BITS), "shape_prose": (2 * CHAIN, 1 << CHAIN_BITS)}
+
+
+def _packed(totals: dict[str, np.ndarray], lane: int) -> pd.DataFrame:
+    """The cells above 0 of tables of counts, in blocks."""
+    rows = []
+    for name, total in totals.items():
+        flat = total.reshape(-1, _BLOCK)
+        for b in np.flatnonzero(flat.any(axis=1)):
+            cells = np.flatnonzero(flat[b])
+            rows.append((name, b, lane, zlib.compress(cells.astype("<u2").tobytes() + flat[b][cells].astype("<i8").tobytes(), 1)))
+    return pd.DataFrame(rows, columns=["name", "block", "lane", "counts"])
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(packed)
+    n = len(raw) // 10
+    return np.frombuffer(raw[: 2 * n], dtype="<u2"), np.frombuffer(raw[2 * n :], dtype="<i8")
+
+
+def _gather(docs: DataFrame, counts) -> dict[str, np.ndarray]:
+    """Sums of the counts of all chunks. They are added within tasks, then in LANES lanes, then over the lanes; their size is fixed."""
 
-def _packed(total: np.ndarray, name: str) -> pd.DataFrame:
-    """Non-empty blocks of a table of counts."""
-    flat = total.reshape(-1, _BLOCK)
-    keep = np.flatnonzero(flat.any(axis=1))
-    return pd.DataFrame({"name": name, "block": keep.astype(np.int64), "counts": [_small(flat[i]) for i in keep]})
-
+    def run(batches):
+        from pyspark import TaskContext
 
-def _gather(parts: DataFrame) -> dict[str, np.ndarray]:
-    """Sum the tasks' blocks of counts; the sums have a fixed size whatever the input."""
+        total: dict[str, np.ndarray] = {}
+        for _, chunk in _chunks(batches):
+            for k, c in counts(chunk).items():
+                total[k] = total[k] + c if k in total else c
+        yield _packed(total, TaskContext.get().partitionId() % LANES)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = sum(_large(b) for b in pdf["counts"])
-        return pd.DataFrame({"name": [pdf["name"].iloc[0]], "block": [pdf["block"].iloc[0]], "counts": [_small(s)]})
-
-    out: dict[str, np.ndarray] = {}
-    for r in parts.groupBy("name", "block").applyInPandas(add, "name string, block bigint, counts binary").toLocalIterator():
-        out.setdefault(r.name, np.zeros((2 * ORDER * TABLE // _BLOCK, _BLOCK), dtype=np.int64))[r.block] = _large(r.counts)
-    return {k: v.reshape(2 * ORDER, TABLE) for k, v in out.items()}
-
-
-_COUNTS = "name string, block bigint, counts binary"
-
-
-def prose_counts(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Counts of all pieces of all documents, in words and in shapes."""
-
-    def run(batches):
-        total = {k: np.zeros((2 * ORDER, TABLE), dtype=np.int64) for k in ("prose", "prose_shape")}
-        for pdf in batches:
-            for lo in range(0, len(pdf), 500):
-                parts = [p for t in pdf["text"].iloc[lo : lo + 500] for p in pieces(t)]
-                total["prose"] += counts_of(parts)
-                total["prose_shape"] += counts_of(shapes(parts))
-        for k, t in total.items():
-            yield _packed(t, k)
+        total = np.zeros((1, _BLOCK), dtype=np.int64)
+        for c in pdf["counts"]:
+            cells, n = _unpacked(c)
+            total[0, cells] += n
+        out = _packed({pdf["name"].iloc[0]: total}, pdf["lane"].iloc[0])
+        return out.assign(block=pdf["block"].iloc[0])
+
+    lanes = docs.select("text").mapInPandas(run, _COUNTS).groupBy("name", "block", "lane").applyInPandas(add, _COUNTS)
+    sums = cut_lineage(lanes.groupBy("name", "block").applyInPandas(add, _COUNTS))
+    out = {k: np.zeros(s, dtype=np.int64) for k, s in _SHAPES.items()}
+    for r in sums.toLocalIterator():
+        cells, n = _unpacked(r.counts)
+        out[r.name].reshape(-1, _BLOCK)[r.block, cells] = n
+    return out
 
-    empty = np.zeros((2 * ORDER, TABLE), dtype=np.int64)
-    return {"prose": empty, "prose_shape": empty} | _gather(docs.select("text").mapInPandas(run, _COUNTS))
 
+def seed_counts() -> dict[str, np.ndarray]:
+    out = {k: counts_of([p for s in SEEDS[k] for p, _, _ in pieces(s)]) for k in ("filler", "notice", "foreign", "furniture")}
+    return out | {v + "_slot": c for v, c in unit_counts([u for s in SEEDS["slot"] for u in units(s)]).items()}
 
-def _judged(pdf: pd.DataFrame, models) -> tuple[list[str], np.ndarray, pd.DataFrame]:
-    own, parts = [], []
-    for i, t in enumerate(pdf["text"]):
-        p = pieces(t)
-        parts += p
-        own += [i] * len(p)
-    return parts, np.array(own, dtype=np.int64), judge(parts, models)
 
+def models_of(counts: dict[str, np.ndarray]) -> dict:
+    """What texts are judged by: ratio tables of the kinds of pieces, shares of the units' chains."""
+    out: dict = {k: ratios(k, counts) for k in UNKNOWN}
+    return out | {(v, k): shares(counts[f"{v}_{k}"]) for v in ("word", "shape") for k in ("slot", "prose")}
 
-def sure(parts: list[str], j: pd.DataFrame) -> dict[str, np.ndarray]:
-    """Counts of the pieces that are filler or notice for certain."""
-    v = verdicts(j)
-    learn = {"filler": (j["filler"] >= SURE) | (j["size"] >= LONG_PIECE), "notice": j["notice"] >= SURE}
-    return {k: counts_of([parts[i] for i in np.flatnonzero(v[k] & c)]) for k, c in learn.items()}
 
+def learned(start: dict[str, np.ndarray], sure: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The first round's counts with what is certain moved from prose to its kind."""
+    out = dict(start)
+    for k in ("filler", "notice"):
+        out[k + "_sure"] = sure[k]
+        out["prose"] = np.maximum(out["prose"] - sure[k], 0)
+    for v in ("word_prose", "shape_prose"):
+        out[v] = np.maximum(start[v] - sure[v], 0)
+    return out
 
-def sure_counts(docs: DataFrame, models) -> dict[str, np.ndarray]:
-    def run(batches):
-        total = {k: np.zeros((2 * ORDER, TABLE), dtype=np.int64) for k in LEARNED}
-        for pdf in batches:
-            for lo in range(0, len(pdf), 500):
-                parts, _, j = _judged(pdf.iloc[lo : lo + 500], _open(models))
-                for k, c in sure(parts, j).items():
-                    total[k] += c
-        for k, t in total.items():
-            yield _packed(t, k)
 
-    return _gather(docs.select("text").mapInPandas(run, _COUNTS))
+def _send(spark: SparkSession, models: dict):
+    """Broadcast models compressed, as most cells are alike; their size is fixed."""
+    return spark.sparkContext.broadcast({k: (m.dtype.str, m.shape, zlib.compress(m.tobytes(), 1)) for k, m in models.items()})
 
 
-def seed_models() -> dict[str, np.ndarray]:
-    return {k: counts_of(SEEDS[k]) for k in KINDS} | {"slot_shape": counts_of(shapes(SEEDS["slot"]))}
+_OPENED: dict = {}
 
 
-def learned(start: dict[str, np.ndarray], extra: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """The first round's models with what is certain moved from prose to its kind."""
-    out = dict(start)
-    for k, c in extra.items():
-        out[k] = start[k] + c
-        out["prose"] = np.maximum(out["prose"] - c, 0)
-    return out
+def _open(sent) -> dict:
+    """A worker's models, unpacked once."""
+    if sent.value is not _OPENED.get("of"):
+        _OPENED.clear()
+        _OPENED.update({"of": sent.value, "models": {k: np.frombuffer(zlib.decompress(m), dtype=t).reshape(s).astype(np.float32) for k, (t, s, m) in sent.value.items()}})
+    return _OPENED["models"]
 
 
-def fit(docs: DataFrame) -> dict[str, np.ndarray]:
+def fit(docs: DataFrame) -> dict:
     """All models, after the second round."""
-    spark = docs.sparkSession
-    start = seed_models() | prose_counts(docs)
-    return learned(start, sure_counts(docs, _send(spark, start)))
+    counts = seed_counts() | {k: c for k, c in _gather(docs, lambda chunk: chunk.prose()).items() if "prose" in k}
+    first = _send(docs.sparkSession, models_of(counts))
+    return models_of(learned(counts, _gather(docs, lambda chunk: chunk.sure(_open(first)))))
 
 
-def residue(docs: DataFrame, per_batch: int = 500) -> DataFrame:
+def residue(docs: DataFrame) -> DataFrame:
     """(doc_id, slot, filler, notice, coverage): each document with residue, the pieces of each kind, and their share of its text.
 
-    Empty and null texts have no residue; a repeated doc_id is judged by any of its rows.
+    Empty and null texts have no residue; a repeated doc_id is judged by any of its rows, a null one is left out. Other columns are not read.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     models = _send(docs.sparkSession, fit(docs))
 
     def run(batches):
-        for pdf in batches:
-            for lo in range(0, len(pdf), per_batch):
-                part = pdf.iloc[lo : lo + per_batch]
-                _, own, j = _judged(part, _open(models))
-                v = verdicts(j)
-                n = len(part)
-                add = lambda x: np.bincount(own, weights=x, minlength=n)
-                hits = {k: add(v[k].to_numpy(float)).astype(int) for k in KINDS}
-                bad = add(np.where(v.any(axis=1), j["size"], 0)) / np.maximum(add(j["size"].to_numpy(float)), 1)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), **hits, "coverage": bad})
-
-    found = docs.mapInPandas(run, "doc_id bigint, slot int, filler int, notice int, coverage double").where("slot + filler + notice > 0")
+        for rows, chunk in _chunks(batches):
+            j = chunk.judged(_open(models))
+            out = pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), **{k: j[k].to_numpy().astype(int) for k in KINDS}, "coverage": j["coverage"].to_numpy()})
+            yield out[out[list(KINDS)].any(axis=1)]
+
+    found = docs.mapInPandas(run, "doc_id bigint, slot int, filler int, notice int, coverage double")
     return found.groupBy("doc_id").agg(*(F.max(k).alias(k) for k in (*KINDS, "coverage")))
 
 

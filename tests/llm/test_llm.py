@@ -227,23 +227,61 @@ def test_code_validation_scores_all_held_out_files(spark, tmp_path, monkeypatch)
     assert held and got["generated"].marked == sum(i % 3 == 0 for i in held) and set(got) == set(codefiles.KINDS)
 
 
+PROSE = [
+    "The committee heard many witnesses and the report was adopted after a long debate.", "My council pays a great deal towards the harbour, and I say so with care.",
+    "We shall divide the House on this question before the recess begins in summer. [Interruption.]", "The member for the northern towns spoke of schools (Hear, hear) and of the price of bread.",
+]
+BAD = [
+    (1001, PROSE[0] + "\n\nPlease enable JavaScript to view this page."), (1002, "404 Not Found. The requested page was not found on this server."), (1003, "The committee heard {{speaker_name}} many witnesses."),
+    (1004, "Lorem ipsum dolor sit amet, consectetur adipiscing elit."), (1005, '"Lorem ipsum dolor sit amet, consectetur adipiscing elit."'), (1006, "«Error 404: page not found. " + "The page you requested does not exist. " * 9 + "»"),
+    (1007, 'I thank "{{ speaker_name }}" for the report.'), (1008, "Dies ist ein Blindtext, er füllt nur die Seite."), (1009, "My council pays [INSERT AMOUNT HERE] towards the harbour."), (1010, "404 Not Found"),
+]
+FINE = [
+    (2001, 'The form says "please enable JavaScript" and my constituents are lost, which the committee heard from many witnesses.'), (2002, ""), (2003, None), (2004, 'The letter opened with the words "Dear {{first_name}}", which says it all.'),
+    (2005, "[Interruption.]"), (2006, "   \n "), (2007, "The draft still has [name] on its second page."),
+]
+
+
 def test_residue(spark):
-    prose = ["The committee heard many witnesses and the report was adopted after a long debate.", "My council pays a great deal towards the harbour, and I say so with care.", "We shall divide the House on this question before the recess begins in summer."]
-    rows = [(i, " ".join(random.Random(i).sample(prose, 2))) for i in range(300)]
-    bad = [(1001, prose[0] + "\n\nPlease enable JavaScript to view this page."), (1002, "404 Not Found. The requested page was not found on this server."), (1003, "The committee heard {{speaker_name}} many witnesses."), (1004, "Lorem ipsum dolor sit amet, consectetur adipiscing elit.")]
-    fine = [(2001, 'The form says "please enable JavaScript" and my constituents are lost, which the committee heard from many witnesses.'), (2002, ""), (2003, None)]
-    df = spark.createDataFrame(rows + bad + fine + bad[:1], "doc_id bigint, text string").withColumn("slot", F.lit("x"))
+    rows = [(i, " ".join(random.Random(i).sample(PROSE, 2))) for i in range(2000)]
+    df = spark.createDataFrame(rows + BAD + FINE + BAD[:1] + [(None, BAD[0][1])], "doc_id bigint, text string").withColumn("slot", F.lit("x"))
     got = {r.doc_id for r in residue.residue(df).collect()}
-    assert got == {1001, 1002, 1003, 1004}
+    assert got == {i for i, _ in BAD}
     assert residue.residue(df.limit(0)).count() == 0
 
 
-def test_residue_tables_keep_grams_apart():
-    """As many distinct 5-grams as sf0.1 has: few may share a cell with another one."""
-    text = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz ", k=83_000)).encode()
-    cells = dict(zip((text[i - 4 : i + 1] for i in range(4, len(text))), residue._grams(np.frombuffer(text, dtype=np.uint8))[4][4:]))
-    taken = np.bincount(list(cells.values()), minlength=residue.TABLE)
-    assert len(taken) == residue.TABLE and taken[taken > 1].sum() < 0.2 * len(cells)
+def test_residue_does_not_depend_on_the_size_of_the_collection():
+    texts = [" ".join(random.Random(i).sample(PROSE, 2)) for i in range(300)] + [t for _, t in BAD + FINE]
+    chunk = residue._Chunk(texts)
+    seeds, prose = residue.seed_counts(), chunk.prose()
+
+    def found(times):
+        counts = seeds | {k: c * times for k, c in prose.items()}
+        empty = {k: np.zeros(s, dtype=np.int64) for k, s in residue._SHAPES.items()}
+        sure = chunk.sure({k: m.astype(np.float32) for k, m in residue.models_of(counts).items()})
+        counts = residue.learned(counts, empty | {k: c * times for k, c in sure.items()})
+        return chunk.judged({k: m.astype(np.float32) for k, m in residue.models_of(counts).items()})[list(residue.KINDS)]
+
+    small, large = found(1), found(100_000)
+    assert small.equals(large) and small.to_numpy().any()
+
+
+def test_residue_counts_survive_packing():
+    t = np.zeros((2, 1 << 15), dtype=np.int64)
+    t[0, 5], t[1, 40] = 2**40, 7
+    back = np.zeros_like(t)
+    for r in residue._packed({"x": t}, 3).itertuples():
+        cells, n = residue._unpacked(r.counts)
+        back.reshape(-1, residue._BLOCK)[r.block, cells] = n
+    assert (back == t).all()
+
+
+def test_residue_pieces_and_units():
+    assert residue.pieces(None) == [] and residue.pieces(" \r\n ") == []
+    assert residue.pieces('He said "a b. C d" twice.\nNext')[0] == ("a b.", 0, True) and residue.pieces("x\nNext line")[1] == ("Next line", 1, False)
+    assert residue.pieces("a const-\nituent")[0][0] == "a constituent"
+    assert residue.units("I {{Member Name}} [to be done] no no x_y.") == ["I", "{{Member Name}}", "[to be done]", "no no", "x_y."]
+    assert "".join(p for p, _, _ in residue.pieces("z" * 250_000)) == "z" * 250_000
 
 
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no test data")
