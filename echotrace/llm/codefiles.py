@@ -1,15 +1,17 @@
 """Source files that nobody wrote by hand: generated, minified, vendored and data saved as code.
 
-Linear support-vector classifiers, one per kind, on hashed character n-grams (of comments, and of the code with names,
-numbers and strings masked), line shapes and path components. There are no labels; the well-known marks below label the
-rows of a bounded sample. So that a classifier learns the look of the code and not only the marks, each marked row is
-also shown with its marks masked, and rows the first fit finds to be unmarked cases are not used as counter-examples in
-the next. Validation is split by repository (p5_validation). Third-party source is recognised by where it lies or by
-its banner; a copy of it elsewhere has neither, so files equal to a recognised one but for comments and blanks follow it.
+Linear support-vector classifiers on hashed character n-grams (of comments, and of the code with names, numbers and strings
+masked), line shapes and path components, of three views of a file: the whole file for all kinds, and for the kinds that a banner tells, its
+comments and each single line of them. There are no labels; the public marks below label the rows of a bounded sample. So that a classifier
+learns the look of the code and the words around a mark and not only the mark, each marked row is also shown with its marks masked.
+What a fit on the other repositories finds among the unmarked rows joins the positives of the next fit when it is clear, and is no
+counter-example when it is in doubt. Folds and validation (p5_validation) are split by repository. Third-party source is recognised by where
+it lies or by its banner; a copy of it elsewhere has neither, so files equal to a recognised one but for comments and blanks follow it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -20,21 +22,31 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.skew import hot_keys, salted_lookup
 from ..session import cut_lineage, table
-from .linear import DIMS, fit_svm, gram_ids, score, word_ids
-
-#: Most rows of a training sample; rows are taken in the order of a hash of their id.
-SAMPLE_ROWS = 6000
-#: Cost of a training error, and the score from which an unmarked row is no counter-example.
-COST, DOUBT, FOLDS = 1.0, -0.5, 2
+from .linear import DIMS, Model, fit_svms, gram_ids, merged, scores, word_ids
+
+#: Most rows and most bytes of a training sample; rows are taken in the order of a hash of their id, those that don't fit are passed over.
+SAMPLE_ROWS, SAMPLE_BYTES = 6000, 64 << 20
+#: Of each view: the cost of a training error; the scores from which an unmarked row is no counter-example, and is a case; rounds of that;
+#: the most that marked rows weigh against others.
+VIEWS = {"file": (0.3, -0.5, 0.3, 3, 10.0), "header": (0.1, -0.6, 0.1, 12, 30.0), "line": (0.1, -0.8, -0.1, 12, 50.0)}
+FOLDS = 2
 KINDS = ("generated", "minified", "vendored", "data")
+#: Kinds that a banner tells.
+TOLD = ("generated", "vendored")
 
-# Marks of tools and third parties in common use. They label training rows; they decide no file.
+# Public marks of tools and third parties. They label training rows; they decide no file. At the start of a comment line:
 GENERATED_MARKS = re.compile(
-    r"code generated by .*do not edit|@generated|<auto-?generated|auto[- ]?generated (file|by|stubs)|automatically generated by|generated by the .* compiler"
-    r"|generated code - do not modify|machine-written by|produced by a tool|generated from .*regenerate|do not edit: output of"
-    r"|automatisch erzeugt|erstellt durch generator|fichier produit par|se genera con|edits do not survive|overwritten by the next build"
-    r"|source-digest: |emitted by build step|digest [0-9a-f]{12,}, tool |rebuilt on every release"
+    r"^[^\w@<]*(?:"
+    r"code generated\b.*\bdo not edit|generated code\b.*\bdo not (?:edit|modify)"  # Go's convention; Dart's build_runner
+    r"|@generated\b|@autogenerated\b|<auto-?generated"  # Relay and many others; .NET
+    r"|(?:this (?:file|code) (?:is|was) )?(?:automatically|auto-?) ?generated\b(?! banner)|(?:this (?:file|code) (?:is|was) )?generated by\b(?! call)"  # protoc, SWIG, ANTLR, Thrift
+    r"|this code was (?:generated|produced) by a tool|changes to this file (?:may|will) .*\blost\b"  # .NET designers
+    r"|automatisch (?:generiert|erzeugt)\b|(?:fichier )?généré automatiquement\b|generado automáticamente\b"  # the same in translation
+    r")",
+    re.M,
 )
+#: Line directives of parser generators (yacc, lex).
+LINE_DIRECTIVE = re.compile(r'^\s*#line \d+ ".*\.[yl]"', re.M)
 GENERATED_PATHS = re.compile(r"(_pb2(_grpc)?\.py|_pb\.\w+|_services_pb\.rb|\.pb(\.gw|-c)?\.\w+|\.(g|gen|generated)\.\w+|outerclass\.java|\.tab\.c)$")
 GENERATED_PARTS = frozenset("gen generated autogen".split())
 #: So many numbers in a row are a table that no hand wrote (parser tables and the like).
@@ -42,8 +54,15 @@ TABLE = re.compile(r"(?:-?\b9\b,\s*){60}")
 MINIFIED_PATHS = re.compile(r"([.-]min|\.bundle|-[0-9a-f]{8,})\.(js|ts|css)$")
 VENDORED_PARTS = frozenset("node_modules bower_components third_party thirdparty vendor godeps external deps ext jspm_packages".split())
 VENDORED_MARKS = re.compile(
-    r"@license |upstream-name:|see copying in the upstream|vendored from |taken as is from https?:|imported verbatim from"
-    r"|unverändert übernommen|diff against upstream|bug reports: |see authors upstream|released under the mit licence"
+    r"^\W*(?:"
+    r"@license\b|@preserve\b"  # comments that bundlers keep
+    r"|upstream-(?:name|contact|version):"  # fields of Debian's machine-readable copyright files and of package metadata
+    r"|vendored from\b"
+    r"|this file is part of \w+|\w+ is free software[;:]"  # the GNU notice
+    r"|(?:released|distributed|licensed) under the (?:mit|bsd|apache)\b"
+    r"|copyright\b.*\b(?:contributors|authors)\b"  # "The Go Authors" and the like
+    r")",
+    re.M,
 )
 
 _LINES = re.compile(r"\r\n|\r|\n")
@@ -59,6 +78,7 @@ _NAME = re.compile(r"\b(?!(?:" + "|".join(_KEYWORDS.split()) + r")\b)[A-Za-z_$][
 _BLANK = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 _HEX = re.compile(r"\b[0-9a-f]*\d[0-9a-f]{5,}\b")
+_WORD = re.compile(r"[^\W\d_]{3,}")
 
 
 def clean_path(path: str | None) -> str:
@@ -89,48 +109,72 @@ def shape(code: str) -> str:
 
 
 def features(path: str, comments: str, code: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features in blocks of unit length: path, comments, code, and how far line shapes repeat; empty blocks are left out."""
+    """Hashed features in blocks of unit length: file name, folders, comments, their words, code, and how far line shapes repeat; empty blocks are left out."""
     blocks = []
     if path:
         *dirs, name = path.split("/")
         name = _HEX.sub("h", _DIGITS.sub("9", name)) if not _HEX.search(name) else _HEX.sub("h", name)
         ext = name[name.find(".") :] if "." in name else ""
         stem_end = re.findall(r"[_.-][a-z0-9]+", name)
-        blocks.append(word_ids([*("d:" + d for d in {re.sub(r"\d[\d.]*", "9", d) for d in dirs}), "x:" + ext, *("e:" + s for s in stem_end[-3:])]))
+        blocks.append(word_ids(["x:" + ext, *("e:" + s for s in stem_end[-3:])]))
+        known = VENDORED_PARTS | GENERATED_PARTS
+        if dirs:
+            blocks.append(word_ids({"d:" + d for d in dirs if d in known} | {"n:" + w for d in dirs if d not in known for w in _WORD.findall(d)}))
     if comments:
         text = _HEX.sub("h", _DIGITS.sub("9", comments))
-        blocks.append(np.concatenate([gram_ids(text, 5, 5), word_ids({"w:" + w for w in text.split()})]))
+        blocks.append(gram_ids(text, 5, 5))
+        # A library or tool that is known from a folder is known in a banner.
+        blocks.append(word_ids({"n:" + w for w in _WORD.findall(comments)}))
     if code:
         lines = [_BLANK.sub(" ", s.strip()) for s in shape("\n".join(code)).split("\n")]
         uniq = set(lines)
         pairs = {f"b:{x}|{y}" for x, y in zip(lines, lines[1:])}
         blocks.append(np.concatenate([gram_ids("\n".join(sorted(uniq)), 4, 4), word_ids({"l:" + s for s in uniq} | pairs)]))
         runs = Counter(zip(lines, lines[1:], lines[2:]))
+        held = [f"p:{int(10 * payload(code))}", f"i:{min(int(np.log2(1 + len(set(_NAME.findall(_STRING.sub('', chr(10).join(code))))))), 9)}"]
         if runs:
             total = sum(runs.values())
             varied, most = int(10 * len(runs) / total), int(10 * max(runs.values()) / total)
             size = int(np.log2(total + 1))
-            blocks.append(word_ids([f"v:{varied}", f"m:{most}", f"vm:{varied}:{most}", f"vn:{varied}:{size}", f"mn:{most}:{size}"]))
+            held += [f"v:{varied}", f"m:{most}", f"vm:{varied}:{most}", f"vn:{varied}:{size}", f"mn:{most}:{size}"]
+        blocks.append(word_ids(held))
     if not blocks:
         return np.zeros(0, dtype=np.int64), np.zeros(0)
     return np.concatenate(blocks), np.concatenate([np.full(len(b), 1.0 / np.sqrt(max(1, len(b)))) for b in blocks])
 
 
+def line_features(line: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams, words and pairs of words of one line of comment."""
+    line = _HEX.sub("h", _DIGITS.sub("9", line))
+    w = _WORD.findall(line)
+    blocks = [b for b in (gram_ids(line, 5, 5), word_ids({"n:" + x for x in w}), word_ids({f"b:{x} {y}" for x, y in zip(w, w[1:])})) if len(b)]
+    if not blocks:
+        return np.zeros(0, dtype=np.int64), np.zeros(0)
+    return np.concatenate(blocks), np.concatenate([np.full(len(b), 1.0 / np.sqrt(len(b))) for b in blocks])
+
+
+def payload(code: list[str]) -> float:
+    """The share of the code that is numbers, strings and the signs between them."""
+    body = "\n".join(code)
+    names = sum(map(str.isalpha, _NUMBER.sub("", _STRING.sub("", body))))
+    return 1.0 - names / max(sum(not c.isspace() for c in body), 1)
+
+
 def marked(path: str, comments: str, code: list[str]) -> dict[str, bool]:
-    """Which kinds the common marks name."""
+    """Which kinds the public marks name."""
     body = "\n".join(code)
     longest = max((len(s) for s in code), default=0)
     dense = len(body) > 110 * len(code) and sum(map(str.isspace, _STRING.sub("", body))) < 0.06 * len(body)
-    letters = sum(len(m) for m in _NAME.findall(_STRING.sub("", body)))
+    few = len(set(_NAME.findall(_STRING.sub("", body)))) <= 8
     return {
         "generated": bool(
             GENERATED_MARKS.search(comments) or GENERATED_PATHS.search(path) or GENERATED_PARTS & set(path.split("/")[:-1])
-            or TABLE.search(shape(body)) and "(" in body
+            or LINE_DIRECTIVE.search(body) or LINE_DIRECTIVE.search(comments) or TABLE.search(shape(body)) and "(" in body and not few
         ),
         "minified": longest > 150 and (bool(MINIFIED_PATHS.search(path)) or dense),
         "vendored": bool(VENDORED_PARTS & set(path.split("/")[:-1]) or VENDORED_MARKS.search(comments)),
-        "data": len(body) > 400 and letters < 0.08 * len(body),
-    }
+        "data": len(body) > 400 and few and payload(code) > 0.7,
+    }
 
 
 def _masked_comments(comments: str, marks: re.Pattern) -> str:
@@ -150,60 +194,108 @@ def masked(path: str, comments: str, code: list[str]) -> tuple[str, str, list[st
 def _views(path: str, comments: str, code: list[str], kinds: dict[str, bool]):
     """The row as it is, and with the marks of its kind masked where something else tells its kind."""
     yield path, comments, code
-    if kinds["generated"] and GENERATED_PATHS.search(path):
-        plain = GENERATED_PATHS.sub(lambda m: "." + m[0].rsplit(".", 1)[1], path)
-        yield plain, _masked_comments(comments, GENERATED_MARKS), code
-        yield "src/" + plain.rsplit("/", 1)[-1], "", code
-    elif kinds["generated"] and GENERATED_MARKS.search(comments):
-        yield "src/" + path.rsplit("/", 1)[-1], comments, []
+    bare = "src/" + path.rsplit("/", 1)[-1]
+    if kinds["generated"]:
+        if GENERATED_MARKS.search(comments):
+            yield bare, comments, []
+            yield bare, GENERATED_MARKS.sub("", comments), []  # the words around the mark
         yield masked(path, comments, code)
-    elif kinds["generated"]:
-        yield "src/" + path.rsplit("/", 1)[-1], "", code
     if kinds["minified"]:
         yield MINIFIED_PATHS.sub(r".\2", path), "", code
     if kinds["data"]:
         yield "", "", code
     if kinds["vendored"]:
-        here, banner = bool(VENDORED_PARTS & set(path.split("/")[:-1])), bool(VENDORED_MARKS.search(comments))
-        if here:
+        if VENDORED_PARTS & set(path.split("/")[:-1]):
             yield path, "", code
-        if banner:
-            yield "src/" + path.rsplit("/", 1)[-1], comments, code
+            yield "/".join(d for d in path.split("/")[:-1] if d not in VENDORED_PARTS) + "/x", "", []  # the library's name
+        if VENDORED_MARKS.search(comments):
+            yield bare, comments, code
+            yield bare, VENDORED_MARKS.sub("", comments), []
         yield masked(path, comments, code)
 
 
-def train(sample: pd.DataFrame) -> dict[str, tuple[np.ndarray, float]]:
-    """Classifiers from a sample with columns path and text. An empty sample gives classifiers that find nothing."""
-    rows, kinds_of, owner = [], [], []
+def _rows(view: str, sample: pd.DataFrame):
+    """Training rows of a view: (features, kinds marked, kinds it may teach, owner, whether it is shown as it is)."""
     for i, (path, text) in enumerate(zip(sample["file_path"], sample["src_text"])):
-        p = clean_path(path)
-        comments, code = split_source(text)
-        kinds = marked(p, comments, code)
-        for v in _views(p, comments, code, kinds):
-            rows.append(features(*v))
-            kinds_of.append(kinds)
-            owner.append(i)
-    if not rows:
-        return {k: (np.zeros(DIMS, dtype=np.float32), -1.0) for k in KINDS}
-    owner = np.array(owner)
-    base = 1.0 / np.bincount(owner)[owner]
-    models = {}
-    for k in KINDS:
-        y = np.array([1.0 if z[k] else -1.0 for z in kinds_of])
-        if (y < 0).all():
-            models[k] = (np.zeros(DIMS, dtype=np.float32), -1.0)
+        path, (comments, code) = clean_path(path), split_source(text)
+        kinds = marked(path, comments, code)
+        if view == "file":
+            for n, v in enumerate(_views(path, comments, code, kinds)):
+                yield features(*v), [kinds[k] for k in KINDS], [True] * len(KINDS), i, n == 0
             continue
-        weight = base * np.where(y > 0, 2.0, 1.0)
-        fold = owner % FOLDS
-        for eager in (3.0, 1.5):  # unmarked rows that look marked to a fit without them are no counter-examples
-            seen = np.zeros(len(rows))
-            for f in range(FOLDS):
-                m = fit_svm(rows, y, COST * weight * (fold != f) * np.where(y > 0, eager, 1.0), epochs=5)
-                for i in np.flatnonzero((fold == f) & (y < 0)):
-                    seen[i] = score(m, rows[i])
-            weight = np.where((y < 0) & (seen > DOUBT), 0.0, weight)
-        models[k] = fit_svm(rows, y, COST * weight)
-    return models
+        look = line_features if view == "line" else lambda c: features("", c, [])
+        for part in dict.fromkeys(comments.split("\n")) if view == "line" else [comments] if comments else []:
+            marks = {"generated": GENERATED_MARKS, "vendored": VENDORED_MARKS}
+            told = [bool(marks[k].search(part)) for k in TOLD]
+            # What a path or the code tells says nothing of the comments.
+            yield look(part), told, [t or not kinds[k] for t, k in zip(told, TOLD)], i, True
+            for n, k in enumerate(TOLD):
+                if told[n] and _WORD.search(rest := marks[k].sub("", part)):
+                    yield look(rest), told, [n == m for m in range(len(TOLD))], i, False
+        dirs = path.split("/")[:-1]
+        lies = next((n for n, d in enumerate(dirs) if d in VENDORED_PARTS), None)
+        if lies is not None:  # the names of third parties
+            name = [x for x in dirs[lies + 1 :] if x not in VENDORED_PARTS]
+            yield (line_features(name[0]) if view == "line" and name else features("/".join(dirs) + "/x", "", [])), [False, True], [False, True], i, False
+
+
+def train_view(view: str, sample: pd.DataFrame) -> Model:
+    """The classifiers of one view from a sample with columns file_path, src_text and repo. An empty sample gives classifiers that find nothing."""
+    cost, doubt_from, clear, rounds, most = VIEWS[view]
+    shown = [(merged(f), *rest) for f, *rest in _rows(view, sample)]
+    width = len(KINDS if view == "file" else TOLD)
+    if not shown:
+        return np.zeros((DIMS, width), dtype=np.float32), np.full(width, -1.0)
+    rows = [r[0] for r in shown]
+    marks, use, owner, first = (np.array([r[n] for r in shown]) for n in (1, 2, 3, 4))
+    base = cost * (1.0 / np.bincount(owner)[owner])[:, None] * use
+    fold = np.array([zlib.crc32(str(r).encode()) % FOLDS for r in sample["repo"]])[owner]
+    found, doubt = np.zeros(marks.shape, dtype=bool), np.zeros(marks.shape, dtype=bool)
+
+    def fit(weight, parts: int, epochs: int) -> Model:
+        pos = marks | found
+        c = base * np.where(pos, weight(pos), 1.0) * ~(doubt & ~pos)
+        # All folds' machines at once: each learns from the other repositories.
+        split = np.concatenate([c * (fold != f)[:, None] for f in range(parts)], axis=1) if parts > 1 else c
+        return fit_svms(rows, np.tile(np.where(pos, 1.0, -1.0), parts), split, epochs)
+
+    for _ in range(rounds):
+        model = fit(lambda pos: np.minimum((~pos & use).sum(0) / np.maximum((pos & use).sum(0), 1), most), FOLDS, 4)
+        for i in np.flatnonzero(first):
+            s = scores(model, rows[i])[fold[i] * width : (fold[i] + 1) * width]
+            found[i], doubt[i] = (s > clear) & ~marks[i], s > doubt_from
+    return fit(lambda pos: 2.0, 1, 6)
+
+
+Models = dict[str, Model]
+
+
+def train(spark: SparkSession, sample: pd.DataFrame) -> Models:
+    """The classifiers of all views, each fitted in a task of its own on the broadcast sample, whose size is bounded."""
+    sent = spark.sparkContext.broadcast(sample[["file_path", "src_text", "repo"]])
+
+    def run(batches):
+        for pdf in batches:
+            for view in pdf["view"]:
+                w, b = train_view(view, sent.value)
+                yield pd.DataFrame({"view": [view], "w": [zlib.compress(w.tobytes(), 1)], "b": [b.astype("<f8").tobytes()]})
+
+    views = spark.createDataFrame([(v,) for v in VIEWS], "view string").repartitionByRange(len(VIEWS), "view")
+    out = {}
+    for r in views.mapInPandas(run, "view string, w binary, b binary").collect():  # one row a view
+        b = np.frombuffer(r.b, dtype="<f8")
+        out[r.view] = np.frombuffer(zlib.decompress(r.w), dtype=np.float32).reshape(DIMS, len(b)), b
+    return out
+
+
+def judge(models: Models, path: str, comments: str, code: list[str]) -> np.ndarray:
+    """The best score of each of KINDS over the views of a file."""
+    best = scores(models["file"], features(path, comments, code))
+    if comments:
+        told = np.maximum(scores(models["header"], features("", comments, [])), np.max([scores(models["line"], line_features(c)) for c in set(comments.split("\n"))], axis=0))
+        for n, k in enumerate(TOLD):
+            best[KINDS.index(k)] = max(best[KINDS.index(k)], told[n])
+    return best
 
 
 def score_files(files: DataFrame, models) -> DataFrame:
@@ -214,26 +306,38 @@ def score_files(files: DataFrame, models) -> DataFrame:
             out = []
             for fid, path, text in zip(pdf["file_id"], pdf["file_path"], pdf["src_text"]):
                 comments, code = split_source(text)
-                ids, vals = features(clean_path(path), comments, code)
-                s = [score(models.value[k], (ids, vals)) for k in KINDS]
                 packed = _BLANK.sub("", "".join(code)).encode("utf-8", "replace")
-                out.append((fid, (zlib.crc32(packed) << 31) ^ (zlib.adler32(packed) ^ len(packed)) if packed else None, *s))
-            yield pd.DataFrame(out, columns=["file_id", "content", *KINDS]).astype({"content": "Int64"})
+                out.append((fid, hashlib.sha256(packed).hexdigest() if packed else None, *judge(models.value, clean_path(path), comments, code).tolist()))
+            yield pd.DataFrame(out, columns=["file_id", "content", *KINDS])
 
-    return files.select("file_id", "file_path", "src_text").mapInPandas(run, "file_id int, content bigint, " + ", ".join(f"{k} double" for k in KINDS))
+    return files.select("file_id", "file_path", "src_text").mapInPandas(run, "file_id int, content string, " + ", ".join(f"{k} double" for k in KINDS))
+
+
+def with_repo(files: DataFrame, runs: DataFrame) -> DataFrame:
+    """Add `repo`, the repository of the file's run without case and blanks; the run itself where that is unknown."""
+    repos = runs.where("run_id is not null").groupBy("run_id").agg(F.min(F.lower(F.trim("repo"))).alias("_repo"))
+    own = files.join(repos, "run_id", "left")
+    return own.withColumn("repo", F.coalesce("_repo", F.concat(F.lit("run "), F.col("run_id").cast("string")), F.lit(""))).drop("_repo")
 
 
 def sample_of(files: DataFrame) -> pd.DataFrame:
-    """At most SAMPLE_ROWS files in the order of a hash of their id: the ids are chosen first, then their texts are fetched."""
-    ids = files.select("file_id").distinct().orderBy(F.xxhash64("file_id"), "file_id").limit(SAMPLE_ROWS)
-    rows = files.select("file_id", "file_path", "src_text", "run_id").join(F.broadcast(ids), "file_id", "left_semi")
+    """At most SAMPLE_ROWS files and SAMPLE_BYTES of text, in the order of a hash of their id: ids and sizes first, then the texts."""
+    sizes = files.groupBy("file_id").agg(F.max(F.coalesce(F.octet_length("src_text"), F.lit(0)) + F.coalesce(F.octet_length("file_path"), F.lit(0))).alias("n"), F.count(F.lit(1)).alias("rows"))
+    ids = sizes.orderBy(F.xxhash64("file_id"), "file_id").limit(SAMPLE_ROWS).toPandas()
+    fits, left = [], SAMPLE_BYTES
+    for fid, n, rows in ids.itertuples(index=False):
+        if n * rows <= left:
+            fits.append(int(fid))
+            left -= n * rows
+    chosen = files.sparkSession.createDataFrame([(i,) for i in fits], "file_id int")
+    rows = files.select("file_id", "file_path", "src_text", "repo").join(F.broadcast(chosen), "file_id", "left_semi")
     return rows.toPandas().sort_values(["file_id", "file_path"]).drop_duplicates("file_id").reset_index(drop=True)
 
 
-def not_hand_written(files: DataFrame) -> DataFrame:
+def not_hand_written(files: DataFrame, runs: DataFrame) -> DataFrame:
     """(file_id, kind): each file found, with its best kind. Repeated rows count once; a null text is an empty file."""
-    files = files.where("file_id is not null")
-    models = files.sparkSession.sparkContext.broadcast(train(sample_of(files)))
+    files = files.where("file_id is not null").select("file_id", "run_id", "file_path", "src_text")
+    models = files.sparkSession.sparkContext.broadcast(train(files.sparkSession, sample_of(with_repo(files, runs))))
     scored = cut_lineage(score_files(files, models))
     best = F.greatest(*KINDS)
     kind = F.element_at(F.array(*(F.lit(k) for k in KINDS)), F.array_position(F.array(*KINDS), best).cast("int"))
@@ -244,21 +348,25 @@ def not_hand_written(files: DataFrame) -> DataFrame:
     return direct.union(copies.select("file_id", F.lit("vendored"))).groupBy("file_id").agg(F.min("kind").alias("kind"))
 
 
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return not_hand_written(table(spark, sf_dir, "tokenized_files"), table(spark, sf_dir, "detect_runs"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each file that is not hand-written."""
-    return not_hand_written(table(spark, sf_dir, "tokenized_files")).select("file_id")
+    return _found(spark, sf_dir).select("file_id")
 
 
 def p5_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kind of each file that is not hand-written."""
-    return not_hand_written(table(spark, sf_dir, "tokenized_files"))
+    return _found(spark, sf_dir)
 
 
 def p5_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per kind, on all files of repositories held out of training and with all marks masked: rows marked, found, and both."""
-    files = table(spark, sf_dir, "tokenized_files").where("file_id is not null")
-    held = F.coalesce(F.crc32(F.col("run_id").cast("string")) % 4 == 0, F.lit(False))
-    models = spark.sparkContext.broadcast(train(sample_of(files.where(~held))))
+    files = with_repo(table(spark, sf_dir, "tokenized_files").where("file_id is not null"), table(spark, sf_dir, "detect_runs"))
+    held = F.crc32(F.col("repo")) % 4 == 0
+    models = spark.sparkContext.broadcast(train(spark, sample_of(files.where(~held))))
 
     def run(batches):
         for pdf in batches:
@@ -266,8 +374,8 @@ def p5_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
             for fid, path, text in zip(pdf["file_id"], pdf["file_path"], pdf["src_text"]):
                 p, (comments, code) = clean_path(path), split_source(text)
                 kinds = marked(p, comments, code)
-                row = features(*masked(p, comments, code))
-                out.append((fid, path, *(x for k in KINDS for x in (kinds[k], score(models.value[k], row) > 0))))
+                found = judge(models.value, *masked(p, comments, code)) > 0
+                out.append((fid, path, *(x for k, y in zip(KINDS, found) for x in (kinds[k], bool(y)))))
             yield pd.DataFrame(out, columns=["file_id", "file_path", *flags])
 
     flags = [f"{k}_{x}" for k in KINDS for x in ("marked", "found")]

@@ -28,31 +28,43 @@ def word_ids(words) -> np.ndarray:
 
 
 Row = tuple[np.ndarray, np.ndarray]
+#: Weights (DIMS, outputs) and biases of several machines.
+Model = tuple[np.ndarray, np.ndarray]
 
 
-def score(model: tuple[np.ndarray, float], row: Row) -> float:
+def merged(row: Row) -> Row:
+    """The row with each feature once."""
+    ids, at = np.unique(row[0], return_inverse=True)
+    return ids, np.bincount(at, weights=row[1], minlength=len(ids))
+
+
+def scores(model: Model, row: Row) -> np.ndarray:
     w, b = model
-    return float(np.dot(w[row[0]], row[1])) + b
+    return row[1] @ w[row[0]] + b
 
 
-def fit_svm(rows: list[Row], y: np.ndarray, cost: np.ndarray, epochs: int = 8, seed: int = 7) -> tuple[np.ndarray, float]:
-    """(w, bias) of an L2-regularised squared-hinge SVM with targets +-1 and a cost per row, by dual coordinate descent.
+def fit_svms(rows: list[Row], y: np.ndarray, cost: np.ndarray, epochs: int = 6, seed: int = 7) -> Model:
+    """L2-regularised squared-hinge SVMs with targets y (rows, outputs) of +-1 and costs alike, by dual coordinate descent on all outputs at once.
 
-    The bias is regularised like a weight. The result is fixed for given input. Rows of cost 0 are left out.
+    Rows have each feature once. The biases are regularised like weights. Results are fixed for given input. A row of cost 0 is left out
+    of that output; an output without positive rows finds nothing.
     """
-    w, b = np.zeros(DIMS), 0.0
-    alpha = np.zeros(len(rows))
-    diag = np.array([1.0 + float(np.dot(v, v)) + 0.5 / c if c > 0 else 1.0 for (_, v), c in zip(rows, cost)])
-    live = np.flatnonzero(cost > 0)
+    k = y.shape[1]
+    w, b = np.zeros((DIMS, k)), np.zeros(k)
+    alpha = np.zeros(y.shape)
+    half = np.where(cost > 0, 0.5 / np.where(cost > 0, cost, 1.0), 0.0)
+    diag = 1.0 + np.array([float(v @ v) for _, v in rows])[:, None] + half if rows else half
+    live = np.flatnonzero((cost > 0).any(axis=1))
     rnd = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rnd.permutation(live):
             ids, v = rows[i]
-            g = y[i] * (np.dot(w[ids], v) + b) - 1.0 + alpha[i] * 0.5 / cost[i]
-            new = max(alpha[i] - g / diag[i], 0.0)
+            g = y[i] * (v @ w[ids] + b) - 1.0 + alpha[i] * half[i]
+            new = np.where(cost[i] > 0, np.maximum(alpha[i] - g / diag[i], 0.0), 0.0)
             d = (new - alpha[i]) * y[i]
-            if d:
+            if d.any():
                 alpha[i] = new
-                w[ids] += d * v
+                w[ids] += v[:, None] * d
                 b += d
-    return w.astype(np.float32), float(b)
+    b = np.where(((y > 0) & (cost > 0)).any(axis=0), b, -1.0)
+    return w.astype(np.float32), b

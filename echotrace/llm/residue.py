@@ -51,12 +51,12 @@ CHAIN, CHAIN_BITS, LEAN, SLOT, SURE_SLOT, PLAIN_WORDS = 5, 18, 1e-6, 4.2, 8.0, 3
 
 KINDS = ("slot", "filler", "notice")
 #: Characters judged at once; a single piece longer than LONGEST is read as several.
-CHUNK, LONGEST = 4_000_000, 100_000
+CHUNK, LONGEST = 16_000_000, 100_000
 #: Lanes of the first of two levels that add up counts.
 LANES = 512
 _BLOCK = 1 << 14
 _SPACE = re.compile(r"[^\S\n]+")
-_DIGITS = str.maketrans("012345678", "999999999")
+_DIGITS = re.compile(r"\d+")
 _QUOTE = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|„[^“”]*[“”]|‘[^’]*’(?!\w)")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[\"“«(\[¿¡A-ZÀ-Ý0-9{<@_%$#&])")
 _UNIT = re.compile(
@@ -77,10 +77,10 @@ MENTION = re.compile(
 
 
 def pieces(text: str | None) -> list[tuple[str, int, bool]]:
-    """(piece, line, quoted) of a text: quotations, and the sentences of each line around them. Null and blank texts have none."""
+    """(piece, line, quoted) of a text: quotations, and the sentences of each line around them, numbers being alike. Null and blank texts have none."""
     out = []
     for n, line in enumerate(_HYPHEN.sub("", (text or "").replace("\r\n", "\n").replace("\r", "\n")).split("\n")):
-        line = _SPACE.sub(" ", line).strip()
+        line = _DIGITS.sub("9", _SPACE.sub(" ", line)).strip()
         if not line:
             continue
         if _QUOTE.search(line):
@@ -111,7 +111,7 @@ class _Grams:
     """Cells of the n-grams that end at each byte of the given texts, which don't reach into their neighbours."""
 
     def __init__(self, parts: list[str], lower: bool = True):
-        raw = [(p.lower() if lower else p).translate(_DIGITS).encode("utf-8", "replace") for p in parts]
+        raw = [(p.lower() if lower else p).encode("utf-8", "replace") for p in parts]
         self.size = np.array([len(r) for r in raw], dtype=np.int64)
         self.last = np.cumsum(self.size + len(_PAD))  # one beyond the last byte
         self.first = self.last - self.size
@@ -156,7 +156,7 @@ class _Chain:
     """Cells of the n-grams, n = 1..CHAIN, that end at each byte of the given texts and at their ends, and of what precedes each byte."""
 
     def __init__(self, parts: list[str]):
-        raw = [p.translate(_DIGITS).encode("utf-8", "replace") for p in parts]
+        raw = [p.encode("utf-8", "replace") for p in parts]
         self.size = np.array([len(r) + 1 for r in raw], dtype=np.int64)  # the end counts
         a = np.frombuffer(b"".join(_PAD + r + b"\n" for r in raw), dtype=np.uint8).astype(np.uint64)
         self.last = np.cumsum(self.size + len(_PAD))
@@ -269,7 +269,7 @@ def unit_counts(parts: list[str], weight: np.ndarray | None = None) -> dict[str,
 
 
 def judge_units(parts: list[str], models) -> pd.DataFrame:
-    """Per unit: how much likelier its words and its shape are in slots than in prose, and whether it is a slot, for certain, or plainly written.
+    """Per unit: how much likelier its words and its shape are in slots than in prose, and whether it is a slot, and plainly written.
 
     Half of the words in slots are any words of prose. Plain brackets, as remarks of the clerk have them, need words of a slot; words
     without any sign need more of that, and no shape makes up for it.
@@ -283,7 +283,7 @@ def judge_units(parts: list[str], models) -> pd.DataFrame:
     total = out["word"] + np.where(bare, np.minimum(out["shape"], 0.0), out["shape"])
     sure = total >= SURE_SLOT
     slot = np.where(bare, sure, (total >= SLOT) & (~plain | (out["word"] >= PLAIN_WORDS)))
-    return pd.DataFrame({**out, "slot": slot, "slot_sure": slot & sure, "plain": bare | plain})
+    return pd.DataFrame({**out, "slot": slot, "plain": bare | plain})
 
 
 class _Chunk:
@@ -296,6 +296,9 @@ class _Chunk:
         self.quoted = np.array([r[3] for r in rows], dtype=bool)
         self.code, uniq = pd.factorize(np.array([r[1] for r in rows], dtype=object))
         self.parts, self.times = list(uniq), np.bincount(self.code, minlength=len(uniq))
+
+    def split(self) -> None:
+        """Find the units of the pieces."""
         per = [units(p) for p in self.parts]
         self.owner = np.repeat(np.arange(len(per)), [len(u) for u in per])
         self.unit, uniq = pd.factorize(np.array([u for us in per for u in us], dtype=object))
@@ -310,6 +313,7 @@ class _Chunk:
         """Per text: how many pieces of each kind it holds, and the share of it that they take. What a speaker quotes or speaks of is left out."""
         if not self.parts:
             return pd.DataFrame({k: np.zeros(self.n) for k in (*KINDS, "coverage")})
+        self.split()
         j, u = judge_pieces(self.parts, models), judge_units(self.units, models)
         slot = self.any_of(u["slot"].to_numpy(float))
         rest = j["filler"].to_numpy() | j["notice"].to_numpy()
@@ -328,20 +332,18 @@ class _Chunk:
         return pd.DataFrame(out)
 
     def prose(self) -> dict[str, np.ndarray]:
+        self.split()
         return {"prose": counts_of(self.parts, self.times), **{v + "_prose": c for v, c in unit_counts(self.units, self.unit_times).items()}}
 
     def sure(self, models) -> dict[str, np.ndarray]:
-        """Counts of what is residue for certain: what to add to each kind, and to take from prose."""
+        """Counts of the pieces that are residue for certain: what to add to each kind, and to take from prose."""
         if not self.parts:
             return {}
-        j, u = judge_pieces(self.parts, models), judge_units(self.units, models)
-        pick = lambda items, f: [items[i] for i in f]
-        out = {}
+        j, out = judge_pieces(self.parts, models), {}
         for k in ("filler", "notice"):
             f = np.flatnonzero(j[k + "_sure"])
-            out[k] = counts_of(pick(self.parts, f), self.times[f])
-        f = np.flatnonzero(u["slot_sure"])
-        return out | {v + "_prose": c for v, c in unit_counts(pick(self.units, f), self.unit_times[f]).items()}
+            out[k] = counts_of([self.parts[i] for i in f], self.times[f])
+        return out
 
 
 def _chunks(batches):
@@ -420,8 +422,6 @@ def learned(start: dict[str, np.ndarray], sure: dict[str, np.ndarray]) -> dict[s
     for k in ("filler", "notice"):
         out[k + "_sure"] = sure[k]
         out["prose"] = np.maximum(out["prose"] - sure[k], 0)
-    for v in ("word_prose", "shape_prose"):
-        out[v] = np.maximum(start[v] - sure[v], 0)
     return out
 
 

@@ -203,8 +203,10 @@ def test_code_classifier_separates(spark):
             rows.append((i, f"src/{word()}.go", body, i % 5))
     rows += [(1000, "src/plain.go", rows[0][2], 1), (1001, None, None, 1), (1002, "a.go", "", 1), (0, rows[0][1], rows[0][2], 0)]
     df = spark.createDataFrame(rows, "file_id int, file_path string, src_text string, run_id int").withColumn("content", F.lit(1))
-    got = {r.file_id for r in codefiles.not_hand_written(df).collect()}
-    assert got == {i for i in range(160) if i % 4 == 0} | {1000}
+    runs = spark.createDataFrame([(i, f" Repo-{i % 3} ", "x") for i in range(4)], "run_id int, repo string, src_text string")
+    got = {r.file_id for r in codefiles.not_hand_written(df, runs).collect()}
+    assert got == {i for i in range(160) if i % 4 == 0} | {1000}  # its code has the look of the marked ones
+    assert codefiles.not_hand_written(df.limit(0), runs).count() == 0
 
 
 def test_code_views_without_marks():
@@ -217,12 +219,37 @@ def test_code_views_without_marks():
     assert codefiles.masked("", "", []) == ("", "", [])
 
 
+def test_code_sample_is_bounded_in_bytes(spark, monkeypatch):
+    rows = [(i, "a.py", "x" * (10 if i % 5 else 5000), 1, "r") for i in range(100)]
+    df = spark.createDataFrame(rows + rows[:3], "file_id int, file_path string, src_text string, run_id int, repo string")
+    monkeypatch.setattr(codefiles, "SAMPLE_BYTES", 2000)
+    s = codefiles.sample_of(df)
+    assert len(s) > 50 and s["src_text"].str.len().sum() <= 2000
+
+
+def test_third_party_copies_follow_by_content(spark):
+    code = "\n".join(f"int f{i}(int a) {{ return a + {i}; }}" for i in range(30))
+    rows = [(i, f"{'vendor/lib' if i % 3 == 0 else 'src'}/m{i}.c", code.replace("f", "fgh"[i % 3] + "q") + f"\nint own{i // 3 if i % 3 else 0};", i % 4) for i in range(120)]
+    rows += [(900, "src/copy.c", "// note\n" + rows[0][2].replace(" ", "  "), 1), (901, "src/none.c", None, 1)]
+    df = spark.createDataFrame(rows, "file_id int, file_path string, src_text string, run_id int")
+    got = {r.file_id: r.kind for r in codefiles.not_hand_written(df, spark.createDataFrame([(0, "r")], "run_id int, repo string")).collect()}
+    assert got.get(900) == "vendored" and got.get(0) == "vendored" and 901 not in got
+
+
+def test_code_marks_are_public_banners_only():
+    assert codefiles.GENERATED_MARKS.search("// code generated by protoc-gen-go. do not edit.") and codefiles.GENERATED_MARKS.search("# generated by the protocol buffer compiler.  do not edit!")
+    assert not codefiles.GENERATED_MARKS.search("// writes the auto generated banner into every stub") and not codefiles.GENERATED_MARKS.search("// the key is generated by calling f")
+    assert codefiles.VENDORED_MARKS.search("/* this file is part of gcc. */") and not codefiles.VENDORED_MARKS.search("// used to be vendored, rewritten here")
+
+
 def test_code_validation_scores_all_held_out_files(spark, tmp_path, monkeypatch):
     rows = [(i, f"api/m{i}.pb.go" if i % 3 == 0 else f"src/m{i}.go", f"func f{i}() {{\n  return {i}\n}}\n" * 3, i % 8) for i in range(160)]
     df = spark.createDataFrame(rows + rows[:40], "file_id int, file_path string, src_text string, run_id int")
     df.write.parquet(str(tmp_path / "tokenized_files.parquet"))
+    spark.createDataFrame([(i, f"{'WEB' if i % 2 else 'web'}-{i // 2}") for i in range(7)], "run_id int, repo string").write.parquet(str(tmp_path / "detect_runs.parquet"))
+    repo = lambda r: f"web-{r // 2}" if r < 7 else "run 7"
     monkeypatch.setattr(codefiles, "SAMPLE_ROWS", 24)
-    held = [i for i in range(160) if codefiles.zlib.crc32(str(i % 8).encode()) % 4 == 0]
+    held = [i for i in range(160) if codefiles.zlib.crc32(repo(i % 8).encode()) % 4 == 0]
     got = {r.kind: r for r in codefiles.p5_validation(spark, str(tmp_path)).collect()}
     assert held and got["generated"].marked == sum(i % 3 == 0 for i in held) and set(got) == set(codefiles.KINDS)
 
