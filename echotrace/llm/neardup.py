@@ -1,31 +1,42 @@
-"""Near-duplicate sets under a Jaccard threshold, by segment-popcount embedding and grid join, exact.
+"""Near-duplicate sets under a Jaccard threshold, by segment-popcount embedding and grid range-join, exact.
 
-A set is embedded as the counts of its members in segments of the 64-bit hash space; the Manhattan distance of two
-embeddings never exceeds the size of the symmetric difference, and Jaccard >= t bounds that by (1-t)/(1+t)*(|A|+|B|).
-The embedding is used at two resolutions:
+A set is embedded as the counts of its members in segments of the 64-bit hash space. The Manhattan distance of two embeddings never exceeds
+the size of the symmetric difference, and Jaccard >= t bounds that by d = (1-t)/(1+t)*(|A|+|B|). The segments lie in groups, and the
+counts of one group are a grid cell: two sets within d agree in all but d groups at most, so among any d+1 groups there is one in which
+both stand in the same cell (the range of the join, d over more than d groups, is 0 cells in at least one of them).
 
-* at full resolution a dimension is one hash value with count 0 or 1. Two sets within the bound must agree in one of
-  their n - ceil(t*n) + 1 rarest occupied dimensions, so the grid join meets sets only in those cells;
-* at SEGMENTS segments the distance is computed for each pair that met, as a cheap lower bound, before the exact check.
+* Sizes are cut into bands a factor 1/t wide. Each set lies in the cells of its own band; it looks for partners no larger than itself in its
+  own band and the one below, whose layouts have as many groups as any pair can need, and SPARE more.
+* Of these groups a set may pass over all but d+1. It passes over those whose cells are fullest, so cells that many sets share, empty ones among
+  them, are looked up only by sets that have nothing rarer. Segments are as many as there are sets, so cells stay small as the input grows.
+* The distance over COARSE further segments is a cheap lower bound for each pair that met; the exact check follows.
 
-Equal sets are joined as one class and only expanded at the end. Values that occur once can match nothing and are only
-counted. A crowded cell is split into tiles of TILE rows on one side, so no task gets all pairs of a cell.
+Equal sets are joined as one class and only expanded at the end. A crowded cell is split into squares of TILE by TILE sets, so no task gets
+all pairs of a cell.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.skew import hot_keys, salted_lookup
+from ..operators.skew import HOT_PARTS, salted_lookup
 from ..session import cut_lineage, table
 from .components import components
 
 #: What a null or 0 in detect_runs.min_similarity stands for (fixed value).
 DEFAULT_MIN_SIMILARITY = 0.7
-#: Coarse segments of the lower bound.
-SEGMENTS = 32
-#: Rows of a crowded cell that meet the whole cell in one task.
-TILE = 512
+#: Groups beyond those that the bound needs.
+SPARE = 6
+#: Below this threshold a pair may differ in more members than there are groups with any; there each member is a group by itself.
+LOW = 0.5
+#: Fewest segments of a group.
+LEAST_SEGMENTS = 64
+#: Segments of the lower bound on pairs that met.
+COARSE = 32
+#: Sets of a crowded cell on either side of what one task compares.
+TILE = 2048
 _EPS = 1e-9
 
 
@@ -63,8 +74,8 @@ def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps, cut_lineage(members)
 
 
-def popcounts(s: Column, segments: int = SEGMENTS) -> Column:
-    """The coarse embedding: members of `s` per segment."""
+def popcounts(s: Column, segments: int = COARSE) -> Column:
+    """Members of `s` per segment."""
     seg = F.transform(s, lambda x: F.pmod(F.xxhash64(x), F.lit(segments)))
     # Counts are capped at what a byte holds, which can only lower a distance.
     return F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda i: F.least(F.size(F.filter(seg, lambda y: y == i)), F.lit(127)).cast("tinyint"))
@@ -74,45 +85,133 @@ def manhattan(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda acc, x: acc + x)
 
 
-def similar_classes(reps: DataFrame) -> DataFrame:
-    """(rep_a, rep_b, similarity) of each pair of classes of one run with Jaccard >= their run's t, rep_a < rep_b."""
-    n = F.size("s")
-    cells = cut_lineage(
-        reps.select("rep", "t", n.alias("n"), F.col("run_id"), F.explode("s").alias("x")).select(
-            "rep", "t", "n", F.xxhash64("run_id", "x").alias("cell")
-        )
-    )
-    total = cells.count()
-    if not total:
-        return reps.select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"), F.lit(0.0).alias("similarity")).limit(0)
-    counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
-    shared = salted_lookup(cells, counts, "cell", hot_keys(cells, "cell", total), F.col("rep"), "inner")
-    # The rarest cells first, in one order for all sets; the n - k cells that occur once come before them all.
-    per_set = shared.groupBy("rep", "n", "t").agg(F.array_sort(F.collect_list(F.struct("freq", "cell"))).alias("c"))
-    prefix = F.col("n") - F.ceil(F.col("t") * F.col("n") - _EPS) + 1
-    kept = (prefix - (F.col("n") - F.size("c"))).cast("int")
-    grid = cut_lineage(
-        per_set.where(kept > 0)
-        .select("rep", "n", "t", F.explode(F.slice("c", F.lit(1), F.least(kept, F.size("c")))).alias("e"))
-        .select("rep", "n", "t", "e.cell", F.ceil(F.col("e.freq") / TILE).cast("int").alias("tiles"))
+_U = np.uint64
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def bands(t: float, largest: int) -> list[int]:
+    """First sizes of the bands for a threshold, the last one above `largest`: a set's partners are in its band or a neighbour."""
+    out = [1]
+    while out[-1] <= largest:
+        out.append(max(out[-1] + 1, int(np.ceil(out[-1] / t - _EPS))))
+    return out
+
+
+def within(t: float, a: int, b: int) -> int:
+    """The largest symmetric difference of sets of these sizes with Jaccard >= t."""
+    return int((1 - t) / (1 + t) * (a + b) + _EPS)
+
+
+def lookups(t: float, n: int, limits: list[int]) -> list[tuple[int, int, int, bool]]:
+    """(band, groups of its layout, groups that a set of size n has to look up, whether it lies there) of the bands with partners up to size n.
+
+    Below LOW there is one layout, band -1, of a group for each member: ceil(t*n) of n members at least are common.
+    """
+    if t < LOW:
+        return [(-1, n, min(n, n - int(np.ceil(t * n - _EPS)) + 1), True)]
+    own = int(np.searchsorted(limits, n, side="right")) - 1
+    out = []
+    for k in (own, own - 1):
+        if k >= 0 and limits[k + 1] - 1 >= t * n - _EPS:
+            top = limits[k + 1] - 1
+            groups = within(t, int(top / t + _EPS), top) + 1 + SPARE
+            out.append((k, groups, within(t, n, min(n, top)) + 1, k == own))
+    return out
+
+
+_CELLS = "rep bigint, n int, t double, band int, groups int, need int, own boolean, cell bigint"
+
+
+def cells(reps: DataFrame, segments: int) -> DataFrame:
+    """Each set's grid cells: those it lies in (own) and those below, with how many of a band's it has to look up. t >= 1 gives none."""
+
+    def run(batches):
+        plans: dict = {}
+        for b in batches:
+            ids, runs, ts = (np.asarray(b.column(i)) for i in range(3))
+            off = np.asarray(b.column(3).offsets).astype(np.int64)
+            x = np.asarray(b.column(3).values)[off[0] : off[-1]].astype(np.int64).view(_U)
+            size = np.diff(off)
+            rows = []  # (row, band, groups, need, own)
+            for i, (t, n) in enumerate(zip(ts.tolist(), size.tolist())):
+                if t < 1:
+                    if (t, n) not in plans:
+                        plans[t, n] = lookups(t, n, bands(t, n) if t >= LOW else [])
+                    rows += [(i, *p) for p in plans[t, n]]
+            if not rows:
+                continue
+            row, band, groups, need, own = (np.array(c) for c in zip(*rows))
+            h = _mix(x + _U(0x9E3779B97F4A7C15))
+            count = size[row]
+            start = np.cumsum(count) - count
+            member = np.repeat(off[:-1][row] - off[0] - start, count) + np.arange(int(count.sum()))
+            of = np.repeat(np.arange(len(row)), count)
+            base = np.cumsum(groups) - groups
+            alone = band[of] < 0
+            place = base[of] + np.where(alone, np.arange(len(of)) - start[of], ((h[member] >> _U(32)) % groups[of].astype(_U)).astype(np.int64))
+            # The counts of a group, as a sum over its members: equal counts give equal sums.
+            total = np.zeros(int(groups.sum()), dtype=_U)
+            np.add.at(total, place, _mix((h[member] & _U(segments - 1)) + _U(1)))
+            at = np.repeat(np.arange(len(row)), groups)
+            group = np.arange(len(at)) - base[at]
+            key = _mix(runs[row].astype(np.int64).view(_U) * _U(0xD6E8FEB86659FD93) + band.astype(_U))[at]
+            cell = _mix(total ^ _mix(key + np.where(band[at] < 0, 0, group).astype(_U)))
+            r = row[at]
+            out = (ids[r], size[r].astype(np.int32), ts[r], band[at].astype(np.int32), groups[at].astype(np.int32), need[at].astype(np.int32), own[at], cell.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["rep", "n", "t", "band", "groups", "need", "own", "cell"])
+
+    return reps.select("rep", F.col("run_id").cast("bigint"), F.col("t").cast("double"), "s").mapInArrow(run, _CELLS)
+
+
+def met_pairs(reps: DataFrame) -> DataFrame:
+    """(rep_a, rep_b, t): the pairs of sets that meet in a cell, each once, sizes permitting."""
+    n = reps.count()
+    all_cells = cells(reps, max(LEAST_SEGMENTS, 1 << max(n - 1, 1).bit_length()))
+    counts = cut_lineage(all_cells.where("own").groupBy("cell").agg(F.count(F.lit(1)).alias("freq")))
+    total = counts.agg(F.sum("freq")).first()[0] or 0
+    # Fewer than HOT_PARTS cells can hold more than total/HOT_PARTS sets each.
+    hot = counts.where(F.col("freq") > max(1, total // HOT_PARTS)).select("cell")
+    known = cut_lineage(salted_lookup(all_cells, counts, "cell", hot, F.col("rep"), "inner"))
+    # A cell that holds nothing but the set itself, or nothing, is looked up for free.
+    full = known.where("freq > 1 or not own").groupBy("rep", "n", "t", "band", "groups", "need").agg(F.array_sort(F.collect_list(F.struct("freq", "cell"))).alias("c"))
+    left_over = F.col("need") - (F.col("groups") - F.size("c"))
+    side = F.ceil(F.col("freq") / TILE).cast("int")
+    tiles = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    spot = F.pmod(F.xxhash64("rep"), F.col("side")).cast("int")
+    left = (
+        full.where(left_over > 0).select("rep", "n", "t", F.explode(F.slice("c", F.lit(1), left_over)).alias("e"))
+        .select("rep", "n", "t", "e.cell", F.ceil(F.col("e.freq") / TILE).cast("int").alias("side"))
+        .select(F.col("rep").alias("rep_a"), F.col("n").alias("na"), "t", "cell", spot.alias("i"), tiles("side").alias("j"))
     )
-    left = grid.select(F.col("rep").alias("rep_a"), F.col("n").alias("na"), "cell", "t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int").alias("tile"))
-    right = grid.select(F.col("rep").alias("rep_b"), F.col("n").alias("nb"), "cell", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
-    met = (
-        left.join(right, ["cell", "tile"])
-        .where("rep_a < rep_b")
-        .where(F.least("na", "nb") >= F.col("t") * F.greatest("na", "nb") - _EPS)
-        .select("rep_a", "rep_b", "t")
+    right = known.where("own").select("rep", "n", "cell", side.alias("side")).select(F.col("rep").alias("rep_b"), F.col("n").alias("nb"), "cell", spot.alias("j"), tiles("side").alias("i"))
+    return (
+        left.join(right, ["cell", "i", "j"])
+        .where("nb < na or nb = na and rep_b < rep_a")
+        .where(F.col("nb") >= F.col("t") * F.col("na") - _EPS)
+        .select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b"), "t")
         .distinct()
     )
+
+
+def similar_classes(reps: DataFrame) -> DataFrame:
+    """(rep_a, rep_b, similarity) of each pair of classes of one run with Jaccard >= their run's t, rep_a < rep_b.
+
+    A threshold of 1 or more is met by no two different sets; one below 0 counts as 0, and sets without a common member are no pair.
+    """
     full = reps.select("rep", "s", popcounts(F.col("s")).alias("p"))
     side = lambda x: full.select(F.col("rep").alias(f"rep_{x}"), F.col("s").alias(f"s{x}"), F.col("p").alias(f"p{x}"))
     sizes = F.size("sa") + F.size("sb")
     bound = (1 - F.col("t")) / (1 + F.col("t")) * sizes + _EPS
-    near = met.join(side("a"), "rep_a").join(side("b"), "rep_b").where(manhattan(F.col("pa"), F.col("pb")) <= bound)
+    near = met_pairs(reps).join(side("a"), "rep_a").join(side("b"), "rep_b").where(manhattan(F.col("pa"), F.col("pb")) <= bound)
     inter = F.size(F.array_intersect("sa", "sb"))
     return (
         near.select("rep_a", "rep_b", "t", inter.alias("i"), sizes.alias("m"))
+        .where("i > 0")
         .select("rep_a", "rep_b", "t", (F.col("i").cast("double") / (F.col("m") - F.col("i"))).alias("similarity"))
         .where("similarity >= t")
         .select("rep_a", "rep_b", "similarity")

@@ -95,7 +95,24 @@ def test_spans(spark):
     assert {tuple(r) for r in got.collect()} == brute_spans(files, {0: 7, 1: 10})
 
 
-def test_neardup(spark):
+@pytest.mark.parametrize("t", [0.3, 0.5, 0.8, 0.85])
+def test_grid_has_enough_groups(t):
+    """Whatever pair of sizes is similar: the larger one looks up more groups than the pair may differ in, where the smaller one lies."""
+    for a in range(1, 90):
+        own = neardup.lookups(t, a, neardup.bands(t, a) if t >= neardup.LOW else [])
+        for b in range(1, a + 1):
+            if b < t * a - 1e-9:
+                continue
+            home = next((k, g) for k, g, _, here in neardup.lookups(t, b, neardup.bands(t, b) if t >= neardup.LOW else []) if here)
+            k, g, need, _ = next(x for x in own if x[0] == home[0])
+            if t >= neardup.LOW:
+                assert g == home[1] and g >= need > neardup.within(t, a, b)
+            else:
+                assert need + -(-t * a // 1) > a
+
+
+@pytest.mark.parametrize("low", [0.6, 0.3, 0.9, 1.0])
+def test_neardup(spark, low):
     rnd = random.Random(2)
     blocks, uni = [], list(range(1, 400))
     for i in range(120):
@@ -108,8 +125,8 @@ def test_neardup(spark):
         s = [x for x in s if x]
         blocks.append((i, i % 2, s + [0, None] + s[:2], "t"))
     blocks += [(500, 0, None, "t"), (501, 0, [0, None], "t"), (3, 1, blocks[3][2], "t")]
-    t = {0: 0.6, 1: 0.7}
-    runs = spark.createDataFrame([(0, 0.6), (1, 0.0)], "run_id int, min_similarity double")
+    t = {0: low, 1: 0.7}
+    runs = spark.createDataFrame([(0, low), (1, 0.0)], "run_id int, min_similarity double")
     reps, members = neardup.classes(neardup.block_sets(spark.createDataFrame(blocks, "block_id bigint, run_id int, mini array<bigint>, s string"), runs))
     pairs = {(r.rep_a, r.rep_b) for r in neardup.similar_classes(reps).collect()}
     rep = {r.block_id: r.rep for r in members.collect()}
@@ -126,6 +143,7 @@ def test_neardup(spark):
                 elif len(x & y) / len(x | y) >= t[r]:
                     want.add(tuple(sorted((rep[a], rep[b]))))
     assert pairs == want
+    assert neardup.similar_classes(reps.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(6))
