@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: A key is hot when it holds more than one HOT_PARTS-th of the rows, so there are fewer than HOT_PARTS hot keys.
@@ -16,22 +18,23 @@ def hot_keys(df: DataFrame, key: str, total: int, parts: int = HOT_PARTS) -> Dat
 
 
 def salted_lookup(
-    big: DataFrame, dim: DataFrame, key: str, hot: DataFrame, spread: Column, how: str = "left", salts: int = SALTS
+    big: DataFrame, dim: DataFrame, key: str | Sequence[str], hot: DataFrame, spread: Column, how: str = "left", salts: int = SALTS
 ) -> DataFrame:
-    """Equi-join `big` with `dim` (at most one row per key) on `key`, splitting the keys in `hot`.
+    """Equi-join `big` with `dim` (at most one row per key) on the column or columns `key`, splitting the keys in `hot`.
 
     Rows of a hot key get one of `salts` sub-keys from `spread`, and the key's single row in `dim` is repeated for
     each, so no task gets more than a `salts`-th of a hot key. `hot` must be bounded (see hot_keys) as it is broadcast.
     Null keys match nothing, as in any equi-join. Columns of the two sides other than `key` must differ.
     """
-    marks = F.broadcast(hot.select(F.col(key), F.lit(True).alias("_hot")))
-    b = big.join(marks, key, "left").withColumn(
+    keys = [key] if isinstance(key, str) else list(key)
+    marks = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
+    b = big.join(marks, keys, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     ).drop("_hot")
-    d = dim.join(marks, key, "left").withColumn(
+    d = dim.join(marks, keys, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     ).drop("_hot")
-    return b.join(d, [key, "_salt"], how).drop("_salt")
+    return b.join(d, [*keys, "_salt"], how).drop("_salt")
 
 
 def rank_within(df: DataFrame, key: str, order: str, salts: int = SALTS) -> DataFrame:
