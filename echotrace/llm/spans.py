@@ -7,11 +7,12 @@ Any span of k tokens contains a whole block of B = (k+1)//2 tokens that starts a
    the run are shared; the maximal stretches of tokens under shared windows are the result.
 Step 3 compares contents, not pairs of places, so a block that a third of all files share costs one row per place.
 
-Hashes are rolling polynomials over 64-bit token codes, computed with prefix sums over whole Arrow batches; anchors and
-windows use independent bases and must both agree. The run is mixed into every hash, so runs never meet.
+Hashes are rolling polynomials over 64-bit token codes, computed with prefix sums over whole Arrow batches. Windows are equal when two
+such hashes with independent bases agree, 128 bits together. The run is mixed into every hash, so runs never meet.
 
-Before the shuffles of steps 2 and 3 a bitmap (FILTER_BITS, at most 16 MB whatever the input) drops windows that no
-anchor can match. A crowded bitmap lets more windows through to the exact join or grouping; it never loses one.
+Before the shuffles of steps 2 and 3 a bitmap drops windows that no anchor can match: BITS_PER_ANCHOR bits for each anchor, so the
+share that passes is the same at every size, up to MOST_BITS (128 MB, the most that is ever broadcast). Beyond that more windows pass to the exact
+join or grouping, 16 bytes each; none is lost.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from ..operators.skew import HOT_PARTS, salted_lookup
 from ..session import cut_lineage, table
 
 #: What a null or 0 in detect_runs.min_tokens stands for (fixed value).
 DEFAULT_MIN_TOKENS = 50
-#: Bits of a prefilter's bitmap: 16 MB, the most that is ever broadcast.
-FILTER_BITS = 1 << 27
+#: Bits of a prefilter's bitmap for each anchor, and the most and fewest that it has.
+BITS_PER_ANCHOR, MOST_BITS, FEWEST_BITS = 8, 1 << 30, 1 << 20
 #: Tokens hashed at once in a Python worker.
 CHUNK_TOKENS = 400_000
 
@@ -95,12 +97,8 @@ def _block(k: np.ndarray) -> np.ndarray:
     return (k + 1) // 2
 
 
-def _bit(h: np.ndarray) -> np.ndarray:
-    return (h & _U(FILTER_BITS - 1)).astype(np.int64)
-
-
 def _test(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    b = _bit(h)
+    b = (h & _U(8 * len(bitmap) - 1)).astype(np.int64)
     return (bitmap[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -151,7 +149,7 @@ def probes(files: DataFrame, bitmap) -> DataFrame:
 
 
 def candidates(files: DataFrame, bitmap) -> DataFrame:
-    """(h, file_id, pos) of each k-token window that contains a block which the bitmap lets pass."""
+    """(h, g, file_id, pos) of each k-token window that contains a block which the bitmap lets pass; h and g are independent hashes."""
 
     def run(batches):
         blocks, wide, bits = _Hasher(0), _Hasher(1), np.frombuffer(bitmap.value, dtype=np.uint8)
@@ -170,23 +168,24 @@ def candidates(files: DataFrame, bitmap) -> DataFrame:
             keep = live[last + 1] > live[at] if len(at) else np.zeros(0, dtype=bool)
             own, at, pos = own[keep], at[keep], pos[keep]
             if len(at):
-                h = wide(codes, k[own], rid[own], at)
-                yield _rows(h.view(np.int64), fid[own].astype(np.int64), pos.astype(np.int32))
+                h, g = (x(codes, k[own], rid[own], at).view(np.int64) for x in (wide, blocks))
+                yield _rows(h, g, fid[own].astype(np.int64), pos.astype(np.int32))
 
-    return _named(files.mapInArrow(run, "c0 bigint, c1 bigint, c2 int"), "h", "file_id", "pos")
+    return _named(files.mapInArrow(run, "c0 bigint, c1 bigint, c2 bigint, c3 int"), "h", "g", "file_id", "pos")
 
 
-def bitmap_of(df: DataFrame):
-    """A broadcast bitmap of the hashes in `df`: FILTER_BITS bits, built in pieces of 4 kB by the executors."""
-    bit = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
+def bitmap_of(df: DataFrame, anchors: int):
+    """A broadcast bitmap of the hashes in `df`, for so many anchors; it is built in pieces of 4 kB by the executors."""
+    size = min(MOST_BITS, max(FEWEST_BITS, 1 << (max(BITS_PER_ANCHOR * anchors, 2) - 1).bit_length()))
+    bit = F.col("h").bitwiseAND(F.lit(size - 1))
     pieces = (
         df.select(bit.alias("bit"))
         .select((F.col("bit") / 32768).cast("int").alias("piece"), (F.col("bit") % 32768).cast("bigint").alias("at"))
-        .repartition("piece")
+        .repartition("piece")  # a task's partial bitmaps would be as large as the whole
         .groupBy("piece")
         .agg(F.bitmap_construct_agg("at").alias("bits"))
     )
-    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    out = np.zeros(size // 8, dtype=np.uint8)
     for r in pieces.toLocalIterator():
         out[r.piece * 4096 : (r.piece + 1) * 4096] = np.frombuffer(r.bits, dtype=np.uint8)
     return df.sparkSession.sparkContext.broadcast(out.tobytes())
@@ -212,13 +211,17 @@ def coded_files(files: DataFrame, runs: DataFrame) -> DataFrame:
 def shared_windows(coded: DataFrame) -> DataFrame:
     """(file_id, pos) of every k-token window whose content stands in another file of its run; may repeat."""
     index = anchors(coded)
-    first = bitmap_of(index)
-    held = index.groupBy("h").agg(F.min("file_id").alias("lo"), F.max("file_id").alias("hi"))
-    met = probes(coded, first).join(held.hint("shuffle_hash"), "h").where("file_id <> lo or lo <> hi").select("h")
-    alive = bitmap_of(met)
+    held = cut_lineage(index.groupBy("h").agg(F.min("file_id").alias("lo"), F.max("file_id").alias("hi")))
+    first = bitmap_of(held, held.count())
+    met = cut_lineage(probes(coded, first).join(held.hint("shuffle_hash"), "h").where("file_id <> lo or lo <> hi").select("h").distinct())
+    alive = bitmap_of(met, met.count())
     cand = cut_lineage(candidates(coded, alive))
-    both = cand.groupBy("h").agg(F.min("file_id").alias("lo"), F.max("file_id").alias("hi")).where("lo <> hi").select("h")
-    return cand.join(both, "h", "left_semi").select("file_id", "pos")
+    key = ["h", "g"]
+    both = cut_lineage(cand.groupBy(*key).agg(F.min("file_id").alias("lo"), F.max("file_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select(*key, "n"))
+    total = both.agg(F.sum("n")).first()[0] or 0
+    # Fewer than HOT_PARTS contents can stand in more than total/HOT_PARTS places.
+    hot = both.where(F.col("n") > max(1, total // HOT_PARTS)).select(*key)
+    return salted_lookup(cand, both.select(*key), key, hot, F.xxhash64("file_id", "pos"), "inner").select("file_id", "pos")
 
 
 def shared_spans(files: DataFrame, runs: DataFrame) -> DataFrame:
