@@ -29,6 +29,8 @@ from ..session import cut_lineage, table
 DEFAULT_MIN_TOKENS = 50
 #: Bits of a prefilter's bitmap for each anchor, and the most and fewest that it has.
 BITS_PER_ANCHOR, MOST_BITS, FEWEST_BITS = 8, 1 << 30, 1 << 20
+#: Where in a hash its bits of the bitmap begin; three of them let about 3 % of other hashes pass.
+SHIFTS = (0, 17, 34)
 #: Tokens hashed at once in a Python worker.
 CHUNK_TOKENS = 400_000
 
@@ -98,8 +100,14 @@ def _block(k: np.ndarray) -> np.ndarray:
 
 
 def _test(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    b = (h & _U(8 * len(bitmap) - 1)).astype(np.int64)
-    return (bitmap[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
+    """Which hashes the bitmap lets pass: all bits of theirs are set."""
+    out = np.arange(len(h))
+    for shift in SHIFTS:
+        b = ((h[out] >> _U(shift)) & _U(8 * len(bitmap) - 1)).astype(np.int64)
+        out = out[(bitmap[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1]
+    keep = np.zeros(len(h), dtype=bool)
+    keep[out] = True
+    return keep
 
 
 def _rows(*cols: np.ndarray) -> pa.RecordBatch:
@@ -177,9 +185,9 @@ def candidates(files: DataFrame, bitmap) -> DataFrame:
 def bitmap_of(df: DataFrame, anchors: int):
     """A broadcast bitmap of the hashes in `df`, for so many anchors; it is built in pieces of 4 kB by the executors."""
     size = min(MOST_BITS, max(FEWEST_BITS, 1 << (max(BITS_PER_ANCHOR * anchors, 2) - 1).bit_length()))
-    bit = F.col("h").bitwiseAND(F.lit(size - 1))
+    bits = F.array(*(F.shiftrightunsigned("h", n).bitwiseAND(F.lit(size - 1)) for n in SHIFTS))
     pieces = (
-        df.select(bit.alias("bit"))
+        df.select(F.explode(bits).alias("bit"))
         .select((F.col("bit") / 32768).cast("int").alias("piece"), (F.col("bit") % 32768).cast("bigint").alias("at"))
         .repartition("piece")  # a task's partial bitmaps would be as large as the whole
         .groupBy("piece")
