@@ -77,10 +77,18 @@ def lex(src: str | bytes | None, lang: str) -> list[Token]:
     if src is None:
         return []
     text = (src.encode("utf-8", "surrogateescape") if isinstance(src, str) else src).decode("latin-1")
-    pat, words, out, waiting, pos, line = _pattern(lang), KEYWORDS.get(lang, frozenset()), [], [], 0, 1
-    while pos < len(text):
-        m = pat.match(text, pos)
+    match, words, out, waiting, pos, line = _pattern(lang).match, KEYWORDS.get(lang, frozenset()), [], [], 0, 1
+    new, add, size = tuple.__new__, out.append, len(text)
+    while pos < size:
+        m = match(text, pos)
         kind, s = m.lastgroup, m[0]
+        if kind == "blank":
+            pos = m.end()
+            continue
+        if kind == "name":
+            add(new(Token, (KEYWORD, s, "", line, line) if s in words else (NAME, "", s, line, line)))
+            pos = m.end()
+            continue
         if kind == "regex" and not _before_regex(out):
             kind, s = "op", next((o for o in OPERATORS_2 if text.startswith(o, pos)), text[pos])
         if kind == "here":
@@ -88,22 +96,24 @@ def lex(src: str | bytes | None, lang: str) -> list[Token]:
             if ident:
                 waiting.append(ident)
             kind, s = "op", next((o for o in OPERATORS_3 + OPERATORS_2 if text.startswith(o, pos)), text[pos])
-        last = line + s.count("\n")
-        if kind == "name":
-            out.append(Token(KEYWORD, s, "", line, line) if s in words else Token(NAME, "", s, line, line))
+        last = line
+        if kind == "op" or kind == "life":
+            add(new(Token, (OPERATOR, s, "", line, line)))
         elif kind == "number":
-            out.append(Token(NUMBER, "", s, line, line))
-        elif kind in ("string", "triple", "verbatim", "regex"):
-            out.append(Token(STRING, "", s, line, last))
-        elif kind in ("op", "life"):
-            out.append(Token(OPERATOR, s, "", line, line))
+            add(new(Token, (NUMBER, "", s, line, line)))
+        elif kind == "feed":
+            last = line + 1
+        else:
+            last = line + s.count("\n")
+            if kind in ("string", "triple", "verbatim", "regex"):
+                add(new(Token, (STRING, "", s, line, last)))
         pos, line = pos + len(s), last
         if kind == "feed" and waiting:
             ident, waiting = waiting[0], waiting[1:]
             end = re.compile(rf"^[ \t]*{re.escape(ident)}(?![A-Za-z0-9_])", re.M).search(text, pos)
             if end:
                 body = text[pos : end.start()]
-                out.append(Token(STRING, "", body, line, line + body.count("\n")))
+                add(Token(STRING, "", body, line, line + body.count("\n")))
                 line += body.count("\n")
                 pos = end.end()
     return out
@@ -183,7 +193,7 @@ def _braces(tokens: list[Token], lang: str) -> list[Span]:
         if not (named or posix):
             i += 1
             continue
-        j = next((j for j in range(i + 1, len(tokens)) if tokens[j].kind == OPERATOR and tokens[j].text in "{;" or j > i + 1 and _is(tokens[j], KEYWORD, *words)), -1)
+        j = next((j for j in range(i + 1, len(tokens)) if _is(tokens[j], OPERATOR, "{") or _is(tokens[j], KEYWORD, *words)), -1)
         if j < 0 or not _is(tokens[j], OPERATOR, "{"):
             i += 1
             continue
@@ -192,34 +202,37 @@ def _braces(tokens: list[Token], lang: str) -> list[Span]:
         if lang == "r" and i >= 2 and tokens[i - 2].kind == NAME:
             name = tokens[i - 2].orig
         out.append((j + 1, end - 1 if _is(tokens[end], OPERATOR, "}") else end, name))
-        i = end + 1
+        i += 1
     return [s for s in out if s[1] >= s[0]]
 
 
 def _by_depth(tokens: list[Token]) -> list[Span]:
-    """Blocks opened at depth 0 or 1 after a parameter list: functions, and methods in a class."""
-    out, depth, i = [], 0, 0
-    while i < len(tokens):
-        t = tokens[i]
+    """Every block opened at depth 0 or 1: functions and methods with their names, classes without one."""
+    out, open_at, depth = [], [], 0
+    for i, t in enumerate(tokens):
         if _is(t, OPERATOR, "{"):
-            near = [x for x in tokens[max(0, i - 12) : i]]
-            close = next((len(near) - 1 - k for k, x in enumerate(reversed(near)) if x.kind == OPERATOR and x.text in (")", ";", "}", "{", "=")), -1)
-            if depth <= 1 and close >= 0 and near[close].text == ")":
-                o = _open_of(tokens, i - len(near) + close)
-                end = close_of(tokens, i)
-                name = tokens[o - 1].orig if o > 0 and tokens[o - 1].kind == NAME else ""
-                out.append((i + 1, end - 1 if _is(tokens[end], OPERATOR, "}") else end, name))
-                i = end + 1
-                continue
+            if depth <= 1:
+                open_at.append((depth, i))
             depth += 1
         elif _is(t, OPERATOR, "}"):
             depth -= 1
-        i += 1
-    return [s for s in out if s[1] >= s[0]]
+            if open_at and open_at[-1][0] == depth:
+                out.append((open_at.pop()[1], i - 1))
+    out += [(i, len(tokens) - 1) for _, i in open_at]
+    return sorted((i + 1, b, _name_before(tokens, i)) for i, b in out if b > i)
+
+
+def _name_before(tokens: list[Token], brace: int) -> str:
+    """The name before the parameter list whose body opens at a brace; a few names, words and commas may stand between."""
+    k = brace - 1
+    while k >= 0 and brace - k <= 8 and (tokens[k].kind in (NAME, KEYWORD) or _is(tokens[k], OPERATOR, ",")):
+        k -= 1
+    o = _open_of(tokens, k) if k >= 0 and _is(tokens[k], OPERATOR, ")") else 0
+    return tokens[o - 1].orig if o > 0 and tokens[o - 1].kind == NAME else ""
 
 
 def _js(tokens: list[Token]) -> list[Span]:
-    """Arrow bodies, and blocks after a parameter list that is not a control statement's; outermost only."""
+    """Arrow bodies, and blocks after a parameter list that is not a control statement's."""
     out, i = [], 0
     while i < len(tokens):
         if _is(tokens[i], OPERATOR, "{") and i:
@@ -242,7 +255,6 @@ def _js(tokens: list[Token]) -> list[Span]:
             if body:
                 end = close_of(tokens, i)
                 out.append((i + 1, end - 1 if _is(tokens[end], OPERATOR, "}") else end, name))
-                i = end
         i += 1
     return [s for s in out if s[1] >= s[0]]
 
@@ -320,28 +332,48 @@ def functions(tokens: list[Token], lang: str) -> list[Span]:
     return _braces(tokens, lang)
 
 
-def imports(tokens: list[Token], lang: str, bodies: list[Span]) -> list[bool]:
-    """Which tokens belong to import statements outside functions: from the start of a line to its end, or to the close of a bracket."""
-    out, inside = [False] * len(tokens), {k for a, b, _ in bodies for k in range(a, b + 1)}
+def _word(tokens: list[Token], i: int) -> str:
+    return tokens[i].text + tokens[i].orig if i < len(tokens) else ""
+
+
+def _imports_here(tokens: list[Token], k: int, lang: str) -> bool:
+    """Whether the import word at k is one, and not code that begins alike."""
+    word, nxt = _word(tokens, k), _word(tokens, k + 1)
+    on_line = k + 1 < len(tokens) and tokens[k + 1].line == tokens[k].line
+    block = any(_is(t, OPERATOR, "{") for t in tokens[k + 1 : next((j for j in range(k + 1, len(tokens)) if tokens[j].line != tokens[k].line), len(tokens))])
+    rules = {
+        ("c", "#"): nxt in ("include", "import", "pragma"), ("cpp", "#"): nxt in ("include", "import", "pragma"), ("cpp", "using"): nxt == "namespace",
+        ("rust", "mod"): _word(tokens, k + 2) == ";", ("rust", "extern"): nxt == "crate",
+        ("csharp", "namespace"): on_line and not block, ("php", "namespace"): not block,
+        ("dart", "export"): on_line, ("dart", "part"): on_line, ("dart", "library"): on_line,
+    }
+    return rules.get((lang, word), True)
+
+
+def imports(tokens: list[Token], lang: str, inside: list[bool]) -> list[bool]:
+    """Which tokens belong to import statements outside functions: from the start of a line to its end, its semicolon, or the close of a bracket."""
+    out = [False] * len(tokens)
     starters, i = IMPORT_WORDS.get(lang, frozenset()), 0
     while i < len(tokens):
-        j = i
-        if i in inside or (i and tokens[i - 1].line == tokens[i].line):
+        if inside[i] or (i and tokens[i - 1].line == tokens[i].line):
+            i += 1
+            continue
+        k = i
+        while k + 1 < len(tokens) and _word(tokens, k) in IMPORT_MODIFIERS and tokens[k + 1].line == tokens[i].line:
+            k += 1
+        if _word(tokens, k) not in starters or not _imports_here(tokens, k, lang):
             i += 1
             continue
-        while j < len(tokens) and (tokens[j].text or tokens[j].orig) in IMPORT_MODIFIERS and (tokens[j].text or tokens[j].orig) not in starters:
+        j, depth = i, 0
+        while j < len(tokens) and not (j > i and depth == 0 and tokens[j].line != tokens[j - 1].line):
+            out[j] = True
+            if tokens[j].kind == OPERATOR:
+                if tokens[j].text == ";" and depth == 0:
+                    j += 1
+                    break
+                depth += (tokens[j].text in ("(", "{", "[")) - (tokens[j].text in (")", "}", "]"))
             j += 1
-        if j < len(tokens) and (tokens[j].text or tokens[j].orig) in starters:
-            end, depth = j, 0
-            while end + 1 < len(tokens) and (tokens[end + 1].line == tokens[j].line or depth > 0):
-                end += 1
-                depth += _is(tokens[end], OPERATOR, "(", "{") - _is(tokens[end], OPERATOR, ")", "}")
-            if lang == "csharp" and _is(tokens[end], OPERATOR, "}"):
-                i += 1
-                continue
-            out[i : end + 1] = [True] * (end + 1 - i)
-            i = end
-        i += 1
+        i = j
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
@@ -26,3 +28,42 @@ def smallest_labels(edges: DataFrame, rounds: int = 64) -> DataFrame:
         if done:
             return labels
     raise RuntimeError("labels did not settle")
+
+
+#: Up to so many rows are linked within one task; more by rounds of joins. The result is the same.
+ONE_TASK = 5_000_000
+
+
+def _linked(member: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct members, and the smallest member of the group of each."""
+    ids, m = np.unique(member, return_inverse=True)
+    _, k = np.unique(key, return_inverse=True)
+    label = np.arange(len(ids))
+    while True:
+        low = np.full(k.max(initial=-1) + 1, len(ids))
+        np.minimum.at(low, k, label[m])
+        new = label.copy()
+        np.minimum.at(new, m, low[k])
+        new = new[new]
+        if (new == label).all():
+            return ids, ids[label]
+        label = new
+
+
+def linked_by_keys(df: DataFrame, member: str, key: str) -> DataFrame:
+    """(member, label): label is alike for BIGINT members that share a key, directly or through others. Null members and keys link nothing.
+
+    Members without a key are left out.
+    """
+    rows = cut_lineage(df.select(F.col(member).alias("m"), F.col(key).alias("k")).where("m is not null and k is not null").distinct())
+    if rows.count() <= ONE_TASK:
+
+        def run(batches):
+            got = pd.concat([pd.DataFrame({"m": [], "k": []}, dtype="int64"), *batches])
+            ids, label = _linked(got["m"].to_numpy(dtype=np.int64), got["k"].to_numpy())
+            yield pd.DataFrame({member: ids, "label": label})
+
+        return cut_lineage(rows.coalesce(1).mapInPandas(run, f"{member} bigint, label bigint"))
+    first = rows.groupBy("k").agg(F.min("m").alias("b"))
+    labels = smallest_labels(rows.join(first, "k").select(F.col("m").alias("a"), "b"))
+    return labels.select(F.col("id").alias(member), "label")

@@ -1,28 +1,38 @@
 """Detection of copied code in source files: lexing, windows, the greedy sweep, and the clones it leaves.
 
+Each file is lexed once, into a written table of window hashes, lines, spellings and spans; everything after reads arrays of it.
 Relational steps (windows, repeated hashes, parts of the data that can't influence each other) are DataFrame operations;
-lexing, and the sweep within each such part, are Arrow-batched Python. A sweep only ever marks positions of repeated
+lexing, and the sweep within such parts, are Arrow-batched Python. A sweep only ever marks positions of repeated
 windows that it reaches through equal hashes or from the position before, so runs of adjacent repeated positions that share
 no hash, directly or indirectly, are swept independently with the result of one sweep over everything.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.languages import BY_EXTENSION
 from ..functions.paths import slashed
-from ..operators.labels import smallest_labels
+from ..functions.rolling import spans_hash, windows_hash
+from ..operators.labels import linked_by_keys, smallest_labels
 from ..operators.matching import greedy_matching
-from ..operators.skew import spread
+from ..operators.skew import HOT_PARTS, salted_lookup, spread
 from ..session import cut_lineage, table
 
 #: Defaults of a scan (fixed values): window length, least lines of a clone, and the share of lines that makes a clone redundant.
 MIN_TOKENS, MIN_LINES, OVERLAP = 50, 5, 0.6
+#: Parts are swept together in so many groups for each shuffle partition.
+SWEEPS = 4
 
-_LEXED = "file_id int, run_id int, path string, k int, sym array<bigint>, scope array<int>"
+_LEXED = (
+    "file_id int, run_id int, path string, k int, n_tokens int, ignored int, win array<bigint>, line array<int>, end_line array<int>, full array<bigint>, norm binary, "
+    "off array<int>, name_at array<int>, name array<string>, tables array<int>, code array<int>"
+)
 
 
 def language_of(path: str | None) -> str:
@@ -30,155 +40,226 @@ def language_of(path: str | None) -> str:
     return BY_EXTENSION.get("." + name.rsplit(".", 1)[-1].lower(), "") if "." in name else ""
 
 
-def lex_files(files: DataFrame, whole_file: bool = True) -> DataFrame:
-    """Per file (file_id, run_id, path, text, k): a symbol per token, and how many tokens before each place are out of scope.
+class _Symbols:
+    """64-bit codes of tokens, alike in every worker."""
+
+    def __init__(self):
+        self.memo: dict = {}
+
+    def __call__(self, *parts) -> int:
+        if parts not in self.memo:
+            if len(self.memo) > 1_000_000:
+                self.memo.clear()
+            self.memo[parts] = int.from_bytes(hashlib.blake2b(repr(parts).encode("utf-8", "replace"), digest_size=8).digest(), "little")
+        return self.memo[parts]
+
 
-    Names and literals are alike within functions; outside them names count. With whole_file everything but imports is in
-    scope, else only function bodies. Null texts have no tokens.
+def lexed_row(text: str | None, lang: str, run_id: int | None, k: int, whole_file: bool, symbol: _Symbols) -> dict:
+    """What detection keeps of one file. Names and literals are alike in executable code; outside it names count, and in tables literals too.
+
+    With whole_file everything but imports and ignored functions is in scope, else only function bodies. A null text has no tokens.
     """
     from ..functions import lexer
+    from ..functions.masks import masks
+
+    tokens = lexer.lex(text, lang)
+    m = masks(tokens, lang, text)
+    exact = [False] * len(tokens)
+    for a, b in (*m.tables, *m.objects):
+        exact[a : b + 1] = [True] * (b + 1 - a)
+    out = [x or y for x, y in zip(m.imports, m.ignored)] if whole_file else [not x for x in m.inside]
+    loose = [symbol(t.kind, t.text) for t in tokens]
+    full = [symbol(t.kind, t.text, t.orig) if t.orig else c for t, c in zip(tokens, loose)]
+    if whole_file:
+        # A strict code never equals a loose one.
+        loose = [c if code else symbol("strict", t.kind, t.text, t.orig if t.kind == lexer.NAME or e else "") for t, c, code, e in zip(tokens, loose, m.logic, exact)]
+    pieces = [bytes((t.kind,)) + t.text.encode("latin-1") + b"\0" for t in tokens]
+    named = [x for x in m.spans if x[2]]
+    return {
+        "n_tokens": len(tokens), "ignored": sum(m.ignored), "win": windows_hash(np.array(loose, dtype=np.uint64), k, np.array(out, dtype=bool), 0 if run_id is None else run_id), "line": np.array([t.line for t in tokens], dtype=np.int32),
+        "end_line": np.array([t.end_line for t in tokens], dtype=np.int32), "full": np.array(full, dtype=np.uint64).view(np.int64), "norm": b"".join(pieces),
+        "off": np.cumsum([0, *map(len, pieces)]).astype(np.int32), "name_at": [i for a, b, _ in named for i in (a, b)], "name": [n for _, _, n in named],
+        "tables": [i for x in m.tables for i in x], "code": [i for x in m.code_in_tables for i in x],
+    }
 
-    def run(batches):
-        memo: dict = {}
 
-        def symbol(t, strict: bool) -> int:
-            key = (t.kind, t.text, t.orig if strict and t.kind == lexer.NAME else "", strict)
-            if key not in memo:
-                h = lexer.fnv64(repr(key).encode("utf-8", "replace"))
-                memo[key] = h - (1 << 64) if h >> 63 else h
-            return memo[key]
+def lex_files(files: DataFrame, whole_file: bool = True) -> DataFrame:
+    """One row per file (file_id, run_id, path, text, k) with the columns of lexed_row: windows without scope have hash 0."""
 
+    def run(batches):
+        symbol = _Symbols()
         for pdf in batches:
-            out = []
-            for f, r, p, text, k in zip(pdf["file_id"], pdf["run_id"], pdf["path"], pdf["text"], pdf["k"]):
-                lang = language_of(p)
-                tokens = lexer.lex(text, lang)
-                bodies = lexer.functions(tokens, lang)
-                inside = [False] * len(tokens)
-                for a, b, _ in bodies:
-                    inside[a : b + 1] = [True] * (b + 1 - a)
-                skip = lexer.imports(tokens, lang, bodies) if whole_file else [not x for x in inside]
-                before, n = [0], 0
-                for s in skip:
-                    n += s
-                    before.append(n)
-                out.append((f, r, p, k, [symbol(t, not i) for t, i in zip(tokens, inside)], before))
-            yield pd.DataFrame(out, columns=["file_id", "run_id", "path", "k", "sym", "scope"])
+            for lo in range(0, len(pdf), 64):
+                part = pdf.iloc[lo : lo + 64]
+                rows = []
+                for f, r, p, text, k in zip(part["file_id"], part["run_id"], part["path"], part["text"], part["k"]):
+                    rows.append({"file_id": f, "run_id": r, "path": p, "k": k, **lexed_row(text, language_of(p), r, int(k), whole_file, symbol)})
+                yield pd.DataFrame(rows)
 
     return spread(files.select("file_id", "run_id", "path", "text", "k"), "file_id").mapInPandas(run, _LEXED)
 
 
-def window_rows(lexed: DataFrame) -> DataFrame:
-    """(run_id, file_id, path, pos, h, k): hashes of all windows of k tokens that are in scope throughout."""
-    w = F.expr(
-        "transform(filter(sequence(0, size(sym) - k), i -> scope[i + k] = scope[i]), "
-        "i -> struct(i AS pos, xxhash64(run_id, slice(sym, i + 1, k)) AS h))"
-    )
-    fit = lexed.where(F.size("sym") >= F.col("k"))
-    return fit.select("run_id", "file_id", "path", "k", F.explode(w).alias("w")).select("run_id", "file_id", "path", "k", "w.pos", "w.h")
+def repeated_windows(lexed: DataFrame) -> DataFrame:
+    """(file_id, path, k, run_id, pos, h) of all windows whose content stands in two places of their run."""
+    w = lexed.select("file_id", "path", "k", "run_id", F.posexplode("win").alias("pos", "h")).where("h <> 0")
+    counts = cut_lineage(w.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # Fewer than HOT_PARTS hashes can hold more than total/HOT_PARTS windows each.
+    hot = counts.where(F.col("n") > max(1, total // HOT_PARTS)).select("h")
+    return salted_lookup(w, counts.select("h"), "h", hot, F.xxhash64("file_id", "pos"), "inner")
 
 
 def sweep(rows: pd.DataFrame) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(tokens, starts as (file, pos)) of the clones in one part, in the order of discovery.
+    """(tokens, starts as (file, pos)) of the clones in some parts, in the order of discovery.
 
-    From the first uncovered position on: of the uncovered places of its hash, the first of each file if they are in two
-    or more files, else those at least k apart; while all starts go on alike the clone grows; what it spans is covered.
+    Columns: file_id, pos, h, k, path, and `seen` if only clones with a file in scope are wanted. From the first uncovered position on: of the uncovered
+    places of its hash, the first of each file if they are in two or more files, else those at least k apart; while all starts go on alike the
+    clone grows; what it spans is covered. Each place is looked at a bounded number of times, whatever the size of its group.
     """
-    k = int(rows["k"].iloc[0])
-    order = rows.sort_values(["path_order", "pos"])
-    at = list(zip(order["file_id"].tolist(), order["pos"].tolist()))
-    hashes = dict(zip(at, order["h"].tolist()))
-    places: dict[int, list] = {}
-    for p in at:
-        places.setdefault(hashes[p], []).append(p)
-    covered, out = set(), []
-    for p in at:
-        if p in covered:
+    key = rows["path"].fillna("").str.replace("/", "\0", regex=False) if "path" in rows else rows["file_id"].astype(str)
+    order = rows.assign(_key=key).sort_values(["_key", "file_id", "pos"], kind="stable")
+    file_of, pos, h = order["file_id"].tolist(), order["pos"].tolist(), order["h"].tolist()
+    ks = order["k"].tolist()
+    seen = order["seen"].tolist() if "seen" in order else None
+    n = len(pos)
+    follows = [i + 1 if i + 1 < n and file_of[i + 1] == file_of[i] and pos[i + 1] == pos[i] + 1 else -1 for i in range(n)]
+    places: dict[int, list[int]] = {}
+    for i, x in enumerate(h):
+        places.setdefault(x, []).append(i)
+    covered, out = bytearray(n), []
+    for i in range(n):
+        if covered[i]:
             continue
-        free = [q for q in places[hashes[p]] if q not in covered]
-        if len({f for f, _ in free}) > 1:
-            starts = list({f: (f, x) for f, x in reversed(free)}.values())[::-1]
-            starts.sort(key=free.index)
+        k = ks[i]
+        free = places[h[i]] = [q for q in places[h[i]] if not covered[q]]
+        first = file_of[free[0]]
+        if any(file_of[q] != first for q in free):
+            starts = [q for j, q in enumerate(free) if j == 0 or file_of[q] != file_of[free[j - 1]]]
         else:
             starts, last = [], None
-            for f, x in free:
-                if last is None or x >= last + k:
-                    starts.append((f, x))
-                    last = x
+            for q in free:
+                if last is None or pos[q] >= last + k:
+                    starts.append(q)
+                    last = pos[q]
         if len(starts) < 2:
             continue
-        more = 0
+        if seen and not any(seen[q] for q in starts):
+            for q in starts:
+                covered[q] = 1
+            continue
+        ends, more = list(starts), 0
         while True:
-            nxt = {hashes.get((f, x + more + 1)) for f, x in starts}
-            if len(nxt) != 1 or None in nxt:
+            nxt = [follows[q] for q in ends]
+            if -1 in nxt or len({h[q] for q in nxt}) != 1:
                 break
-            more += 1
-        for f, x in starts:
-            covered.update((f, x + d) for d in range(more + 1))
-        size, kept, ends = k + more, [], {}
-        for f, x in starts:
-            if x >= ends.get(f, 0):
-                kept.append((f, x))
-                ends[f] = x + size
+            ends, more = nxt, more + 1
+        for q in starts:
+            for d in range(more + 1):
+                covered[q + d] = 1
+        size, kept, end = k + more, [], {}
+        for q in starts:
+            if pos[q] >= end.get(file_of[q], 0):
+                kept.append((file_of[q], pos[q]))
+                end[file_of[q]] = pos[q] + size
         if len(kept) > 1:
             out.append((size, kept))
     return out
 
 
-def exact_clones(files: DataFrame, whole_file: bool = True) -> DataFrame:
-    """(run_id, clone, hash, clone_type, token_count, line_count, instances) of the copies in files (file_id, run_id, path, text, k).
+_PLACES = "run_id int, clone string, no int, file_id int, pos int, size int"
 
-    `clone` numbers nothing: it is the first place (file and token) of the clone. Files of different runs are never compared.
-    """
-    from ..functions import lexer
 
-    w = window_rows(cut_lineage(lex_files(files, whole_file)))
-    rep = cut_lineage(w.join(w.groupBy("h").count().where("count > 1").select("h"), "h", "left_semi"))
+def swept(rep: DataFrame, in_scope: DataFrame | None = None) -> DataFrame:
+    """(run_id, clone, no, file_id, pos, size): the places of each clone. `in_scope` holds the file_ids of which a clone must touch one."""
     by = Window.partitionBy("file_id").orderBy("pos")
-    runs = rep.withColumn("g", F.col("pos") - F.row_number().over(by)).withColumn("node", F.xxhash64("file_id", "g"))
-    runs = cut_lineage(runs)
-    first = runs.groupBy("h").agg(F.min("node").alias("b"))
-    labels = smallest_labels(runs.join(first, "h").select(F.col("node").alias("a"), "b"))
-    parts = runs.join(labels, runs.node == labels.id).select("run_id", "file_id", "pos", "h", "k", "label", F.split("path", "/").alias("path_order"))
-
-    def per_part(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(path_order=pdf["path_order"].map(tuple))
-        rows = []
-        for size, starts in sweep(pdf):
-            rows += [(pdf["run_id"].iloc[0], f"{starts[0][0]}:{starts[0][1]}", i, f, x, size) for i, (f, x) in enumerate(starts)]
-        return pd.DataFrame(rows, columns=["run_id", "clone", "no", "file_id", "pos", "size"])
-
-    places = spread(parts, "label").groupBy("label").applyInPandas(per_part, "run_id int, clone string, no int, file_id int, pos int, size int")
-
-    def describe(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        path, text = pdf["path"].iloc[0], pdf["text"].iloc[0]
-        lang = language_of(path)
-        tokens = lexer.lex(text, lang)
-        named = [b for b in lexer.functions(tokens, lang) if b[2]]
-        for r in pdf.itertuples(index=False):
-            part = tokens[r.pos : r.pos + r.size]
-            around = [b for b in named if b[0] <= r.pos <= b[1]]
-            touch = max(named, key=lambda b: min(b[1], r.pos + r.size - 1) - max(b[0], r.pos), default=None)
-            name = max(around)[2] if around else touch[2] if touch and touch[0] < r.pos + r.size and touch[1] >= r.pos else ""
-            rows.append((r.run_id, r.clone, r.no, r.file_id, path, part[0].line, part[-1].end_line, name, lexer.fingerprint(part), lexer.fingerprint(part, True), r.size))
-        return pd.DataFrame(rows, columns=["run_id", "clone", "no", "file_id", "path", "start_line", "end_line", "function", "hash", "full", "size"])
-
-    texts = files.select(F.col("file_id").alias("fid"), "path", "text")
-    inst = spread(places.join(texts, places.file_id == texts.fid).drop("fid"), "file_id").groupBy("file_id").applyInPandas(
-        describe, "run_id int, clone string, no int, file_id int, path string, start_line int, end_line int, function string, hash string, full string, size int"
-    )
-    order = F.array_sort(F.collect_list(F.struct("no", "file_id", "path", "start_line", "end_line", "function", "hash", "full")))
-    g = inst.groupBy("run_id", "clone").agg(F.max("size").alias("token_count"), order.alias("instances"))
-    head = F.col("instances")[0]
+    # A run of adjacent positions has one number in its file.
+    runs = cut_lineage(rep.withColumn("node", F.shiftleft(F.col("file_id").cast("bigint"), 32) + F.col("pos") - F.row_number().over(by) + 1))
+    labels = linked_by_keys(runs.select("node", "h"), "node", "h")
+    rows = runs.join(labels, "node")
+    if in_scope is not None:
+        rows = rows.join(in_scope.select("file_id", F.lit(True).alias("seen")).distinct(), "file_id", "left").na.fill({"seen": False})
+    groups = SWEEPS * int(rep.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["run_id", "file_id", "path", "pos", "h", "k", *(["seen"] if in_scope is not None else [])]
+
+    def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        run_of = dict(zip(pdf["file_id"], pdf["run_id"]))
+        found = [(run_of[starts[0][0]], f"{starts[0][0]}:{starts[0][1]}", i, f, x, size) for size, starts in sweep(pdf) for i, (f, x) in enumerate(starts)]
+        return pd.DataFrame(found, columns=["run_id", "clone", "no", "file_id", "pos", "size"])
+
+    return rows.select(*columns, F.pmod(F.xxhash64("label"), F.lit(groups)).alias("part")).groupBy("part").applyInPandas(per_group, _PLACES)
+
+
+def function_at(names: list[str], at: list[int], pos: int, end: int) -> str:
+    """The innermost named function that the tokens begin in, else the one they overlap most."""
+    spans = [(at[2 * i], at[2 * i + 1], n) for i, n in enumerate(names)]
+    around = [x for x in spans if x[0] <= pos <= x[1]]
+    if around:
+        return max(around)[2]
+    best = max(((min(end, b) - max(pos, a) + 1, -n, name) for n, (a, b, name) in enumerate(spans)), default=(0, 0, ""))
+    return best[2] if best[0] > 0 else ""
+
+
+_INSTANCES = "run_id int, clone string, no int, file_id int, path string, start_line int, end_line int, function string, hash string, full bigint, in_table int, size int"
+
+
+def instances_of(places: DataFrame, lexed: DataFrame) -> DataFrame:
+    """Lines, function, fingerprint (of a clone's first place), spelling and table of each place."""
+    per_file = places.groupBy("file_id").agg(F.collect_list(F.struct("run_id", "clone", "no", "pos", "size")).alias("at"))
+    found = spread(per_file.join(lexed.select("file_id", "path", "line", "end_line", "full", "norm", "off", "name_at", "name", "tables", "code"), "file_id"), "file_id")
+
+    def run(batches):
+        from ..functions.lexer import fnv64
+
+        for pdf in batches:
+            rows = []
+            for f in pdf.itertuples(index=False):
+                lines, ends, off = f.line, f.end_line, f.off
+                tables, code = np.asarray(f.tables).reshape(-1, 2), np.asarray(f.code).reshape(-1, 2)
+                size = np.array([p["size"] for p in f.at])
+                start = np.array([p["pos"] for p in f.at])
+                full = spans_hash(np.asarray(f.full).view(np.uint64), start, size)
+                for p, h in zip(f.at, full.tolist()):
+                    a, b = p["pos"], p["pos"] + p["size"] - 1
+                    within = np.flatnonzero((tables[:, 0] <= a) & (b <= tables[:, 1])) if len(tables) and not ((code[:, 0] <= b) & (a <= code[:, 1])).any() else ()
+                    stamp = f"{fnv64(f.norm[off[a] : off[b + 1]]):016x}" if p["no"] == 0 else None
+                    rows.append((p["run_id"], p["clone"], p["no"], f.file_id, f.path, int(lines[a]), int(ends[b]), function_at(list(f.name), list(f.name_at), a, b), stamp, h, int(within[0]) if len(within) else -1, p["size"]))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _INSTANCES.split(", ")])
+
+    return found.mapInPandas(run, _INSTANCES)
+
+
+def exact_instances(files: DataFrame, whole_file: bool = True, in_scope: DataFrame | None = None) -> DataFrame:
+    """The places of all clones, one row each, with their clone's hash, type, tokens and lines; tables that match their own rows are no clones."""
+    lexed = cut_lineage(lex_files(files, whole_file))
+    places = cut_lineage(swept(repeated_windows(lexed), in_scope))
+    inst = cut_lineage(instances_of(places, lexed))
+    head = F.min_by(F.struct("hash", (F.col("end_line") - F.col("start_line") + 1).alias("line_count")), "no")
+    one = inst.groupBy("run_id", "clone").agg(
+        head.alias("head"), F.when(F.min("full") == F.max("full"), "type-1").otherwise("type-2").alias("clone_type"), F.max("size").alias("token_count"), F.count(F.lit(1)).alias("n_instances"),
+        ((F.min("in_table") >= 0) & (F.min("in_table") == F.max("in_table")) & (F.min("file_id") == F.max("file_id"))).alias("own_rows"),
+    )
+    one = one.where(~F.col("own_rows")).select("run_id", "clone", "head.*", "clone_type", "token_count", "n_instances")
+    return inst.drop("hash", "full", "in_table", "size").join(one, ["run_id", "clone"])
+
+
+def with_instances(rows: DataFrame) -> DataFrame:
+    """One row per clone, its places in an array in order: what a report of it has to hold."""
+    each = F.struct("no", "file_id", "path", "start_line", "end_line", "function")
+    g = rows.groupBy("run_id", "clone").agg(*(F.first(c).alias(c) for c in ("hash", "clone_type", "token_count", "line_count")), F.array_sort(F.collect_list(each)).alias("i"))
     return g.select(
-        "run_id", "clone", head["hash"].alias("hash"),
-        F.when(F.size(F.array_distinct(F.transform("instances", lambda x: x["full"]))) == 1, "type-1").otherwise("type-2").alias("clone_type"),
-        "token_count", (head["end_line"] - head["start_line"] + 1).alias("line_count"),
-        F.transform("instances", lambda x: F.struct(x["file_id"].alias("file_id"), x["path"].alias("path"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line"), x["function"].alias("function"))).alias("instances"),
+        "run_id", "clone", "hash", "clone_type", "token_count", "line_count",
+        F.transform("i", lambda x: F.struct(*(x[c].alias(c) for c in ("file_id", "path", "start_line", "end_line", "function")))).alias("instances"),
     )
 
 
+def exact_clones(files: DataFrame, whole_file: bool = True, in_scope: DataFrame | None = None) -> DataFrame:
+    """(run_id, clone, hash, clone_type, token_count, line_count, instances) of the copies in files (file_id, run_id, path, text, k).
+
+    `clone` numbers nothing: it is the first place (file and token) of the clone. Files of different runs are never compared.
+    """
+    return with_instances(exact_instances(files, whole_file, in_scope))
+
+
 def dedup_overlapping(clones: DataFrame, key: str, share: float = OVERLAP) -> DataFrame:
     """Drop a clone when a single larger one that is kept covers `share` of the lines of each of its instances.
 
@@ -188,9 +269,9 @@ def dedup_overlapping(clones: DataFrame, key: str, share: float = OVERLAP) -> Da
     i = clones.select(key, F.explode("instances").alias("i")).select(key, F.col("i.file_id").alias("f"), F.col("i.start_line").alias("lo"), F.col("i.end_line").alias("hi"))
     reach = F.max("hi").over(Window.partitionBy("f").orderBy("lo", "hi", key).rowsBetween(Window.unboundedPreceding, -1))
     chained = i.withColumn("new", F.coalesce((F.col("lo") > reach).cast("int"), F.lit(1))).withColumn("g", F.sum("new").over(Window.partitionBy("f").orderBy("lo", "hi", key)))
-    nodes = chained.select(F.xxhash64(key).alias("a"), F.xxhash64("f", "g").alias("b"), key)
-    labels = smallest_labels(nodes.select("a", "b"))
-    part = clones.withColumn("_id", F.xxhash64(key)).join(labels, F.col("_id") == labels.id).select(key, "hash", "line_count", "instances", "label")
+    labels = linked_by_keys(chained.select(F.xxhash64(key).alias("_id"), F.xxhash64("f", "g").alias("h")), "_id", "h")
+    groups = SWEEPS * int(clones.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = clones.withColumn("_id", F.xxhash64(key)).join(labels, "_id").select(key, "hash", "line_count", "instances", F.pmod(F.xxhash64("label"), F.lit(groups)).alias("label"))
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         kept, by_file = [], {}
