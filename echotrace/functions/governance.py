@@ -77,42 +77,73 @@ def mark_known(clones: list[dict], prints: dict[str, int]) -> tuple[int, int]:
 
 @dataclass(frozen=True)
 class Rule:
+    """Thresholds of the files that its globs match; what is None is as in the scan. `index` is its place, after all rules for the scan itself."""
+
     name: str
     paths: tuple[str, ...]
     min_tokens: int | None = None
     similarity: float | None = None
-    min_clone_lines: int | None = None
     skip: bool = False
+    index: int = 0
+
+
+RULE_KEYS = ("name", "paths", "min-tokens", "similarity", "skip")
+#: The name of what holds where no rule does.
+SCAN = "scan"
 
 
-def parse_rules(items: list[dict]) -> list[Rule]:
-    """Checked rules; an error names the rule."""
-    out, allowed = [], {"name", "paths", "min-tokens", "similarity", "min-clone-lines", "skip"}
-    for n, x in enumerate(items, 1):
-        name = x.get("name") or f"rule {n}"
-        if unknown := set(x) - allowed:
-            raise ValueError(f"{name}: unknown key {sorted(unknown)[0]}")
-        if not x.get("paths"):
-            raise ValueError(f"{name}: no paths")
-        if x.get("min-tokens") is not None and x["min-tokens"] < 1:
-            raise ValueError(f"{name}: min-tokens must be positive")
-        if x.get("similarity") is not None and not 0 < x["similarity"] <= 1:
-            raise ValueError(f"{name}: similarity must be in (0, 1]")
-        if x.get("min-clone-lines") is not None and x["min-clone-lines"] < 0:
-            raise ValueError(f"{name}: min-clone-lines must not be negative")
-        if any(r.name == name for r in out):
-            raise ValueError(f"{name}: named twice")
-        out.append(Rule(name, tuple(x["paths"]), x.get("min-tokens"), x.get("similarity"), x.get("min-clone-lines"), bool(x.get("skip"))))
+def parse_rules(items: list | None, line: int = 0) -> list[Rule]:
+    """Checked rules; an error names the rule and, where known, its line."""
+    if items is None:
+        return []
+    if not isinstance(items, list):
+        raise ValueError(f"rules (line {line}): must be a list")
+    out: list[Rule] = []
+    for n, x in enumerate(items):
+
+        def fail(key: str, why: str):
+            at = getattr(x, "lines", {}).get(key, getattr(x, "line", 0))  # noqa: B023
+            raise ValueError(f"rules[{n}] ({x.get('name') + ', ' if isinstance(x, dict) and x.get('name') else ''}line {at}): {why}")  # noqa: B023
+
+        if not isinstance(x, dict):
+            raise ValueError(f"rules[{n}]: must be a mapping with paths")
+        if unknown := [k for k in x if k not in RULE_KEYS]:
+            fail(unknown[0], f"unknown key {unknown[0]!r}; known: {', '.join(RULE_KEYS)}")
+        paths = x.get("paths")
+        if not isinstance(paths, (list, tuple)) or not paths:
+            fail("paths", "paths must list at least one glob")
+        for p in paths:
+            if not isinstance(p, str) or not p.strip():
+                fail("paths", "empty glob in paths")
+            try:
+                re.compile(glob_regex(p))
+            except re.error:
+                fail("paths", f"not a glob: {p!r}")
+        k, s = x.get("min-tokens"), x.get("similarity")
+        if "min-tokens" in x and (not isinstance(k, int) or k <= 0):
+            fail("min-tokens", f"min-tokens must be greater than 0, not {k}")
+        if "similarity" in x and (not isinstance(s, (int, float)) or not 0.5 <= s <= 1):
+            fail("similarity", f"similarity must be between 0.50 and 1.00, not {s}")
+        if x.get("skip") and ("min-tokens" in x or "similarity" in x):
+            fail("skip", "a rule that skips can't set min-tokens or similarity")
+        if x.get("name") == SCAN:
+            fail("name", f"the name {SCAN!r} is taken")
+        if x.get("name") and any(r.name == x["name"] for r in out):
+            fail("name", f"the name {x['name']!r} is used twice")
+        out.append(Rule(x.get("name") or f"rules[{n}]", tuple(paths), k, s, bool(x.get("skip")), n))
     return out
 
 
+def rule_globs(rule: Rule) -> list[str]:
+    """The rule's globs; a leading **/ also matches no folder."""
+    return [t for g in rule.paths for t in ([g, g[3:]] if g.startswith("**/") and len(g) > 3 else [g])]
+
+
 def rule_for(path: str, rules: list[Rule]) -> Rule | None:
-    """The first rule that matches; a leading **/ also matches no directory."""
+    """The first rule that matches."""
     for r in rules:
-        for g in r.paths:
-            tries = [g] + ([g[3:]] if g.startswith("**/") else [])
-            if any(re.match(glob_regex(t), path) or ("/" not in t and re.match(glob_regex(t), path.rsplit("/", 1)[-1])) for t in tries):
-                return r
+        if any(re.match(glob_regex(t), path) or ("**" not in t and re.match(glob_regex(t), path.rsplit("/", 1)[-1])) for t in rule_globs(r)):
+            return r
     return None
 
 
@@ -139,25 +170,51 @@ def resolve_ref(root: str, ref: str) -> str:
     return sha
 
 
+def _below(root: str, top: str, name: str) -> str | None:
+    """A path of a repository as seen from the scanned folder or file; None outside of it."""
+    base, path = Path(root).resolve(), Path(top).resolve() / name
+    if base == path:
+        return path.name
+    return path.relative_to(base).as_posix() if base in path.parents else None
+
+
+def _folder(root: str) -> str:
+    return str(Path(root) if Path(root).is_dir() else Path(root).resolve().parent)
+
+
 def changed_lines(root: str, ref: str) -> dict[str, list[tuple[int, int]]]:
-    """Ranges per file, relative to the repository's top, that HEAD changed since the reference."""
-    sha, top = resolve_ref(root, ref), _git(root, "rev-parse", "--show-toplevel").strip()
-    names = _git(top, "diff", "--name-only", f"{sha}...HEAD").splitlines()
-    return {n: r for n in names if (r := parse_hunks(_git(top, "diff", "-U0", f"{sha}...HEAD", "--", n)))}
+    """Ranges per file that HEAD changed since the reference; files are named from the scanned folder, those outside left out."""
+    where = _folder(root)
+    sha, top = resolve_ref(where, ref), _git(where, "rev-parse", "--show-toplevel").strip()
+    out = {}
+    for n in _git(top, "-c", "core.quotepath=off", "diff", "--name-only", f"{sha}...HEAD").splitlines():
+        rel = _below(root, top, n)
+        if rel is not None and (r := parse_hunks(_git(top, "diff", "-U0", f"{sha}...HEAD", "--", n))):
+            out[rel] = r
+    return out
 
 
 def staged_files(root: str) -> list[str]:
-    """Staged files as absolute paths; none outside a repository."""
+    """Staged files, named from the scanned folder; none outside a repository."""
     try:
-        top = _git(root, "rev-parse", "--show-toplevel").strip()
-        return [str(Path(top) / n) for n in _git(top, "diff", "--cached", "--name-only", "--diff-filter=ACM").splitlines()]
+        where = _folder(root)
+        top = _git(where, "rev-parse", "--show-toplevel").strip()
+        names = _git(top, "-c", "core.quotepath=off", "diff", "--cached", "--name-only", "--diff-filter=ACM").splitlines()
+        return [r for n in names if (r := _below(root, top, n)) is not None]
     except subprocess.CalledProcessError:
         return []
 
 
-def commit_count(root: str, path: str, days: int = 90) -> int:
-    """Commits that touched a file in the last days; 0 where git fails."""
+def commit_counts(root: str, days: int = 90) -> dict[str, int]:
+    """Commits of the last days per file, named from the scanned folder, in one call of git; empty where git fails."""
     try:
-        return len(_git(root, "log", "--oneline", f"--since={days} days ago", "--", path).splitlines())
+        where = _folder(root)
+        top = _git(where, "rev-parse", "--show-toplevel").strip()
+        names = _git(where, "-c", "core.quotepath=off", "log", "--format=", "--name-only", f"--since={days} days ago").splitlines()
     except subprocess.CalledProcessError:
-        return 0
+        return {}
+    out: dict[str, int] = {}
+    for n in names:
+        if n and (rel := _below(root, top, n)) is not None:
+            out[rel] = out.get(rel, 0) + 1
+    return out

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 
+from .languages import BY_EXTENSION
+
 #: How much of a report the reading formats show (fixed values).
 TOP, SHOWN_INSTANCES, PREVIEW, PREVIEW_MD = 10, 6, 5, 10
 TYPES = ("type-1", "type-2", "type-3")
@@ -46,6 +48,24 @@ def as_json(report: dict) -> str:
     return text.replace("&", "\\u0026").replace("<", "\\u003c").replace(">", "\\u003e")
 
 
+def function_names(clone: dict) -> list[str]:
+    """The functions of a clone's instances, each once, as they come."""
+    return list(dict.fromkeys(i["function"] for i in clone["instances"] if i.get("function")))
+
+
+def notes(report: dict) -> list[str]:
+    """What a reader must know of a report's completeness."""
+    out = [f"incomplete: {report['partial_reason']}"] if report.get("partial") else []
+    if "baseline_known" in report:
+        out.append(f"baseline: {report['baseline_known']} known, {report['baseline_new']} new")
+    return out
+
+
+def _hint(path: str) -> str:
+    """The name that fenced code of a file goes by."""
+    return BY_EXTENSION.get("." + path.rsplit(".", 1)[-1].lower(), "") if "." in path else ""
+
+
 def _where(i: dict) -> str:
     name = f" ({i['function']})" if i.get("function") else ""
     return f"{i['file']}:{i['start_line']}-{i['end_line']}{name}"
@@ -58,6 +78,7 @@ def as_text(report: dict, top: int = TOP) -> str:
     ]
     kinds = [f"{t}: {n}" for t in TYPES if (n := sum(c["type"] == t for c in report["clones"]))]
     out += [", ".join(kinds)] if kinds else []
+    out += notes(report)
     hot = sorted(report["file_stats"], key=lambda s: (-s["duplication_pct"], s["file"]))[:TOP]
     if hot:
         out += ["", "hotspots:"] + [f"  {s['duplication_pct']:5.1f}%  {s['file']}" for s in hot]
@@ -65,7 +86,12 @@ def as_text(report: dict, top: int = TOP) -> str:
         shown = clones if top < 0 else clones[:top]
         out += ["", f"{title} ({len(shown)} of {len(clones)}):"]
         for c in shown:
-            out.append(f"[{c['hash']}] {c['type']} {c['line_count']} lines, {len(c['instances'])} places, similarity {c['similarity']:.2f}")
+            names = function_names(c)
+            told = f", in {', '.join(names)}" if names else ""
+            told += f", rule {c['rule']} at {c['rule_min_tokens']} tokens" if c.get("rule") else ""
+            told += f", {c['churn']} commits" if "churn" in c else ""
+            told += " (suppressed)" if c.get("suppressed") else " (known)" if c.get("baseline") else ""
+            out.append(f"[{c['hash']}] {c['type']} {c['line_count']} lines, {len(c['instances'])} places, similarity {c['similarity']:.2f}{told}")
             out += [f"  {_where(i)}" for i in c["instances"][:SHOWN_INSTANCES]]
             if len(c["instances"]) > SHOWN_INSTANCES:
                 out.append(f"  ... {len(c['instances']) - SHOWN_INSTANCES} more")
@@ -78,14 +104,16 @@ def as_text(report: dict, top: int = TOP) -> str:
 def as_markdown(report: dict, top: int = TOP) -> str:
     out = ["# Duplication report", "", "| metric | value |", "|---|---|"]
     out += [f"| {k.replace('_', ' ')} | {report[k]} |" for k in ("scanned_files", "total_clones", "total_lines", "duplicate_lines", "duplication_pct", "saved_lines")]
+    out += [f"\n> {n}" for n in notes(report)]
     for title, clones in sections(report):
         out += ["", f"## {title}"]
         for c in clones if top < 0 else clones[:top]:
-            badge = " `suppressed`" if c.get("suppressed") else ""
+            badge = " `suppressed`" if c.get("suppressed") else " `known`" if c.get("baseline") else " `new`" if "baseline_known" in report else ""
+            badge += " `test and production`" if spans_test_and_production(c) else ""
             out += ["", f"<details><summary><code>{c['hash']}</code> {c['type']}, {c['line_count']} lines, {len(c['instances'])} places{badge}</summary>", ""]
             out += [f"- `{_where(i)}`" for i in c["instances"][:SHOWN_INSTANCES]]
             lines = (c["instances"][0].get("lines") or [])[:PREVIEW_MD]
-            out += ["", "```", *lines, "```"] if lines else []
+            out += ["", "```" + _hint(c["instances"][0]["file"]), *lines, "```"] if lines else []
             out += ["", "</details>"]
     if report.get("dead_functions"):
         out += ["", "## Functions nothing refers to", "", "| function | place | confidence |", "|---|---|---|"]
@@ -123,11 +151,14 @@ def as_sarif(report: dict, tool: str = "echotrace") -> str:
                     "ruleId": "DUPE002" if spans_test_and_production(c) else "DUPE001", "level": "warning",
                     "message": {"text": f"{c['type']} clone of {c['line_count']} lines in {len(c['instances'])} places"},
                     "locations": [place(c["instances"][0])], "relatedLocations": [{"id": n, **place(i)} for n, i in enumerate(c["instances"][1:], 1)],
-                    "partialFingerprints": {"cloneHash/v1": c["hash"]},
+                    "partialFingerprints": {"cloneHash/v1": c["hash"]}, **({"baselineState": "unchanged" if c.get("baseline") else "new"} if "baseline_known" in report else {}),
                 }
             )
     rules = [{"id": "DUPE001", "shortDescription": {"text": "Duplicated code"}}, {"id": "DUPE002", "shortDescription": {"text": "Code duplicated across test and production"}}]
     run = {"tool": {"driver": {"name": tool, "rules": rules}}, "results": results}
+    told = {k: report[k] for k in ("partial", "partial_reason", "baseline_known", "baseline_new") if k in report}
+    if told:
+        run["properties"] = told
     return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}, indent=2)
 
 

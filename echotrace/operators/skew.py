@@ -64,3 +64,34 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     For stages whose cost is work per row, not bytes: few bytes would be coalesced into one task.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def top_within(df: DataFrame, key: str, order: str, n: int, salts: int = SALTS) -> DataFrame:
+    """The n rows of each `key` that are lowest by `order`, first within each of `salts` parts of a key and then among what they leave."""
+    from pyspark.sql import Window
+
+    parts = df.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(salts)).cast("int"))
+    few = parts.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_part").orderBy(order))).where(F.col("_n") <= n)
+    return few.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("_n") <= n).drop("_part", "_n")
+
+
+#: Ranges that prefix sums are split into.
+RANGES = 1000
+
+
+def prefix_sums(df: DataFrame, order: str, value: str, ranges: int = RANGES) -> DataFrame:
+    """Add `before`, the sum of `value` over all rows with a lower `order` (a unique number), in two levels: at most ranges+1 sums, then within each range."""
+    from pyspark.sql import Window
+
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        return df.withColumn("before", F.lit(0).cast("bigint"))
+    width = max((high - low) // ranges + 1, 1)
+    parts = df.withColumn("_range", F.floor((F.col(order) - F.lit(low)) / F.lit(width)).cast("int"))
+    total, starts = 0, []
+    for r in sorted(parts.groupBy("_range").agg(F.sum(value).alias("s")).collect()):  # at most ranges+1 rows
+        starts.append((r[0], total))
+        total += r[1]
+    at = F.broadcast(df.sparkSession.createDataFrame(starts, "_range int, _start bigint"))
+    within = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.join(at, "_range").withColumn("before", (F.coalesce(F.sum(value).over(within), F.lit(0)) + F.col("_start")).cast("bigint")).drop("_range", "_start")

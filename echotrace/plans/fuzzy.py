@@ -1,23 +1,56 @@
 """Near-miss (type-3) clones of a scan: blocks inside functions, their sets of small windows, and a greedy matching.
 
-The pairs are found through an inverted index whose postings are cut at max_bucket blocks, the lowest first, as the cap is
-part of what a scan promises (raise it for all pairs). A scan of one tree is meant; for whole tables of blocks see p4.
+The pairs are found through an inverted index. A scan promises two caps, and reports when either took effect: postings of more than max_bucket
+blocks are cut to the lowest, and no block is begun once max_pairs pairs are evaluated. Without caps (0) all pairs are found. A scan of one
+tree is meant; for whole tables of blocks see p4.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..operators.matching import greedy_matching
-from ..operators.skew import spread
+from ..operators.skew import prefix_sums, spread, top_within
 from ..session import cut_lineage
 from .detect import language_of
 
 #: Defaults of a scan (fixed values).
-SIMILARITY, MAX_BUCKET, LEAST_TOKENS = 0.70, 5000, 10
-_BLOCK = "run_id int, file_id int, path string, pos int, k int, minis array<bigint>, full string, start_line int, end_line int, function string"
+SIMILARITY, MAX_BUCKET, MAX_PAIRS, LEAST_TOKENS = 0.70, 5000, 50_000_000, 10
+#: What one entry of the index is taken to need, in bytes.
+ENTRY_BYTES = 32
+
+
+@dataclass
+class Completeness:
+    """What kept type-3 detection from comparing all pairs. Exact clones are always complete."""
+
+    capped_pairs: bool = False
+    bucket_truncated: bool = False
+    memory_limited: bool = False
+    evaluated: int = 0
+
+    @property
+    def partial(self) -> bool:
+        return self.capped_pairs or self.bucket_truncated or self.memory_limited
+
+    @property
+    def reason(self) -> str:
+        if self.memory_limited:
+            return "type-3 detection was skipped, as its index would not fit in --max-memory; type-1 and type-2 clones are complete"
+        caps = [n for n, hit in (("--max-pairs", self.capped_pairs), ("--max-bucket", self.bucket_truncated)) if hit]
+        return f"type-3 detection was cut short by {' and '.join(caps)}; type-1 and type-2 clones are complete" if caps else ""
+
+    def add(self, other: "Completeness") -> None:
+        self.capped_pairs |= other.capped_pairs
+        self.bucket_truncated |= other.bucket_truncated
+        self.memory_limited |= other.memory_limited
+        self.evaluated += other.evaluated
+
+_BLOCK = "run_id int, file_id int, path string, pos int, k int, minis array<bigint>, full string, start_line int, end_line int, function string, in_table int"
 
 
 def mini_width(k: int) -> int:
@@ -28,6 +61,8 @@ def mini_width(k: int) -> int:
 def blocks_of(files: DataFrame) -> DataFrame:
     """Every k tokens that lie in function bodies, with the distinct hashes of the small windows in them, spelling included."""
     from ..functions import lexer
+    from ..functions.masks import masks, table_at
+    from .detect import function_at
 
     def run(batches):
         for pdf in batches:
@@ -35,10 +70,10 @@ def blocks_of(files: DataFrame) -> DataFrame:
             for r, f, p, text, k in zip(pdf["run_id"], pdf["file_id"], pdf["path"], pdf["text"], pdf["k"]):
                 lang = language_of(p)
                 tokens = lexer.lex(text, lang)
-                spans = lexer.functions(tokens, lang)
-                inside = [0] * (len(tokens) + 1)
-                for a, b, _ in spans:
-                    inside[a : b + 1] = [1] * (b + 1 - a)
+                mask = masks(tokens, lang, text)
+                inside = mask.inside
+                named = [x for x in mask.spans if x[2]]
+                at, names = [i for a, b, _ in named for i in (a, b)], [n for _, _, n in named]
                 m, run_len = mini_width(k), 0
                 minis = [int(lexer.fingerprint(tokens[i : i + m], True), 16) for i in range(len(tokens) - m + 1)]
                 for i in range(len(tokens)):
@@ -46,30 +81,57 @@ def blocks_of(files: DataFrame) -> DataFrame:
                     if run_len >= k:
                         s = i - k + 1
                         own = sorted({h - (1 << 64) if h >> 63 else h for h in minis[s : s + k - m + 1]})
-                        name = next((n for a, b, n in spans if a <= s <= b), "")
-                        rows.append((r, f, p, s, k, own, lexer.fingerprint(tokens[s : i + 1], True), tokens[s].line, tokens[i].end_line, name))
-            yield pd.DataFrame(rows, columns=["run_id", "file_id", "path", "pos", "k", "minis", "full", "start_line", "end_line", "function"])
+                        rows.append((r, f, p, s, k, own, lexer.fingerprint(tokens[s : i + 1], True), tokens[s].line, tokens[i].end_line, function_at(names, at, s, i), table_at(mask, s, k)))
+            yield pd.DataFrame(rows, columns=["run_id", "file_id", "path", "pos", "k", "minis", "full", "start_line", "end_line", "function", "in_table"])
 
     return spread(files.select("run_id", "file_id", "path", "text", "k"), "file_id").mapInPandas(run, _BLOCK)
 
 
 def fuzzy_clones(files: DataFrame, exact: DataFrame | None = None, similarity: float = SIMILARITY, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """fuzzy_detection without a budget of pairs, and without its Completeness."""
+    return fuzzy_detection(files, exact, similarity, max_bucket, 0)[0]
+
+
+def fuzzy_detection(
+    files: DataFrame, exact: DataFrame | None = None, similarity: float = SIMILARITY, max_bucket: int = MAX_BUCKET, max_pairs: int = MAX_PAIRS, in_scope: DataFrame | None = None, max_bytes: int = 0
+) -> tuple[DataFrame, Completeness]:
     """Clones like those of exact_clones, of type-3, always two instances of k tokens each; similarity has two decimals.
 
-    Blocks inside an instance of `exact` are left out, as are pairs less than k tokens apart in one file, pairs below
-    `similarity` and equal ones. The most similar pairs are taken first and each block once. Fewer than LEAST_TOKENS tokens
-    a window or a similarity of 1 and more give none.
+    Blocks inside an instance of `exact` are left out, as are pairs less than k tokens apart in one file, pairs within one table, pairs without a
+    file of `in_scope`, pairs below `similarity` and equal ones. The most similar pairs are taken first and each block once. Fewer than
+    LEAST_TOKENS tokens a window or a similarity of 1 and more give none; with `max_bytes` an index that would be larger is not built.
     """
+    done = Completeness()
     b = blocks_of(files.where(F.col("k") >= LEAST_TOKENS))
     if exact is not None:
         i = exact.select(F.explode("instances").alias("i")).select(F.col("i.file_id").alias("f"), F.col("i.start_line").alias("lo"), F.col("i.end_line").alias("hi"))
         b = b.join(i, (b.file_id == i.f) & (b.start_line >= i.lo) & (b.end_line <= i.hi), "left_anti")
     # Ids in the order of (file, place).
     b = cut_lineage(b.withColumn("id", F.shiftleft(F.col("file_id").cast("bigint"), 32) + F.col("pos")))
-    e = b.select("run_id", "id", "k", F.explode("minis").alias("h"))
-    e = e.withColumn("rn", F.row_number().over(Window.partitionBy("run_id", "h").orderBy("id"))).where(F.col("rn") <= max_bucket)
-    far = (F.shiftright("a", 32) != F.shiftright("b", 32)) | (F.col("b") - F.col("a") >= F.col("k"))
-    met = e.select("run_id", "h", "k", F.col("id").alias("a")).join(e.select("run_id", "h", F.col("id").alias("b")), ["run_id", "h"]).where("a < b").where(far).select("a", "b").distinct()
+    if similarity >= 1 or max_bytes and (b.agg(F.sum(F.size("minis"))).first()[0] or 0) * ENTRY_BYTES > max_bytes:
+        done.memory_limited = similarity < 1
+        b = b.limit(0)
+    postings = b.select(F.xxhash64("run_id", "k").alias("of"), "id", F.explode("minis").alias("mini")).select("id", F.xxhash64("of", "mini").alias("h"))
+    e = postings.join(postings.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "h")
+    if max_bucket:
+        e = cut_lineage(e)
+        done.bucket_truncated = e.where(F.col("n") > max_bucket).limit(1).count() > 0
+        if done.bucket_truncated:
+            e = e.where(F.col("n") <= max_bucket).unionByName(top_within(e.where(F.col("n") > max_bucket), "h", "id", max_bucket))
+    pairs = e.select("h", F.col("id").alias("a")).join(e.select("h", F.col("id").alias("b")), "h").where("a < b").select("a", "b").distinct()
+    if in_scope is not None:
+        seen = F.broadcast(in_scope.select(F.col("file_id").cast("bigint").alias("f")).distinct())
+        touched = lambda x: pairs.join(seen, F.shiftright(x, 32) == F.col("f"), "left_semi")
+        pairs = touched("a").union(touched("b")).distinct()
+    pairs = cut_lineage(pairs)
+    done.evaluated = pairs.count()
+    if max_pairs and done.evaluated > max_pairs:
+        sums = prefix_sums(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a", "n")
+        done.capped_pairs = sums.where(F.col("before") > max_pairs).limit(1).count() > 0
+        pairs = pairs.join(sums.where(F.col("before") <= max_pairs).select("a"), "a", "left_semi")
+    info = lambda x: b.select(F.col("id").alias(x), F.col("k").alias("_k" + x), F.col("in_table").alias("t" + x), F.col("run_id").alias("r" + x))
+    apart = (F.shiftright("a", 32) != F.shiftright("b", 32)) | (F.col("b") - F.col("a") >= F.col("_ka")) & ~((F.col("ta") >= 0) & (F.col("ta") == F.col("tb")))
+    met = pairs.join(info("a"), "a").join(info("b"), "b").where(F.col("ra").eqNullSafe(F.col("rb")) & (F.col("_ka") == F.col("_kb")) & apart).select("a", "b")
     s = lambda x: b.select(F.col("id").alias(x), F.col("minis").alias("m" + x))
     inter = F.size(F.array_intersect("ma", "mb"))
     sim = inter.cast("double") / (F.size("ma") + F.size("mb") - inter)
@@ -84,7 +146,8 @@ def fuzzy_clones(files: DataFrame, exact: DataFrame | None = None, similarity: f
         return pd.Series([f"{fnv64(':'.join(sorted(p)).encode()):016x}" for p in zip(x, y)], dtype=object)
 
     j = taken.join(side("a"), "a").join(side("b"), "b")
-    return j.select(
+    found = j.select(
         "run_id", F.concat_ws(":", F.shiftright("a", 32), F.col("a").bitwiseAND((1 << 32) - 1)).alias("clone"), pair_hash("fulla", "fullb").alias("hash"), F.lit("type-3").alias("clone_type"),
         F.col("ka").alias("token_count"), (F.col("ia.end_line") - F.col("ia.start_line") + 1).alias("line_count"), F.array("ia", "ib").alias("instances"), F.round("score", 2).alias("similarity"),
     )
+    return found, done

@@ -234,6 +234,21 @@ def test_dead_functions(spark):
     assert got == {("Lost", "low"), ("loop", "high"), ("other", "high")}
 
 
+def test_dead_members_and_scopes(spark):
+    texts = {
+        "a.js": "import x from 'y';\nclass P { gone() { q() } get size() { return 1 } constructor() { this.kept() } kept() { r() } }\nclass Q extends P { render() { s() } }\nconst lone = (a) => { return a }\nexport const open = () => { t() }\nfoo(function named() { u() })\n",
+        "A.java": "class A { @Override public void run() { a(); } private void hidden() { b(); } void readObject() { c(); } }",
+        "lib/x.rs": "fn below() { a() }\nfn unseen() { b() }\npub fn seen() { c() }", "lib/sub/y.rs": "fn d() { below() }\npub fn e() { d() }", "z.rs": "pub fn f() { unseen(); seen(); e(); f() }",
+        "s.c": "static int local(int a) { return a; }\nstatic int lost(int a) { return a; }", "t.c": '#include "s.c"\nint main(void) { return local(1); }',
+    }
+    df = files_df(spark, texts, 50)
+    got = {(r.path, r.name, r.confidence) for r in dead_functions(df).collect()}
+    assert got == {("a.js", "gone", "low"), ("a.js", "lone", "high"), ("a.js", "open", "low"), ("A.java", "hidden", "high"), ("lib/x.rs", "unseen", "high"), ("z.rs", "f", "low"), ("s.c", "lost", "low")}
+    universe = files_df(spark, {**texts, "b.js": "p.gone(); open()"}, 50)
+    less = {(r.path, r.name) for r in dead_functions(df, universe, spark.createDataFrame([(0, "f"), (0, "hidden")], "run_id int, name string")).collect()}
+    assert {(p, n) for p, n, _ in got} - less == {("a.js", "gone"), ("a.js", "open"), ("z.rs", "f")}
+
+
 REPORT = {
     "total_files": 2, "scanned_files": 2, "total_clones": 1, "total_lines": 40, "duplicate_lines": 20, "duplication_pct": 50.0, "saved_lines": 10,
     "file_stats": [{"file": "a<b>.go", "total_lines": 20, "duplicate_lines": 10, "duplication_pct": 50.0}],
