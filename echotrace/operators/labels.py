@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
+from .skew import hot_keys, salted_lookup
 
 
 def smallest_labels(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -18,11 +19,13 @@ def smallest_labels(edges: DataFrame, rounds: int = 64) -> DataFrame:
     e = edges.where("a is not null and b is not null").select("a", "b")
     e = cut_lineage(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut_lineage(e.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"))
+    hot = cut_lineage(hot_keys(e, "b", e.count()))
     for _ in range(rounds):
-        near = e.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
+        near = salted_lookup(e, labels.withColumnRenamed("id", "b"), "b", hot, F.col("a"), "inner").groupBy("a").agg(F.min("label").alias("m"))
         spread = labels.join(near, labels.id == near.a).select("id", "label", F.least("label", "m").alias("m"))
         jump = labels.select(F.col("id").alias("m"), F.col("label").alias("far"))
-        new = cut_lineage(spread.join(jump, "m").select("id", F.col("label").alias("old"), F.least("m", "far").alias("label")))
+        spread = cut_lineage(spread)
+        new = cut_lineage(salted_lookup(spread, jump, "m", hot_keys(spread, "m", spread.count()), F.col("id"), "inner").select("id", F.col("label").alias("old"), F.least("m", "far").alias("label")))
         done = new.where("old <> label").limit(1).count() == 0
         labels = new.select("id", "label")
         if done:

@@ -79,19 +79,40 @@ def top_within(df: DataFrame, key: str, order: str, n: int, salts: int = SALTS)
 RANGES = 1000
 
 
-def prefix_sums(df: DataFrame, order: str, value: str, ranges: int = RANGES) -> DataFrame:
-    """Add `before`, the sum of `value` over all rows with a lower `order` (a unique number), in two levels: at most ranges+1 sums, then within each range."""
+def prefix_sums(df: DataFrame, order: str, value: str, key: str | None = None, ranges: int = RANGES) -> DataFrame:
+    """Add `before`, the sum of `value` over the rows of the same `key` (or all) with a lower `order`, a number unique within it.
+
+    In two levels: the orders of each key are cut into at most ranges+1 ranges, whose sums are few; then rows are summed within their range.
+    """
+    from pyspark.sql import Window
+
+    keys = [key] if key else []
+    span = df.groupBy(*keys).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
+    span = span.withColumn("_width", F.floor((F.col("_high") - F.col("_low")) / ranges) + 1)
+    parts = (df.join(span, keys) if key else df.crossJoin(F.broadcast(span))).withColumn("_range", F.floor((F.col(order) - F.col("_low")) / F.col("_width")).cast("int"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum")).select(*keys, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.join(starts, [*keys, "_range"]).withColumn("before", (F.coalesce(F.sum(value).over(within), F.lit(0)) + F.col("_start")).cast("bigint"))
+    return out.drop("_low", "_high", "_width", "_range", "_start")
+
+
+def rank_in_walk(df: DataFrame, path: str, key: str | None = None, tie: str | None = None, depth: int = 3) -> DataFrame:
+    """Add `rank`, the place from 1 of each row of a `key` (or all) in a directory walk: paths compared part by part, ties by `tie`.
+
+    Paths that begin with the same `depth` parts stand together in a walk; such stretches are counted first, then numbered within, so no task
+    gets all paths of a key.
+    """
     from pyspark.sql import Window
 
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return df.withColumn("before", F.lit(0).cast("bigint"))
-    width = max((high - low) // ranges + 1, 1)
-    parts = df.withColumn("_range", F.floor((F.col(order) - F.lit(low)) / F.lit(width)).cast("int"))
-    total, starts = 0, []
-    for r in sorted(parts.groupBy("_range").agg(F.sum(value).alias("s")).collect()):  # at most ranges+1 rows
-        starts.append((r[0], total))
-        total += r[1]
-    at = F.broadcast(df.sparkSession.createDataFrame(starts, "_range int, _start bigint"))
-    within = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return parts.join(at, "_range").withColumn("before", (F.coalesce(F.sum(value).over(within), F.lit(0)) + F.col("_start")).cast("bigint")).drop("_range", "_start")
+    keys = [key] if key else []
+    rows = df.withColumn("_parts", F.split(path, "/")).withColumn("_head", F.slice("_parts", 1, depth))
+    before = Window.partitionBy(*keys).orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*keys, "_head").agg(F.count(F.lit(1)).alias("_n")).select(*keys, "_head", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(*keys, "_head").orderBy("_parts", *([tie] if tie else []))
+    numbered = rows.withColumn("_no", F.row_number().over(within))
+    on = starts.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_head").alias("_h"), "_start")
+    cond = F.col("_head").eqNullSafe(F.col("_h"))
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return numbered.join(on, cond).withColumn("rank", F.col("_no") + F.col("_start")).drop("_parts", "_head", "_no", "_h", "_start", *(f"_k_{k}" for k in keys))

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import base_name, dir_name, glob_regex, is_test, slashed
-from ..operators.intervals import covered_lines
+from ..operators.intervals import covered_lines, meeting
+from ..operators.skew import prefix_sums
 from ..session import table
 
 
@@ -117,10 +118,10 @@ def staged_semi(spark, sf_dir):
 
 
 def since_overlap(spark, sf_dir):
-    """Clones that touch changed lines: an equi-join on the file with an interval condition."""
-    changed = table(spark, sf_dir, "blocks").where("start_line is not null").select("file_id", F.col("start_line").alias("lo"), F.col("end_line").alias("hi")).distinct()
-    i = instance_rows(spark, sf_dir).select("instance_id", "file_id", "start_line", "end_line")
-    touched = i.join(changed, (i.file_id == changed.file_id) & (i.start_line <= changed.hi) & (changed.lo <= i.end_line), "left_semi").select("instance_id")
+    """Clones that touch changed lines: an equi-join on file and bucket of lines, then the interval condition."""
+    changed = table(spark, sf_dir, "blocks").select("file_id", F.col("start_line").alias("lo"), F.col("end_line").alias("hi"))
+    i = instance_rows(spark, sf_dir).select("instance_id", "file_id", F.col("start_line").alias("lo"), F.col("end_line").alias("hi"))
+    touched = meeting(i, changed, "file_id").select("instance_id")
     c = clone_rows(spark, sf_dir).select("clone_id", F.explode("instances.instance_id").alias("instance_id"))
     return c.join(touched, "instance_id", "left_semi").select("clone_id").distinct()
 
@@ -145,22 +146,34 @@ def churn_order(spark, sf_dir):
     i = instance_rows(spark, sf_dir).select("instance_id", F.coalesce("file_commits", F.lit(0)).alias("commits"))
     c = clone_rows(spark, sf_dir).select("clone_id", "line_count", F.explode_outer("instances.instance_id").alias("instance_id"))
     s = c.join(i, "instance_id", "left").groupBy("clone_id", "line_count").agg(F.coalesce(F.sum("commits"), F.lit(0)).alias("churn"))
-    return s.select("clone_id", "churn", F.row_number().over(Window.orderBy(F.desc("churn"), F.desc("line_count"), "clone_id")).alias("rank"))
+    # Distinct counts of commits are few: their sizes give where each begins, and ranks within one follow.
+    before = Window.orderBy(F.desc("churn")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = s.groupBy("churn").agg(F.count(F.lit(1)).alias("n")).select("churn", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("churn").orderBy(F.desc("line_count"), "clone_id"))
+    return s.join(F.broadcast(starts), "churn").select("clone_id", "churn", (within + F.col("start")).cast("int").alias("rank"))
+
+
+def with_partial_copies(c: DataFrame) -> DataFrame:
+    """Clones and, of every one with three instances or more, a copy without its last one, as a stricter pass would have found it (clone_id negative)."""
+    part = c.where(F.size("instances") > 2).withColumn("clone_id", -F.col("clone_id") - 1).withColumn("instances", F.expr("slice(instances, 1, size(instances) - 1)"))
+    return c.unionByName(part)
 
 
 def partial_copies(spark, sf_dir):
-    """Clones whose instances are a strict subset of those of a clone with the same hash."""
-    c = clone_rows(spark, sf_dir).where("clone_hash is not null").select("clone_id", "clone_hash", F.col("instances.instance_id").alias("ids"))
-    o = c.select(F.col("clone_id").alias("other"), "clone_hash", F.col("ids").alias("more"))
+    """Clones whose instances are a strict subset of those of a clone with the same hash; the two meet at the smaller one's first instance."""
+    c = with_partial_copies(clone_rows(spark, sf_dir).where("clone_hash is not null").select("clone_id", "clone_hash", "instances"))
+    c = c.select("clone_id", "clone_hash", F.col("instances.instance_id").alias("ids"))
+    small = c.where(F.size("ids") > 0).select("clone_id", "clone_hash", "ids", F.array_min("ids").alias("at"))
+    more = c.select(F.col("clone_hash").alias("h"), F.col("ids").alias("more"), F.explode("ids").alias("id"))
     inside = (F.size(F.array_except("ids", "more")) == 0) & (F.size("ids") < F.size("more"))
-    return c.join(o, (c.clone_hash == o.clone_hash) & inside, "left_semi").select("clone_id")
+    return small.join(more, (F.col("clone_hash") == F.col("h")) & (F.col("at") == F.col("id")) & inside, "left_semi").select("clone_id")
 
 
 def exact_cover_antijoin(spark, sf_dir):
     """Blocks whose lines no single instance of their file contains."""
-    b = table(spark, sf_dir, "blocks").dropDuplicates(["block_id"]).select("block_id", "file_id", "start_line", "end_line")
+    b = table(spark, sf_dir, "blocks").dropDuplicates(["block_id"]).select("block_id", "file_id", F.col("start_line").alias("lo"), F.col("end_line").alias("hi"))
     i = instance_rows(spark, sf_dir).select("file_id", F.col("start_line").alias("lo"), F.col("end_line").alias("hi"))
-    return b.join(i, (b.file_id == i.file_id) & (b.start_line >= i.lo) & (b.end_line <= i.hi), "left_anti").select("block_id")
+    return meeting(b, i, "file_id", "left_anti", contained=True).select("block_id")
 
 
 def mini_hash_index(spark, sf_dir):
@@ -170,20 +183,25 @@ def mini_hash_index(spark, sf_dir):
     return e.groupBy("run_id", "h").agg(F.count(F.lit(1)).alias("blocks")).groupBy("blocks").agg(F.count(F.lit(1)).alias("n_values"))
 
 
+def run_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, max_bucket, max_pairs), one row a run; null and 0 stand for the defaults."""
+    of = lambda c, d: F.coalesce(F.nullif(F.max(c), F.lit(0)), F.lit(d)).alias(c)
+    return table(spark, sf_dir, "detect_runs").where("run_id is not null").groupBy("run_id").agg(of("max_bucket", 500), of("max_pairs", 50_000_000))
+
+
 def bucket_truncation(spark, sf_dir):
-    """The postings that a cap of 25 blocks per value keeps, the lowest block ids first, and how many values it cuts (the cap is the feature)."""
+    """Per run the postings that its max_bucket keeps of each value, and how many values it cuts; what is kept is a count, so none is numbered."""
     b = table(spark, sf_dir, "blocks").dropDuplicates(["block_id"])
-    e = b.select("run_id", "block_id", F.explode(F.array_distinct("mini")).alias("h")).where("h <> 0")
-    r = e.withColumn("rn", F.row_number().over(Window.partitionBy("run_id", "h").orderBy("block_id")))
-    return r.groupBy("run_id").agg(F.count_if(F.col("rn") <= 25).alias("kept"), F.count_if(F.col("rn") == 26).alias("truncated_values"))
+    n = b.select("run_id", "block_id", F.explode(F.array_distinct("mini")).alias("h")).where("h <> 0").groupBy("run_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    r = n.join(run_options(spark, sf_dir), "run_id")
+    return r.groupBy("run_id").agg(F.sum(F.least("n", "max_bucket")).alias("kept"), F.count_if(F.col("n") > F.col("max_bucket")).alias("truncated_values"))
 
 
 def pair_budget_cut(spark, sf_dir):
-    """Matches of a run in order of their first end, while those of earlier ends stay within a budget of 200 (the budget is the feature)."""
+    """Matches of a run in order of their first end, while those of earlier ends stay within its max_pairs: ends and pairs kept."""
     m = table(spark, sf_dir, "fuzzy_matches").where("a_idx <> b_idx").select("run_id", F.least("a_idx", "b_idx").alias("a"), F.greatest("a_idx", "b_idx").alias("b")).distinct()
-    c = m.groupBy("run_id", "a").agg(F.count(F.lit(1)).alias("cnt"))
-    before = F.coalesce(F.sum("cnt").over(Window.partitionBy("run_id").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return c.withColumn("before", before).where("before <= 200").groupBy("run_id").agg(F.count(F.lit(1)).alias("ends"), F.sum("cnt").alias("pairs"))
+    c = prefix_sums(m.groupBy("run_id", "a").agg(F.count(F.lit(1)).alias("cnt")), "a", "cnt", "run_id").join(run_options(spark, sf_dir), "run_id")
+    return c.where("before <= max_pairs").groupBy("run_id").agg(F.count(F.lit(1)).alias("ends"), F.sum("cnt").alias("pairs"))
 
 
 def match_threshold(spark, sf_dir):
@@ -254,14 +272,18 @@ ORACLES = {
       SELECT CASE WHEN cnt IS NULL THEN 'new' WHEN {_N} <= cnt THEN 'known' ELSE 'grown' END AS state, count(*) AS n FROM c0 LEFT JOIN b USING (clone_hash) GROUP BY 1""",
     "churn_order": f"""WITH {_C}, t AS (SELECT clone_id, c0.line_count, CAST(coalesce(sum(coalesce(file_commits, 0)), 0) AS BIGINT) AS churn FROM c0 LEFT JOIN x USING (clone_id) LEFT JOIN i0 ON i0.instance_id = x.i.instance_id GROUP BY 1, 2)
       SELECT clone_id, churn, row_number() OVER (ORDER BY churn DESC, line_count DESC, clone_id) AS rank FROM t""",
-    "partial_copies": f"""WITH {_C}, k AS (SELECT clone_id, clone_hash, list_transform(instances, lambda x: x.instance_id) AS ids FROM c0 WHERE clone_hash IS NOT NULL)
-      SELECT DISTINCT a.clone_id FROM k a JOIN k b USING (clone_hash) WHERE list_has_all(b.ids, a.ids) AND len(a.ids) < len(b.ids)""",
+    "partial_copies": f"""WITH {_C}, k0 AS (SELECT clone_id, clone_hash, list_transform(instances, lambda x: x.instance_id) AS ids FROM c0 WHERE clone_hash IS NOT NULL),
+      k AS (SELECT * FROM k0 UNION ALL SELECT -clone_id - 1, clone_hash, ids[1 : len(ids) - 1] FROM k0 WHERE len(ids) > 2)
+      SELECT DISTINCT a.clone_id FROM k a JOIN k b USING (clone_hash) WHERE list_has_all(b.ids, a.ids) AND len(a.ids) < len(b.ids) AND len(a.ids) > 0""",
     "exact_cover_antijoin": f"WITH {_C}, {_B} SELECT block_id FROM b0 WHERE NOT EXISTS (SELECT 1 FROM i0 WHERE i0.file_id = b0.file_id AND b0.start_line >= i0.start_line AND b0.end_line <= i0.end_line)",
     "mini_hash_index": f"WITH {_B}, e AS (SELECT DISTINCT run_id, block_id, unnest(mini) AS h FROM b0) SELECT blocks, count(*) AS n_values FROM (SELECT run_id, h, count(*) AS blocks FROM e WHERE h <> 0 GROUP BY 1, 2) GROUP BY 1",
-    "bucket_truncation": f"""WITH {_B}, e AS (SELECT DISTINCT run_id, block_id, unnest(mini) AS h FROM b0), r AS (SELECT run_id, row_number() OVER (PARTITION BY run_id, h ORDER BY block_id) AS rn FROM e WHERE h <> 0)
-      SELECT run_id, count(*) FILTER (rn <= 25) AS kept, count(*) FILTER (rn = 26) AS truncated_values FROM r GROUP BY 1""",
+    "bucket_truncation": f"""WITH {_B}, o AS (SELECT run_id, coalesce(nullif(max(max_bucket), 0), 500) AS cap FROM detect_runs GROUP BY 1), e AS (SELECT DISTINCT run_id, block_id, unnest(mini) AS h FROM b0),
+      r AS (SELECT run_id, h, cap, row_number() OVER (PARTITION BY run_id, h ORDER BY block_id) AS rn FROM e JOIN o USING (run_id) WHERE h <> 0)
+      SELECT run_id, count(*) FILTER (rn <= cap) AS kept, count(*) FILTER (rn = cap + 1) AS truncated_values FROM r GROUP BY 1""",
     "pair_budget_cut": """WITH m AS (SELECT DISTINCT run_id, least(a_idx, b_idx) AS a, greatest(a_idx, b_idx) AS b FROM fuzzy_matches WHERE a_idx <> b_idx), c AS (SELECT run_id, a, count(*) AS cnt FROM m GROUP BY 1, 2),
-      w AS (SELECT *, coalesce(sum(cnt) OVER (PARTITION BY run_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c) SELECT run_id, count(*) AS ends, CAST(sum(cnt) AS BIGINT) AS pairs FROM w WHERE before <= 200 GROUP BY 1""",
+      o AS (SELECT run_id, coalesce(nullif(max(max_pairs), 0), 50000000) AS cap FROM detect_runs GROUP BY 1),
+      w AS (SELECT *, coalesce(sum(cnt) OVER (PARTITION BY run_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+      SELECT run_id, count(*) AS ends, CAST(sum(cnt) AS BIGINT) AS pairs FROM w JOIN o USING (run_id) WHERE before <= cap GROUP BY 1""",
     "match_threshold": """WITH t AS (SELECT run_id, coalesce(nullif(max(min_similarity), 0), 0.7) AS t FROM detect_runs GROUP BY 1),
       m AS (SELECT run_id, least(a_idx, b_idx) AS a, greatest(a_idx, b_idx) AS b, max(similarity) AS s FROM fuzzy_matches WHERE a_idx <> b_idx AND similarity IS NOT NULL GROUP BY 1, 2, 3)
       SELECT run_id, count(*) AS matches FROM m JOIN t USING (run_id) WHERE s >= t AND s < 1.0 GROUP BY 1""",

@@ -306,6 +306,71 @@ def detect_exact_clones(spark, sf_dir):
     return dedup_overlapping(c, "key").where(F.col("line_count") >= MIN_LINES).select("run_id", "clone", "hash", "clone_type", "token_count", "line_count", F.size("instances").alias("n_instances"))
 
 
+def token_rows(files: DataFrame) -> DataFrame:
+    """(file_id, pos, kind, text, line, end_line): every token of files (file_id, path, text), spelled as in the file; kind is keyword, name, number, string or operator."""
+    from ..functions import lexer
+
+    kinds = ("keyword", "name", "number", "string", "operator")
+
+    def run(batches):
+        for pdf in batches:
+            for f, p, text in zip(pdf["file_id"], pdf["path"], pdf["text"]):
+                t = lexer.lex(text, language_of(p))
+                spelled = [(x.text + x.orig).encode("latin-1").decode("utf-8", "replace") for x in t]
+                yield pd.DataFrame({"file_id": f, "pos": range(len(t)), "kind": [kinds[x.kind] for x in t], "text": spelled, "line": [x.line for x in t], "end_line": [x.end_line for x in t]})
+
+    return spread(files.select("file_id", "path", "text"), "file_id").mapInPandas(run, "file_id int, pos int, kind string, text string, line int, end_line int")
+
+
+def register_functions(spark: SparkSession) -> None:
+    """SQL functions: lex_source(text, language) as a table function with a row per token, and fnv64(text) as 16 hex digits."""
+    from pyspark.sql.functions import pandas_udf, udtf
+
+    @udtf(returnType="pos int, kind int, text string, orig string, line int, end_line int")
+    class LexSource:
+        def eval(self, text: str, language: str):
+            from echotrace.functions import lexer
+
+            for n, t in enumerate(lexer.lex(text, language or "")):
+                yield n, t.kind, t.text, t.orig.encode("latin-1").decode("utf-8", "replace"), t.line, t.end_line
+
+    @pandas_udf("string")
+    def fnv64(texts: pd.Series) -> pd.Series:
+        from echotrace.functions import lexer
+
+        return pd.Series([None if t is None else f"{lexer.fnv64(t.encode('utf-8')):016x}" for t in texts], dtype=object)
+
+    spark.udtf.register("lex_source", LexSource)
+    spark.udf.register("fnv64", fnv64)
+
+
+def lex_tokens(spark, sf_dir):
+    """Per file: a hash of its tokens' spellings one after the other, and their number (not in Ruby, where the table cuts 3.times otherwise). Files without ready tokens are left out."""
+    lexed = table(spark, sf_dir, "tokenized_files").groupBy("file_id").agg(F.max("tokens").isNotNull().alias("ok")).where("ok").select("file_id")
+    t = token_rows(run_files(spark, sf_dir).join(lexed, "file_id", "left_semi"))
+    # A file's tokens are no more than the file itself, so they may stand in one row.
+    one = t.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("t"), F.count(F.lit(1)).alias("n"))
+    paths = run_files(spark, sf_dir).join(lexed, "file_id", "left_semi").select("file_id", "path")
+    spelling = F.md5(F.coalesce(F.array_join(F.transform("t", lambda x: x["text"]), ""), F.lit("")))
+    return paths.join(one, "file_id", "left").select("file_id", spelling.alias("spelling"), F.when(~F.coalesce("path", F.lit("")).endswith(".rb"), F.coalesce("n", F.lit(0))).alias("n_tokens"))
+
+
+def covered_by_exact_copies(spark, sf_dir):
+    """Per run and file: positions that begin a window of the run's length which stands, spelling and all, in another place of the run; of the ready tokens."""
+    k = table(spark, sf_dir, "detect_runs").where("run_id is not null").groupBy("run_id").agg(F.coalesce(F.nullif(F.max("min_tokens"), F.lit(0)), F.lit(MIN_TOKENS)).alias("k"))
+    f = table(spark, sf_dir, "tokenized_files").groupBy("file_id").agg(F.min("run_id").alias("run_id"), F.max("tokens").alias("tokens")).join(k, "run_id", "left").select("file_id", "run_id", F.coalesce("k", F.lit(MIN_TOKENS)).alias("k"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("codes"))
+
+    def run(batches):
+        for pdf in batches:
+            for fid, rid, size, codes in zip(pdf["file_id"], pdf["run_id"], pdf["k"], pdf["codes"]):
+                if codes is not None and len(codes) >= size:
+                    c = np.asarray(codes).astype(np.int64).view(np.uint64)
+                    yield pd.DataFrame({"file_id": fid, "run_id": rid, "path": "", "k": size, "win": [windows_hash(c, int(size), np.zeros(len(c), dtype=bool), int(rid))]})
+
+    w = spread(f.where("run_id is not null"), "file_id").mapInPandas(run, "file_id int, run_id int, path string, k int, win array<bigint>")
+    return repeated_windows(cut_lineage(w)).groupBy("run_id", "file_id").agg(F.count(F.lit(1)).alias("repeated_windows"))
+
+
 def detect_functions(spark, sf_dir):
     """Functions per language and how many tokens lie in them."""
     from ..functions import lexer
@@ -339,5 +404,14 @@ def dedup_overlap(spark, sf_dir):
     return dedup_overlapping(c.select("clone_id", F.col("clone_hash").alias("hash"), "line_count", inst.alias("instances")).where(F.size("instances") > 0), "clone_id").select("clone_id", "line_count")
 
 
-QUERIES = {f.__name__: f for f in (detect_exact_clones, detect_functions, fuzzy_matching, dedup_overlap)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (detect_exact_clones, detect_functions, lex_tokens, covered_by_exact_copies, fuzzy_matching, dedup_overlap)}
+ORACLES: dict[str, str] = {
+    "lex_tokens": """SELECT file_id, md5(array_to_string(any_value(tokens), '')) AS spelling, CASE WHEN coalesce(min(lower(file_path)), '') NOT LIKE '%.rb' THEN CAST(len(any_value(tokens)) AS BIGINT) END AS n_tokens
+      FROM tokenized_files WHERE tokens IS NOT NULL GROUP BY 1""",
+    "covered_by_exact_copies": f"""WITH r AS (SELECT run_id, coalesce(nullif(max(min_tokens), 0), {MIN_TOKENS}) AS k FROM detect_runs GROUP BY 1),
+      f AS (SELECT file_id, min(run_id) AS run_id, any_value(tokens) AS t FROM tokenized_files WHERE tokens IS NOT NULL GROUP BY 1),
+      g AS (SELECT f.*, coalesce(k, {MIN_TOKENS}) AS k FROM f LEFT JOIN r USING (run_id) WHERE run_id IS NOT NULL),
+      p AS (SELECT *, unnest(range(0, len(t) - k + 1)) AS pos FROM g WHERE len(t) >= k), w AS (SELECT run_id, file_id, md5(array_to_string(t[pos + 1 : pos + k], chr(1))) AS h FROM p),
+      n AS (SELECT *, count(*) OVER (PARTITION BY run_id, h) AS n FROM w)
+      SELECT run_id, file_id, count(*) AS repeated_windows FROM n WHERE n > 1 GROUP BY 1, 2""",
+}

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.window import Window
 
 from ..functions.languages import BY_EXTENSION
 from ..functions.paths import base_name, dir_name, extension, glob_match, in_pruned_dir, is_test, selected, slashed
+from ..functions.generated import GENERATED_ENDINGS, HEAD, STRONG_MARKS, is_generated
+from ..operators.skew import rank_in_walk
 from ..session import table
 
 #: Default limit of a file's size, and the length of the head that is searched for NUL bytes (fixed values).
@@ -73,13 +74,26 @@ def scan_glob_filter(spark, sf_dir):
 
 
 def scan_size_filter(spark, sf_dir):
-    """Size first: octet_length of the text column is the only thing the filter reads."""
-    return source_files(spark, sf_dir).where(F.octet_length("src_text") <= 2048).select("file_id", F.octet_length("src_text").alias("bytes"))
+    """Size first: lengths are read beside the texts' rows, and rows over the limit never reach the shuffle that makes files distinct."""
+    t = table(spark, sf_dir, "tokenized_files").select("file_id", F.octet_length("src_text").alias("bytes"))
+    return t.where("bytes <= 2048").groupBy("file_id").agg(F.min("bytes").alias("bytes"))
 
 
 def scan_binary_filter(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat(F.substring("text", 1, 300), F.lit("\x00"), "text")).otherwise(F.col("text")).alias("text"))
-    return t.select("doc_id", is_binary(F.col("text")).alias("is_binary"))
+    """Texts with a NUL among their first 512 characters; one is set into each text before its (doc_id mod 1024)th character, if it is that long."""
+    at = (F.col("doc_id") % 1024).cast("int")
+    planted = F.when(F.length("text") >= at, F.concat(F.substring("text", F.lit(1), at), F.lit("\x00"), F.expr("substring(text, cast(doc_id % 1024 AS int) + 1)"))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", is_binary(planted).alias("is_binary"))
+
+
+def scan_generated_filter(spark, sf_dir):
+    """Whether each file is machine-written, and whether by its name or a strong mark alone."""
+    f = source_files(spark, sf_dir)
+    ending = F.lit(False)
+    for e in GENERATED_ENDINGS:
+        ending = ending | F.lower("path").endswith(e)
+    strong = ending | F.substring("src_text", 1, HEAD).rlike("(?i)" + "|".join(STRONG_MARKS))
+    return f.select("file_id", F.coalesce(strong, F.lit(False)).alias("plainly"), F.coalesce(is_generated(F.col("path"), F.col("src_text")), F.lit(False)).alias("generated"))
 
 
 def scan_minified_filter(spark, sf_dir):
@@ -89,8 +103,7 @@ def scan_minified_filter(spark, sf_dir):
 def scan_walk_order(spark, sf_dir):
     """Position of each file in a directory walk: paths compared part by part, within a run."""
     f = source_files(spark, sf_dir)
-    w = Window.partitionBy("run_id").orderBy(F.split("path", "/"), "file_id")
-    return f.select("run_id", "file_id", F.row_number().over(w).alias("walk_no"))
+    return rank_in_walk(f.select("run_id", "file_id", "path"), "path", "run_id", "file_id").select("run_id", "file_id", F.col("rank").cast("int").alias("walk_no"))
 
 
 def scan_min_tokens(spark, sf_dir):
@@ -148,10 +161,24 @@ _PRUNED = "('vendor', 'node_modules', 'dist', 'build', 'target', '__pycache__',
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_line_count, scan_dir_prune, scan_language, scan_language_filter, scan_glob_filter, scan_size_filter, scan_binary_filter,
+        scan_line_count, scan_dir_prune, scan_language, scan_language_filter, scan_glob_filter, scan_size_filter, scan_binary_filter, scan_generated_filter,
         scan_minified_filter, scan_walk_order, scan_min_tokens, file_classes, rules_first_match, lex_token_kinds,
     )
 }
+# The comment that opens a file ends at the first line of code: lines are numbered, and those of block comments found by the opens and closes before them.
+_GENERATED = f"""WITH f AS (SELECT file_id, min(regexp_replace(replace(file_path, '\\', '/'), '^(\\./)+', '')) AS path, min(src_text) AS t FROM tokenized_files GROUP BY 1),
+  l AS (SELECT file_id, unnest(string_split(substr(coalesce(t, ''), 1, {HEAD}), chr(10))) AS x, generate_subscripts(string_split(substr(coalesce(t, ''), 1, {HEAD}), chr(10)), 1) AS n FROM f),
+  s AS (SELECT file_id, n, trim(x, ' ') AS x FROM l),
+  o AS (SELECT *, starts_with(x, '/*') AS opens, contains(x, '*/') AS closes FROM s),
+  w AS (SELECT *, coalesce(max(CASE WHEN opens AND NOT closes THEN n END) OVER b, 0) > coalesce(max(CASE WHEN closes THEN n END) OVER b, 0) AS within FROM o WINDOW b AS (PARTITION BY file_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  k AS (SELECT *, within OR opens OR starts_with(x, '<!--') OR starts_with(x, '//') OR starts_with(x, '--') OR starts_with(x, '#') AND NOT regexp_matches(x, '^#(include|pragma|define|undef|if|else|elif|endif|import|error|line|\\[|!\\[)') AS comment FROM w),
+  e AS (SELECT file_id, min(n) AS stop FROM k WHERE NOT comment AND x NOT IN ('', '<?php') GROUP BY 1),
+  h AS (SELECT DISTINCT file_id FROM k LEFT JOIN e USING (file_id) WHERE comment AND n < coalesce(stop, 1000000)
+    AND regexp_matches(regexp_replace(x, '^[/*#\\-<!; \\t]+', ''), '(?i)^(code generated|generated code|generated by|automatically generated|auto-?generated)\\b|this (file|code) (is|was) (auto(matically)?[- ]?)?generated|auto-?generated (file|code|by|from)')),
+  m AS (SELECT file_id, list_sum(list_transform(list_filter(string_split(t, chr(10)), lambda y: strlen(y) >= 2000), lambda y: strlen(y))) * 2 > strlen(t) AND strlen(t) // len(string_split(t, chr(10))) >= 500 AS minified FROM f),
+  p AS (SELECT f.file_id, coalesce({" OR ".join(f"ends_with(lower(path), '{e}')" for e in GENERATED_ENDINGS)} OR regexp_matches(substr(t, 1, {HEAD}), '(?i){"|".join(STRONG_MARKS)}'), false) AS plainly, h.file_id IS NOT NULL AS told, coalesce(minified, false) AS minified
+    FROM f LEFT JOIN h USING (file_id) LEFT JOIN m USING (file_id))
+  SELECT file_id, plainly, plainly OR told OR minified AS generated FROM p"""
 ORACLES = {
     "scan_line_count": f"""SELECT file_id, CASE WHEN src_text = '' THEN 0 ELSE len(src_text) - len(replace(src_text, chr(10), '')) + CASE WHEN ends_with(src_text, chr(10)) THEN 0 ELSE 1 END END AS lines,
       strlen(src_text) AS bytes FROM {_F}""",
@@ -162,7 +189,8 @@ ORACLES = {
     "scan_glob_filter": rf"""SELECT file_id, path FROM {_F} WHERE (regexp_matches(path, '^.*/[^/]*\.(go|py)$') OR regexp_matches({_BASE}, '^c.*\.js$'))
       AND NOT regexp_matches({_BASE}, '_test\.') AND NOT regexp_matches(path, '^.*/vendor/.*$') AND NOT regexp_matches({_BASE}, '^[s-t].*\.py$')""",
     "scan_size_filter": f"SELECT file_id, strlen(src_text) AS bytes FROM {_F} WHERE strlen(src_text) <= 2048",
-    "scan_binary_filter": "SELECT doc_id, doc_id % 7 = 0 AS is_binary FROM documents",
+    "scan_generated_filter": _GENERATED,
+    "scan_binary_filter": """SELECT doc_id, coalesce(instr(substr(CASE WHEN length(text) >= doc_id % 1024 THEN substr(text, 1, doc_id % 1024) || chr(0) || substr(text, doc_id % 1024 + 1) ELSE text END, 1, 512), chr(0)) > 0, NULL) AS is_binary FROM documents""",
     "scan_minified_filter": f"""SELECT file_id, coalesce(list_sum(list_filter(s, lambda x: x >= {LONG_LINE})), 0) * 2 > coalesce(list_sum(s), 0) AND coalesce(list_sum(s), 0) >= len(s) * {MEAN_LINE} AS minified
       FROM (SELECT file_id, list_transform(string_split(src_text, chr(10)), lambda x: strlen(x)) AS s FROM {_F})""",
     "scan_walk_order": f"SELECT run_id, file_id, row_number() OVER (PARTITION BY run_id ORDER BY string_split(path, '/'), file_id) AS walk_no FROM {_F}",

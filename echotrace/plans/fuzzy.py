@@ -126,7 +126,7 @@ def fuzzy_detection(
     pairs = cut_lineage(pairs)
     done.evaluated = pairs.count()
     if max_pairs and done.evaluated > max_pairs:
-        sums = prefix_sums(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a", "n")
+        sums = cut_lineage(prefix_sums(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a", "n"))
         done.capped_pairs = sums.where(F.col("before") > max_pairs).limit(1).count() > 0
         pairs = pairs.join(sums.where(F.col("before") <= max_pairs).select("a"), "a", "left_semi")
     info = lambda x: b.select(F.col("id").alias(x), F.col("k").alias("_k" + x), F.col("in_table").alias("t" + x), F.col("run_id").alias("r" + x))

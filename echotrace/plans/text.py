@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from ..session import table
+from ..operators.skew import HOT_PARTS, salted_lookup
+from ..session import cut_lineage, table
 
 #: Words per window.
 K = 20
@@ -24,8 +25,12 @@ def windows(docs: DataFrame, k: int = K) -> DataFrame:
 
 
 def repeated(w: DataFrame) -> DataFrame:
-    """The windows whose hash occurs at two places or more, by a semi-join on the counted hashes."""
-    return w.join(w.groupBy("h").count().where("count > 1").select("h"), "h", "left_semi")
+    """The windows whose hash occurs at two places or more: hashes are counted first, and hot ones salted when they are looked up."""
+    w = cut_lineage(w)
+    many = cut_lineage(w.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = many.agg(F.sum("n")).first()[0] or 0
+    hot = many.where(F.col("n") > max(1, total // HOT_PARTS)).select("h")
+    return salted_lookup(w, many.select("h"), "h", hot, F.xxhash64("doc_id", "pos"), "inner")
 
 
 def window_hash_repeated(spark, sf_dir):

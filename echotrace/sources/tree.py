@@ -6,11 +6,11 @@ from pathlib import PurePosixPath
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
 from ..functions.generated import is_generated
 from ..functions.languages import BY_EXTENSION
 from ..functions.paths import extension, in_pruned_dir, selected
+from ..operators.skew import rank_in_walk
 
 
 def _listed(spark: SparkSession, root: str, max_size: int) -> DataFrame:
@@ -34,7 +34,7 @@ def read_tree(
     known = [e for e, n in BY_EXTENSION.items() if not language or n == language.lower()]
     f = f.where(extension(F.col("p")).isin(known))
     f = f.where(F.instr(F.decode(F.substring("content", 1, 512), "ISO-8859-1"), "\x00") == 0)
-    ids = f.select("p", (F.row_number().over(Window.orderBy(F.split("p", "/"))) - 1).alias("file_id"))  # paths of one tree only
+    ids = rank_in_walk(f.select("p"), "p").select("p", (F.col("rank") - 1).cast("int").alias("file_id"))
     out = f.select("p", F.decode("content", "UTF-8").alias("text")).join(ids, "p").select("file_id", F.lit(0).alias("run_id"), F.col("p").alias("path"), "text")
     return out.withColumn("generated", is_generated(F.col("path"), F.col("text"))) if generated else out
 

@@ -90,3 +90,57 @@ def test_queries_against_sql(spark):
     sql = registry.oracle_sql()
     bad = {n: d for n, f in registry.queries().items() if (d := compare(spark, "/root/testdata/sf0.001", n, f, sql.get(n)))}
     assert not bad
+
+
+def test_prefix_sums_and_walk_rank(spark):
+    from echotrace.operators.skew import prefix_sums, rank_in_walk, top_within
+
+    rnd = random.Random(3)
+    rows = [(k, o, rnd.randrange(9), "x") for k in ("a", "b") for o in rnd.sample(range(-500, 5000), 300)] + [("c", 7, 2, "x")]
+    df = spark.createDataFrame(rows, "k string, o bigint, v int, before string").drop("before")
+    got = {(r.k, r.o): r.before for r in prefix_sums(df, "o", "v", "k", 7).collect()}
+    assert got == {(k, o): sum(v for q, p, v, _ in rows if q == k and p < o) for k, o, _, _ in rows}
+    one = {r.o: r.before for r in prefix_sums(df.where("k = 'a'"), "o", "v", None, 7).collect()}
+    assert one == {o: b for (k, o), b in got.items() if k == "a"} and prefix_sums(df.limit(0), "o", "v").count() == 0
+    paths = sorted({"/".join(rnd.choice("ab-.z") for _ in range(rnd.randrange(1, 6))) for _ in range(300)})
+    ranked = {r.p: r["rank"] for r in rank_in_walk(spark.createDataFrame([(p, 1) for p in paths], "p string, rank2 int"), "p").collect()}
+    assert [p for p, _ in sorted(ranked.items(), key=lambda x: x[1])] == sorted(paths, key=lambda p: p.split("/")) and sorted(ranked.values()) == list(range(1, len(paths) + 1))
+    top = {(r.k, r.o) for r in top_within(df, "k", "o", 5, salts=3).collect()}
+    assert top == {(k, o) for k in "abc" for o in sorted(p for q, p, _, _ in rows if q == k)[:5]}
+
+
+def test_intervals_meet(spark):
+    from echotrace.operators.intervals import meeting
+
+    rnd = random.Random(8)
+    span = lambda: (lambda a: (a, a + rnd.randrange(-2, 150)))(rnd.randrange(400))
+    left = [(i, rnd.randrange(3), *span()) for i in range(200)] + [(900, 1, None, 5), (901, None, 1, 5)]
+    right = [(rnd.randrange(3), *span()) for _ in range(12)] + [(1, 5, None)]
+    l, r = spark.createDataFrame(left, "id int, f int, lo int, hi int"), spark.createDataFrame(right, "f int, lo int, hi int").withColumn("id", F.lit(1))
+    fit = lambda x: None not in x[-3:] and x[-2] <= x[-1]
+    for contained in (False, True):
+        hit = lambda x, y: x[1] == y[0] and (y[1] <= x[2] and x[3] <= y[2] if contained else x[2] <= y[2] and y[1] <= x[3])  # noqa: B023,E731
+        want = {x[0] for x in left if fit(x) and any(fit(y) and hit(x, y) for y in right)}
+        assert {q.id for q in meeting(l, r, "f", contained=contained).collect()} == want
+        assert {q.id for q in meeting(l, r, "f", "left_anti", contained=contained).collect()} == {x[0] for x in left} - want
+
+
+def test_generated_files(spark):
+    from echotrace.functions.generated import is_generated
+
+    rows = [
+        ("a.pb.go", "", True), ("A.G.CS", None, True), ("a.go", "package a\n// Code generated by x. DO NOT EDIT.", True), ("a.go", "// Generated by protoc\npackage a", True),
+        ("a.go", "package a\n// generated by hand", False), ("a.go", "// compares files generated by two tools\npackage a", False), ("a.py", "#!/usr/bin/env python\n# This file was automatically generated\nx", True),
+        ("a.c", "#include <a>\n// Generated by x", False), ("a.js", "/* one\n two */\n\n/* Auto-generated from y */ x", True), ("a.js", "x" * 2500, True), ("a.js", "x = 1\n" * 600 + "y" * 2100, False), (None, "x", False),
+    ]
+    got = [r.g for r in spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(rows)], "i int, p string, t string").orderBy("i").select(is_generated(F.col("p"), F.col("t")).alias("g")).collect()]
+    assert [bool(g) for g in got] == [w for _, _, w in rows]
+
+
+def test_sql_functions(spark):
+    from echotrace.functions.lexer import fnv64
+    from echotrace.plans.detect import register_functions
+
+    register_functions(spark)
+    assert [r.text + r.orig for r in spark.sql("SELECT * FROM lex_source('a := 1 // c', 'go') ORDER BY pos").collect()] == ["a", ":=", "1"]
+    assert spark.sql("SELECT fnv64('ab') AS x, fnv64(NULL) AS y").first()[:] == (f"{fnv64(b'ab'):016x}", None)
