@@ -15,9 +15,9 @@ from __future__ import annotations
 import random
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from ..operators.skew import HOT_PARTS, hot_keys, salted_lookup
+from ..operators.skew import HOT_PARTS, salted_lookup
 from ..session import cut_lineage, drop_path, table
 
 #: Rounds allowed; 64 contract any graph that fits into 64-bit ids with a vast margin.
@@ -44,33 +44,34 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     An edge with a null end or two equal ends links nothing; repeated and reversed edges count once; no edges, no rows.
     """
+    spark = edges.sparkSession
     e = edges.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v")).where("u <> v")
-    ids = e.select(F.array("u", "v").alias("p")).select(F.explode("p").alias("id")).distinct()
     maps: list[DataFrame] = []
-    edge_paths: list[list[str]] = []
-    cur, n = e, None
+    used: list[str] = []
+    cur, last_edges = e, []
     for i in range(MAX_ROUNDS):
         x, y = reorder(F.col("u"), i), reorder(F.col("v"), i)
-        edge_paths.append([])
-        cur = cut_lineage(
-            cur.select(x.alias("u"), y.alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(),
-            edge_paths[-1],
+        paths: list[str] = []
+        cur, seen = _written(
+            cur.select(x.alias("u"), y.alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), paths, n=F.count(F.lit(1))
         )
-        for path in edge_paths[-2] if i else []:  # the round before is no longer needed
-            drop_path(e.sparkSession, path)
-        n = cur.count()
+        for path in last_edges:  # the round before is no longer needed
+            drop_path(spark, path)
+        last_edges, n = paths, seen["n"]
         if n == 0:
             break
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        mapping = cut_lineage(
-            both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg")).select("u", F.least("u", "m").alias("r"), "deg")
+        mapping, seen = _written(
+            both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg")).select("u", F.least("u", "m").alias("r"), "deg"), used, deg=F.max("deg")
         )
         maps.append(mapping.select("u", "r"))
-        # At most HOT_PARTS vertices can hold more than 2n/HOT_PARTS edge ends each.
-        hot = mapping.where(F.col("deg") > max(1, 2 * n // HOT_PARTS)).select("u")
         look = mapping.select("u", "r")
-        half = salted_lookup(cur, look, "u", hot, F.col("v"), "inner").select(F.col("v").alias("u"), F.col("r").alias("ru"))
-        full = salted_lookup(half, look, "u", hot, F.col("ru"), "inner").select(F.col("ru").alias("u"), F.col("r").alias("v"))
+        # At most HOT_PARTS vertices can hold more than 2n/HOT_PARTS edge ends each; where none does, there is nothing to salt.
+        limit = max(1, 2 * n // HOT_PARTS)
+        hot = mapping.where(F.col("deg") > limit).select("u") if seen["deg"] > limit else None
+        meet = lambda left, spread: left.join(look, "u") if hot is None else salted_lookup(left, look, "u", hot, spread, "inner")  # noqa: B023,E731
+        half = meet(cur, F.col("v")).select(F.col("v").alias("u"), F.col("r").alias("ru"))
+        full = meet(half, F.col("ru")).select(F.col("ru").alias("u"), F.col("r").alias("v"))
         cur = full.where("u <> v")
     else:
         raise RuntimeError(f"{n} edges are left after {MAX_ROUNDS} rounds")
@@ -82,16 +83,28 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if final is None:
             final = maps[i]
             continue
+        # A label that many vertices took is a hot key of the left side only, which adaptive execution splits.
         step = maps[i].select(F.col("u").alias("from"), reorder(F.col("r"), i + 1).alias("u"))
-        total = step.count()
-        joined = salted_lookup(step, final, "u", hot_keys(step, "u", total), F.col("from"))
-        final = cut_lineage(joined.select(F.col("from").alias("u"), F.coalesce("r", forward(F.col("u"), i + 2)).alias("r")))
+        final, _ = _written(step.join(final, "u", "left").select(F.col("from").alias("u"), F.coalesce("r", forward(F.col("u"), i + 2)).alias("r")), used)
     if final is None:
-        return ids.select("id", F.col("id").alias("group_id")).limit(0)
-    named = ids.withColumn("u", reorder(F.col("id"), 0)).join(final, "u").select("id", "r")
-    named = cut_lineage(named)
-    least = named.groupBy("r").agg(F.min("id").alias("group_id"))
-    return salted_lookup(named, least, "r", hot_keys(named, "r", named.count()), F.col("id"), "inner").select("id", "group_id")
+        return e.select(F.col("u").alias("id"), F.col("u").alias("group_id")).limit(0)
+    ids = e.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("u", reorder(F.col("id"), 0))
+    # Each vertex meets its one label, and each group the least of its own: a minimum with map-side partials.
+    named, seen = _written(ids.join(final, "u").select("id", "r"), [], n=F.count(F.lit(1)))
+    for path in used:
+        drop_path(spark, path)
+    sizes = cut_lineage(named.groupBy("r").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("n")))
+    hot = sizes.where(F.col("n") > max(1, seen["n"] // HOT_PARTS)).select("r")
+    return salted_lookup(named, sizes.select("r", "group_id"), "r", hot, F.col("id"), "inner").select("id", "group_id")
+
+
+def _written(df: DataFrame, paths: list[str], **aggs: Column) -> tuple[DataFrame, dict]:
+    """The written table, and aggregates observed while it was written."""
+    if not aggs:
+        return cut_lineage(df, paths), {}
+    seen = Observation()
+    out = cut_lineage(df.observe(seen, *(c.alias(k) for k, c in aggs.items())), paths)
+    return out, seen.get
 
 
 def instance_links(matches: DataFrame, clones: DataFrame) -> DataFrame:
