@@ -2,7 +2,7 @@
 
 Tokens are summed per cell of (source, language, topic). Raking scales the cells until their sums agree with the source
 targets, the language targets and the topic targets, sources last and exactly. The total is the largest at which no source
-needs more than its max_repeats; a cell that would exceed it gives its surplus to the other cells of its source. A cell's
+(no cell, where a caller gives targets of languages or topics) needs more than its max_repeats; a cell that would exceed it gives its surplus to the other cells of its source. A cell's
 rate then says how often a text of it occurs: the whole part for all, and one more for the texts whose hash falls below a
 threshold that is calibrated on the source's own texts, so that the tokens chosen, not just their expectation, meet the rate.
 """
@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from ..session import cut_lineage, table
 from .tokens import with_size
 
-#: Topics and languages told apart; the rest form one more of each, so the cells have a fixed bound.
+#: Topics and languages told apart unless a caller says otherwise; the rest form one more of each ('other'), so the cells have a fixed bound.
 TOPICS, LANGUAGES = 500, 20
 #: Default targets of topics within a language: their natural shares to this power, which lifts rare topics.
 TEMPER = 0.7
@@ -75,16 +75,19 @@ def rake(cells: pd.DataFrame, shares: dict[str, float], languages: dict | None =
     return x
 
 
-def rates(cells: pd.DataFrame, targets: pd.DataFrame, total: float | None = None) -> pd.DataFrame:
+def rates(cells: pd.DataFrame, targets: pd.DataFrame, total: float | None = None, languages: dict | None = None, topics: dict | None = None) -> pd.DataFrame:
     """The cells with `rate`, how often their tokens are to occur, none above its source's max_repeats."""
     cells = cells[cells["tokens"] > 0].merge(targets, on="source").query("target_share > 0 and max_repeats > 0").reset_index(drop=True)
     if not len(cells):
         return cells.assign(rate=np.zeros(0))
-    share = rake(cells, dict(zip(targets["source"], targets["target_share"])))
+    share = rake(cells, dict(zip(targets["source"], targets["target_share"])), languages, topics)
     have = cells.groupby("source")["tokens"].sum()
     want = pd.Series(share).groupby(cells["source"]).sum()
     cap = cells.groupby("source")["max_repeats"].first()
     most = float((have * cap / want.reindex(have.index)).min())
+    if languages is not None or topics is not None:  # targets that a caller gives hold within every source, so no cell may need more
+        used = share > 0
+        most = float((cells["tokens"].to_numpy(float) * cells["source"].map(cap).to_numpy(float))[used].__truediv__(share[used]).min())
     size = min(total or most, most)
     out = np.zeros(len(cells))
     for s, g in cells.groupby("source"):
@@ -103,11 +106,18 @@ def rates(cells: pd.DataFrame, targets: pd.DataFrame, total: float | None = None
     return cells.assign(rate=out)
 
 
-def sized_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens) with cleaned, folded labels; documents without an id are left out."""
+def sized_documents(docs: DataFrame, topics: int = TOPICS, languages: int = LANGUAGES) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens) with cleaned labels, the topics and languages with the fewest tokens folded; documents without an id are left out."""
+    return fold(sized_labels(docs), topics, languages)
+
+
+def fold(labelled: DataFrame, topics: int = TOPICS, languages: int = LANGUAGES) -> DataFrame:
+    return _fold(_fold(labelled, "topic", topics), "lang", languages)
+
+
+def sized_labels(docs: DataFrame) -> DataFrame:
     d = with_size(docs.where("doc_id is not null").select("doc_id", "text", "source", "lang", "agenda_item"))
-    d = cut_lineage(d.select("doc_id", clean_source(F.col("source")).alias("source"), clean_lang(F.col("lang")).alias("lang"), clean_topic(F.col("agenda_item")).alias("topic"), "n_tokens"))
-    return _fold(_fold(d, "topic", TOPICS), "lang", LANGUAGES)
+    return cut_lineage(d.select("doc_id", clean_source(F.col("source")).alias("source"), clean_lang(F.col("lang")).alias("lang"), clean_topic(F.col("agenda_item")).alias("topic"), "n_tokens"))
 
 
 def clean_targets(targets: DataFrame) -> DataFrame:
@@ -116,8 +126,11 @@ def clean_targets(targets: DataFrame) -> DataFrame:
     )
 
 
-def mix(sized: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
-    """(doc_id, source, n_tokens, copies): every chosen text and how often it occurs.
+def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, languages: dict | None = None, topics: dict | None = None) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens, copies): every chosen text and how often it occurs.
+
+    `languages` and `topics` are target shares of the whole by (cleaned) label; a label that is missing from a given target gets nothing. Where the three
+    targets can't hold together, those of the sources do.
 
     A source that isn't listed, or whose share is 0, gives nothing; a listed source without texts can't, and the others
     keep their proportions. Texts without tokens add nothing and are not chosen. `total` lowers the size of the mix.
@@ -126,7 +139,7 @@ def mix(sized: DataFrame, targets: DataFrame, total: float | None = None) -> Dat
     t = clean_targets(targets)
     known = sized.join(F.broadcast(t.select("source")), "source", "left_semi")  # as many rows as targets are listed
     cells = known.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens")).toPandas()  # bounded by the folding
-    r = rates(cells, t.toPandas(), total)
+    r = rates(cells, t.toPandas(), total, languages, topics)
     schema = "source string, lang string, topic string, tokens bigint, rate double"
     rate = F.broadcast(spark.createDataFrame([(a, b, c, int(d), float(e)) for a, b, c, d, e in r[["source", "lang", "topic", "tokens", "rate"]].itertuples(index=False)], schema))
     u = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)
@@ -143,12 +156,40 @@ def mix(sized: DataFrame, targets: DataFrame, total: float | None = None) -> Dat
     # `limits` has at most STEPS * SPAN rows per listed source.
     chosen = d.join(F.broadcast(limits), ["source", "step"], "left")
     extra = F.coalesce((F.col("v") * STEPS - F.col("step") < F.col("inside")).cast("int"), F.lit(0))
-    return chosen.select("doc_id", "source", "n_tokens", (F.floor("rate").cast("int") + extra).alias("copies")).where("copies > 0")
+    return chosen.select("doc_id", "source", "lang", "topic", "n_tokens", (F.floor("rate").cast("int") + extra).alias("copies")).where("copies > 0")
 
 
 def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chosen document with its source, size and number of copies."""
-    return mix(sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
+    return mix(sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets")).select("doc_id", "source", "n_tokens", "copies")
+
+
+def p7_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the mix and of what is at hand by source, language and topic, and how many labels stand under each (more than one where they were folded)."""
+    labelled = sized_labels(table(spark, sf_dir, "documents"))
+    sized = fold(labelled)
+    got = cut_lineage(mix(sized, table(spark, sf_dir, "mix_targets")))
+    folded = labelled.select("doc_id", F.col("source").alias("source0"), F.col("lang").alias("lang0"), F.col("topic").alias("topic0")).join(sized, "doc_id")
+    out = None
+    for k in ("source", "lang", "topic"):
+        own = got.groupBy(k).agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"))
+        have = folded.groupBy(k).agg(F.sum("n_tokens").alias("tokens_at_hand"), F.count_distinct(k + "0").alias("labels"))
+        rows = have.join(own, k, "left").select(F.lit(k).alias("marginal"), F.col(k).alias("label"), "labels", "tokens_at_hand", F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"))
+        out = rows if out is None else out.union(rows)
+    share = lambda c: F.round(F.col(c) / F.greatest(F.sum(c).over(Window.partitionBy("marginal")), F.lit(1)), 6)
+    return out.withColumn("share_at_hand", share("tokens_at_hand")).withColumn("share_mixed", share("mixed_tokens"))  # labels are bounded by the folding
+
+
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per listed source with texts and a share: whether no text occurs too often, and whether the source's tokens are within one text of its share of the mix."""
+    sized = sized_documents(table(spark, sf_dir, "documents"))
+    targets = clean_targets(table(spark, sf_dir, "mix_targets")).where("target_share > 0 and max_repeats > 0")
+    got = cut_lineage(mix(sized, table(spark, sf_dir, "mix_targets"))).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed"), F.max("copies").alias("most"))
+    largest = sized.groupBy("source").agg(F.max("n_tokens").alias("largest"), F.sum("n_tokens").alias("n")).where("n > 0")
+    rows = targets.join(largest, "source").join(got, "source", "left").fillna(0)
+    whole = Window.partitionBy(F.lit(1))  # one row a listed source
+    goal = F.col("target_share") / F.sum("target_share").over(whole) * F.sum("mixed").over(whole)
+    return rows.select("source", (F.col("most") <= F.col("max_repeats")).alias("within_repeats"), (F.abs(F.col("mixed") - goal) <= F.max("largest").over(whole)).alias("within_a_text"))
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,5 +206,9 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p7_mixed": p7_mixed, "p7_shares": p7_shares}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p7_mixed": p7_mixed, "p7_shares": p7_shares, "p7_marginals": p7_marginals, "p7_checks": p7_checks}
+_CLEAN = r"regexp_replace(lower(trim(source)), '[\s-]+', '_', 'g')"
+ORACLES = {
+    "p7_checks": f"""SELECT DISTINCT {_CLEAN} AS source, true AS within_repeats, true AS within_a_text FROM mix_targets WHERE target_share > 0 AND max_repeats > 0
+      AND {_CLEAN} IN (SELECT {_CLEAN} FROM documents WHERE text <> '')""",
+}

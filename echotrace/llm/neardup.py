@@ -269,4 +269,11 @@ ORACLES = {
     + """, k AS (SELECT block_id, min(block_id) OVER (PARTITION BY run_id, s) AS rep FROM s)
       SELECT block_a AS rep_a, block_b AS rep_b, round(j, 6) AS similarity FROM p
       WHERE j < 1 AND block_a IN (SELECT rep FROM k) AND block_b IN (SELECT rep FROM k)""",
+    "p4_groups": _SETS.replace("WITH r AS", "WITH RECURSIVE r AS")
+    + """, k AS (SELECT block_id, min(block_id) OVER (PARTITION BY run_id, s) AS rep FROM s),
+      q AS (SELECT block_a AS a, block_b AS b FROM p WHERE j < 1 AND block_a IN (SELECT rep FROM k) AND block_b IN (SELECT rep FROM k)),
+      w AS (SELECT a, b FROM q UNION SELECT b, a FROM q), n AS (SELECT a, count(*) AS links FROM w GROUP BY 1),
+      g(id, m) USING KEY (id) AS (SELECT a, least(a, min(b)) FROM w GROUP BY a
+        UNION SELECT w.b, min(g.m) FROM g JOIN w ON w.a = g.id JOIN recurring.g AS old ON old.id = w.b WHERE g.m < old.m GROUP BY w.b)
+      SELECT block_id, rep AS class_id, coalesce(links, 0) AS links, coalesce(m, rep) AS group_id FROM k LEFT JOIN n ON n.a = rep LEFT JOIN g ON g.id = rep""",
 }

@@ -21,10 +21,6 @@ from ..operators.skew import rank_within
 from ..session import cut_lineage, table
 from .tokens import with_size
 
-#: Kinds of reduction are tried for a size at most this often in a row before it is left to best fit.
-MAX_STEPS = 1 << 20
-
-
 class _Sizes:
     """A multiset of sizes with sorted access."""
 
@@ -235,5 +231,21 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p6_packed": p6_packed, "p6_fill": p6_fill}
-ORACLES: dict[str, str] = {}
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per container size: texts packed, whether each is there whole and once, whether no container is over its capacity, and only larger texts are split."""
+    packed, specs = _packed(spark, sf_dir)
+    packed = cut_lineage(packed)
+    sized = cut_lineage(with_size(table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", "text")).select("doc_id", "n_tokens"))
+    cap = specs.groupBy("spec_id").agg(F.max("capacity_tokens").cast("bigint").alias("capacity"))
+    texts = packed.groupBy("spec_id", "doc_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("pieces"), F.count_distinct("piece").alias("kinds")).join(sized, "doc_id").join(F.broadcast(cap), "spec_id")
+    whole = (F.col("t") == F.col("n_tokens")) & (F.col("pieces") == F.col("kinds"))
+    a = texts.groupBy("spec_id").agg(F.count(F.lit(1)).alias("texts"), F.bool_and(whole).alias("whole"), F.bool_and((F.col("pieces") == 1) | (F.col("n_tokens") > F.col("capacity"))).alias("split_if_larger"))
+    b = packed.groupBy("spec_id", "bin_id").agg(F.sum("n_tokens").alias("load")).join(F.broadcast(cap), "spec_id").groupBy("spec_id").agg(F.bool_and(F.col("load") <= F.col("capacity")).alias("fits"))
+    return a.join(b, "spec_id").select("spec_id", "texts", "whole", "fits", "split_if_larger")
+
+
+QUERIES = {"p6_packed": p6_packed, "p6_fill": p6_fill, "p6_checks": p6_checks}
+ORACLES = {
+    "p6_checks": """SELECT spec_id, (SELECT count(DISTINCT doc_id) FROM documents WHERE doc_id IS NOT NULL) AS texts, true AS whole, true AS fits, true AS split_if_larger
+      FROM pack_specs WHERE capacity_tokens > 0 GROUP BY spec_id""",
+}

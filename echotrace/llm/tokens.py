@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 #: A tokenizer file readable by the tokenizers library; the environment variable or an argument names another.
@@ -12,7 +13,11 @@ TOKENIZER = os.environ.get("ECHOTRACE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.
 
 
 def with_size(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """Add `n_tokens`, the number of tokens of the whole text; null and empty texts have 0."""
+    """Add `n_tokens`, the number of tokens of the whole text; null and empty texts have 0. The tokenizer is shipped to the executors, who need no file of their own."""
+    sc, name = docs.sparkSession.sparkContext, os.path.basename(tokenizer)
+    if (sc.applicationId, tokenizer) not in _SENT:
+        _SENT.add((sc.applicationId, tokenizer))
+        sc.addFile(tokenizer)
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
@@ -20,7 +25,7 @@ def with_size(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -
         from tokenizers import Tokenizer
 
         if tokenizer not in _LOADED:
-            t = Tokenizer.from_file(tokenizer)
+            t = Tokenizer.from_file(SparkFiles.get(name))
             t.encode_special_tokens = True
             _LOADED[tokenizer] = t
         out = []
@@ -32,3 +37,4 @@ def with_size(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -
 
 
 _LOADED: dict = {}
+_SENT: set = set()

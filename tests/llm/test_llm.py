@@ -189,6 +189,21 @@ def test_rates():
     assert (r["rate"] <= r["max_repeats"] + 1e-9).all()
 
 
+def test_mix_meets_given_languages_and_topics(spark):
+    rnd = random.Random(3)
+    rows = [(i, f"s{i % 3}", rnd.choice(["en", "de", "fr"]), rnd.choice("tuv"), rnd.randrange(20, 60)) for i in range(9000)]
+    sized = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, topic string, n_tokens bigint")
+    t = spark.createDataFrame([("s0", 0.5, 3), ("s1", 0.3, 3), ("s2", 0.2, 3)], "source string, target_share double, max_repeats int")
+    m = mixing.mix(sized, t, None, {"en": 0.6, "de": 0.3, "fr": 0.1}, {"t": 0.2, "u": 0.2, "v": 0.6}).toPandas()
+    w = m["n_tokens"] * m["copies"]
+    for k, want in (("source", {"s0": 0.5, "s1": 0.3, "s2": 0.2}), ("lang", {"en": 0.6, "de": 0.3, "fr": 0.1}), ("topic", {"t": 0.2, "u": 0.2, "v": 0.6})):
+        got = w.groupby(m[k]).sum() / w.sum()
+        assert all(abs(got[x] - y) < 0.02 for x, y in want.items()), (k, got)
+    assert (m["copies"] <= 3).all()
+    folded = mixing.fold(sized, 1, 2).select("topic", "lang").distinct().collect()
+    assert {r.topic for r in folded} <= {"t", "u", "v", "other"} and len({r.topic for r in folded}) == 2 and len({r.lang for r in folded}) == 3
+
+
 def test_mix(spark):
     rows = [(i, "Src-A " if i % 2 else "src_b", "en", f"{i % 3}. Topic {i % 3}", 50 + i % 7) for i in range(2000)] + [(9001, "none", "en", None, 5), (9002, "src_b", None, None, 0)]
     sized = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, topic string, n_tokens bigint").withColumn("source", mixing.clean_source(F.col("source")))
