@@ -55,7 +55,6 @@ CHUNK, LONGEST = 16_000_000, 100_000
 #: Lanes of the first of two levels that add up counts.
 LANES = 512
 _BLOCK = 1 << 14
-_SPACE = re.compile(r"[^\S\n]+")
 _DIGITS = re.compile(r"\d+")
 _QUOTE = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|„[^“”]*[“”]|‘[^’]*’(?!\w)")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[\"“«(\[¿¡A-ZÀ-Ý0-9{<@_%$#&])")
@@ -63,6 +62,8 @@ _UNIT = re.compile(
     r"[^\w\s()\[\]{}<>«»]*(?:\[+[^\[\]]*\]+|\{+[^{}]*\}+|<+[^<>]*>+|\([^()\[\]{}<>@#$%_]*\)|«[^«»]*»)|(?<!\w)([%@$#_?*|~&]{1,2})\w[\w .-]{0,60}\1(?!\w)|(?<!\w)(\w+)(?:,? \2(?!\w))+|[^\s()\[\]<>«»]+|\S"
 )
 _HYPHEN = re.compile(r"(?<=[^\W\d_])-\n(?=[a-zß-öø-ÿ])")
+_NO_MARKS = str.maketrans("", "", ".,;:!?…")
+_SIGN = re.compile(r"[()\[\]{}<>«»%@$#_*|~&]|\?\w")
 _BARE = re.compile(r"[^\W\d_]+(?:,? [^\W\d_]+)*[.,;:!?]*")
 _PLAIN = re.compile(r"[(\[][^\W\d_][^\[\](){}<>_]*[)\]][.,;:!?]*")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -78,9 +79,12 @@ MENTION = re.compile(
 
 def pieces(text: str | None) -> list[tuple[str, int, bool]]:
     """(piece, line, quoted) of a text: quotations, and the sentences of each line around them, numbers being alike. Null and blank texts have none."""
+    text = _DIGITS.sub("9", (text or "").replace("\r\n", "\n").replace("\r", "\n"))
+    if "-\n" in text:
+        text = _HYPHEN.sub("", text)
     out = []
-    for n, line in enumerate(_HYPHEN.sub("", (text or "").replace("\r\n", "\n").replace("\r", "\n")).split("\n")):
-        line = _DIGITS.sub("9", _SPACE.sub(" ", line)).strip()
+    for n, line in enumerate(text.split("\n")):
+        line = " ".join(line.split())
         if not line:
             continue
         if _QUOTE.search(line):
@@ -96,6 +100,10 @@ def _sentences(line: str) -> list[str]:
 
 def units(piece: str) -> list[str]:
     """Bracketed groups with the signs before them, words repeated, and single words of a piece; nothing but blanks is left out."""
+    if not _SIGN.search(piece):  # without signs units are words, unless one is repeated
+        words, bare = piece.split(), piece.translate(_NO_MARKS).split()
+        if len(set(bare)) == len(bare) or not any(a == b for a, b in zip(bare, bare[1:])):
+            return words
     return [m[0] for m in _UNIT.finditer(piece)]
 
 
@@ -218,7 +226,9 @@ def localise(g: _Grams, r: np.ndarray) -> pd.DataFrame:
     n = len(r)
     at = np.arange(n)
     end = np.minimum(at + WINDOW, np.repeat(g.last, g.size + len(_PAD)))
-    start_ok = g.inside & ((end - at == WINDOW) | np.isin(at, g.first, assume_unique=True))
+    start_ok = end - at == WINDOW
+    start_ok[g.first[g.size > 0]] = True
+    start_ok &= g.inside
     strong = start_ok & ((s[end] - s[at]) > LEVEL * (end - at))
     d = np.zeros(n + 1, dtype=np.int64)
     d[:n] += strong
@@ -317,12 +327,15 @@ class _Chunk:
         j, u = judge_pieces(self.parts, models), judge_units(self.units, models)
         slot = self.any_of(u["slot"].to_numpy(float))
         rest = j["filler"].to_numpy() | j["notice"].to_numpy()
-        speaks = np.array([bool(MENTION.search(p)) for p in self.parts], dtype=bool)
+        # Only what holds a slot or stands around a quotation can speak of one.
+        lines = self.doc * (self.line.max() + 1) + self.line
+        asked = slot | (np.bincount(self.code, weights=np.isin(lines, lines[self.quoted]), minlength=len(self.parts)) > 0)
+        speaks = np.array([bool(a and MENTION.search(p)) for a, p in zip(asked, self.parts)], dtype=bool)
         spoken_slot = slot & speaks & ~self.any_of((u["slot"] & ~u["plain"]).to_numpy(float)) & ~rest  # a bracket that its sentence speaks of
         bad = (slot & ~spoken_slot) | rest
         prose = ~bad & np.array([len(p.split()) > 2 for p in self.parts], dtype=bool)
         # On each line: is there prose around its quotations, and does it speak of a text?
-        place, at = np.unique(self.doc * (self.line.max() + 1) + self.line, return_inverse=True)
+        place, at = np.unique(lines, return_inverse=True)
         around = lambda f: np.bincount(at, weights=(f[self.code] & ~self.quoted), minlength=len(place))[at] > 0
         host, spoken = around(prose), around(prose & speaks)
         counts = bad[self.code] & ~(self.quoted & np.where(rest[self.code], host, host & spoken))
