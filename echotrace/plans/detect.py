@@ -406,6 +406,23 @@ def dedup_overlap(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (detect_exact_clones, detect_functions, lex_tokens, covered_by_exact_copies, fuzzy_matching, dedup_overlap)}
 ORACLES: dict[str, str] = {
+    # The pass itself, pair by pair: a pair is taken when neither end stands in the list of used ones.
+    "fuzzy_matching": """WITH RECURSIVE m AS (SELECT least(a_idx, b_idx) AS a, greatest(a_idx, b_idx) AS b, max(similarity) AS score FROM fuzzy_matches WHERE a_idx <> b_idx AND similarity IS NOT NULL GROUP BY 1, 2),
+      p AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS n FROM m),
+      r(n, a, b, score, taken, used) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), false, CAST([] AS BIGINT[])
+        UNION ALL SELECT p.n, p.a, p.b, p.score, NOT (list_contains(used, p.a) OR list_contains(used, p.b)), CASE WHEN list_contains(used, p.a) OR list_contains(used, p.b) THEN used ELSE used || [p.a, p.b] END FROM r JOIN p ON p.n = r.n + 1)
+      SELECT a, b, score FROM r WHERE taken""",
+    # Clones in order, each dropped when one of the kept covers it; which cover which is known beforehand.
+    "dedup_overlap": f"""WITH RECURSIVE c0 AS (SELECT DISTINCT ON (clone_id) clone_id, clone_hash, line_count, list_distinct(list_filter(coalesce(instances, []), lambda x: x IS NOT NULL AND x.instance_id IS NOT NULL)) AS i FROM clones WHERE clone_id IS NOT NULL),
+      c1 AS (SELECT clone_id, clone_hash, line_count, list_filter(i, lambda x: x.file_path IS NOT NULL AND x.start_line IS NOT NULL AND x.end_line IS NOT NULL) AS i FROM c0 WHERE clone_hash IS NOT NULL AND line_count IS NOT NULL),
+      c AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY line_count DESC, clone_hash, clone_id) AS n FROM c1 WHERE len(i) > 0),
+      x AS (SELECT n, clone_id, line_count, unnest(i) AS j, generate_subscripts(i, 1) AS no FROM c),
+      o AS (SELECT DISTINCT s.n, s.no, l.n AS big FROM x s JOIN x l ON s.j.file_path = l.j.file_path AND l.n < s.n
+        AND least(s.j.end_line, l.j.end_line) - greatest(s.j.start_line, l.j.start_line) + 1 >= {OVERLAP} * (s.j.end_line - s.j.start_line + 1)),
+      b AS (SELECT n, big, count(*) AS k FROM o GROUP BY 1, 2), d AS MATERIALIZED (SELECT c.n, clone_id, line_count, coalesce(list(b.big) FILTER (b.big IS NOT NULL), []) AS covers FROM c LEFT JOIN b ON b.n = c.n AND b.k = len(c.i) GROUP BY 1, 2, 3),
+      r(n, clone_id, line_count, keep, kept) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS INTEGER), false, CAST([] AS BIGINT[])
+        UNION ALL SELECT d.n, d.clone_id, d.line_count, NOT list_has_any(kept, covers), CASE WHEN list_has_any(kept, covers) THEN kept ELSE kept || [d.n] END FROM r JOIN d ON d.n = r.n + 1)
+      SELECT clone_id, line_count FROM r WHERE keep""",
     "lex_tokens": """SELECT file_id, md5(array_to_string(any_value(tokens), '')) AS spelling, CASE WHEN coalesce(min(lower(file_path)), '') NOT LIKE '%.rb' THEN CAST(len(any_value(tokens)) AS BIGINT) END AS n_tokens
       FROM tokenized_files WHERE tokens IS NOT NULL GROUP BY 1""",
     "covered_by_exact_copies": f"""WITH r AS (SELECT run_id, coalesce(nullif(max(min_tokens), 0), {MIN_TOKENS}) AS k FROM detect_runs GROUP BY 1),
