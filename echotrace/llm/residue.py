@@ -409,7 +409,9 @@ def _gather(docs: DataFrame, counts) -> dict[str, np.ndarray]:
         out = _packed({pdf["name"].iloc[0]: total}, pdf["lane"].iloc[0])
         return out.assign(block=pdf["block"].iloc[0])
 
-    lanes = docs.select("text").mapInPandas(run, _COUNTS).groupBy("name", "block", "lane").applyInPandas(add, _COUNTS)
+    lanes = docs.select("text").mapInPandas(run, _COUNTS)
+    if lanes._jdf.queryExecution().toRdd().getNumPartitions() > LANES:  # else each lane holds one task's blocks already
+        lanes = lanes.groupBy("name", "block", "lane").applyInPandas(add, _COUNTS)
     sums = cut_lineage(lanes.groupBy("name", "block").applyInPandas(add, _COUNTS))
     out = {k: np.zeros(s, dtype=np.int64) for k, s in _SHAPES.items()}
     for r in sums.toLocalIterator():
