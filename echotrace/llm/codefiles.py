@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.skew import hot_keys, salted_lookup
 from ..session import cut_lineage, table
-from .linear import DIMS, Model, fit_svms, gram_ids, merged, scores, word_ids
+from .linear import DIMS, Model, fit_svms, gram_ids, merged, scores, scores_of, word_ids
 
 #: Most rows and most bytes of a training sample; rows are taken in the order of a hash of their id, those that don't fit are passed over.
 SAMPLE_ROWS, SAMPLE_BYTES = 6000, 64 << 20
@@ -101,11 +101,12 @@ def split_source(text: str | None) -> tuple[str, list[str]]:
     return "\n".join(comments).lower(), code
 
 
-def shape(code: str) -> str:
-    """Code with strings, numbers and names masked and blanks squeezed (line ends kept)."""
-    code = _STRING.sub("s", code)
-    code = _NUMBER.sub("9", code)
-    return _NAME.sub("i", code)
+def look(code: list[str]) -> tuple[str, float, int]:
+    """Code with strings, numbers and names masked; the share of it that is no name; and how many different names there are."""
+    body = "\n".join(code)
+    plain = _NUMBER.sub("9", _STRING.sub('"', body))
+    names = _NAME.findall(plain)
+    return _NAME.sub("i", plain), 1.0 - sum(map(len, names)) / max(len("".join(body.split())), 1), len(set(names))
 
 
 def features(path: str, comments: str, code: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,12 +127,13 @@ def features(path: str, comments: str, code: list[str]) -> tuple[np.ndarray, np.
         # A library or tool that is known from a folder is known in a banner.
         blocks.append(word_ids({"n:" + w for w in _WORD.findall(comments)}))
     if code:
-        lines = [_BLANK.sub(" ", s.strip()) for s in shape("\n".join(code)).split("\n")]
+        masked_code, share, names = look(code)
+        lines = [" ".join(s.split()) for s in masked_code.split("\n")]
         uniq = set(lines)
         pairs = {f"b:{x}|{y}" for x, y in zip(lines, lines[1:])}
         blocks.append(np.concatenate([gram_ids("\n".join(sorted(uniq)), 4, 4), word_ids({"l:" + s for s in uniq} | pairs)]))
         runs = Counter(zip(lines, lines[1:], lines[2:]))
-        held = [f"p:{int(10 * payload(code))}", f"i:{min(int(np.log2(1 + len(set(_NAME.findall(_STRING.sub('', chr(10).join(code))))))), 9)}"]
+        held = [f"p:{int(10 * share)}", f"i:{min(int(np.log2(1 + names)), 9)}"]
         if runs:
             total = sum(runs.values())
             varied, most = int(10 * len(runs) / total), int(10 * max(runs.values()) / total)
@@ -153,27 +155,21 @@ def line_features(line: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(blocks), np.concatenate([np.full(len(b), 1.0 / np.sqrt(len(b))) for b in blocks])
 
 
-def payload(code: list[str]) -> float:
-    """The share of the code that is numbers, strings and the signs between them."""
-    body = "\n".join(code)
-    names = sum(map(str.isalpha, _NUMBER.sub("", _STRING.sub("", body))))
-    return 1.0 - names / max(sum(not c.isspace() for c in body), 1)
-
-
 def marked(path: str, comments: str, code: list[str]) -> dict[str, bool]:
     """Which kinds the public marks name."""
     body = "\n".join(code)
     longest = max((len(s) for s in code), default=0)
     dense = len(body) > 110 * len(code) and sum(map(str.isspace, _STRING.sub("", body))) < 0.06 * len(body)
-    few = len(set(_NAME.findall(_STRING.sub("", body)))) <= 8
+    masked_code, share, names = look(code)
+    few = names <= 8
     return {
         "generated": bool(
             GENERATED_MARKS.search(comments) or GENERATED_PATHS.search(path) or GENERATED_PARTS & set(path.split("/")[:-1])
-            or LINE_DIRECTIVE.search(body) or LINE_DIRECTIVE.search(comments) or TABLE.search(shape(body)) and "(" in body and not few
+            or LINE_DIRECTIVE.search(body) or LINE_DIRECTIVE.search(comments) or TABLE.search(masked_code) and "(" in body and not few
         ),
         "minified": longest > 150 and (bool(MINIFIED_PATHS.search(path)) or dense),
         "vendored": bool(VENDORED_PARTS & set(path.split("/")[:-1]) or VENDORED_MARKS.search(comments)),
-        "data": len(body) > 400 and few and payload(code) > 0.7,
+        "data": len(body) > 400 and few and share > 0.7,
     }
 
 
@@ -261,9 +257,9 @@ def train_view(view: str, sample: pd.DataFrame) -> Model:
 
     for _ in range(rounds):
         model = fit(lambda pos: np.minimum((~pos & use).sum(0) / np.maximum((pos & use).sum(0), 1), most), FOLDS, 4)
-        for i in np.flatnonzero(first):
-            s = scores(model, rows[i])[fold[i] * width : (fold[i] + 1) * width]
-            found[i], doubt[i] = (s > clear) & ~marks[i], s > doubt_from
+        at = np.flatnonzero(first)
+        s = scores_of(model, [rows[i] for i in at]).reshape(len(at), FOLDS, width)[np.arange(len(at)), fold[at]]
+        found[at], doubt[at] = (s > clear) & ~marks[at], s > doubt_from
     return fit(lambda pos: 2.0, 1, 6)
 
 

@@ -43,6 +43,20 @@ def scores(model: Model, row: Row) -> np.ndarray:
     return row[1] @ w[row[0]] + b
 
 
+def scores_of(model: Model, rows: list[Row], at_once: int = 400) -> np.ndarray:
+    """(rows, outputs) scores of many rows."""
+    w, b = model
+    out = np.zeros((len(rows), len(b)))
+    for lo in range(0, len(rows), at_once):
+        part = rows[lo : lo + at_once]
+        size = np.array([len(i) for i, _ in part])
+        if size.sum():
+            x = np.concatenate([v for _, v in part])[:, None] * w[np.concatenate([i for i, _ in part])]
+            full = np.flatnonzero(size)
+            out[lo + full] = np.add.reduceat(x, (np.cumsum(size) - size)[full], axis=0)
+    return out + b
+
+
 def fit_svms(rows: list[Row], y: np.ndarray, cost: np.ndarray, epochs: int = 6, seed: int = 7) -> Model:
     """L2-regularised squared-hinge SVMs with targets y (rows, outputs) of +-1 and costs alike, by dual coordinate descent on all outputs at once.
 
