@@ -88,8 +88,12 @@ def prefix_sums(df: DataFrame, order: str, value: str, key: str | None = None, r
 
     keys = [key] if key else []
     span = df.groupBy(*keys).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
-    span = span.withColumn("_width", F.floor((F.col("_high") - F.col("_low")) / ranges) + 1)
-    parts = (df.join(span, keys) if key else df.crossJoin(F.broadcast(span))).withColumn("_range", F.floor((F.col(order) - F.col("_low")) / F.col("_width")).cast("int"))
+    if key:
+        wide = df.join(span, keys)
+    else:
+        low, high = span.first()
+        wide = df.withColumn("_low", F.lit(low).cast("bigint")).withColumn("_high", F.lit(high).cast("bigint"))
+    parts = wide.withColumn("_width", F.floor((F.col("_high") - F.col("_low")) / ranges) + 1).withColumn("_range", F.floor((F.col(order) - F.col("_low")) / F.col("_width")).cast("int"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum")).select(*keys, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
