@@ -21,6 +21,10 @@ from ..operators.skew import rank_within
 from ..session import cut_lineage, table
 from .tokens import with_size
 
+#: Most container sizes of one call; each has a plan on the driver.
+MOST_SPECS = 100
+
+
 class _Sizes:
     """A multiset of sizes with sorted access."""
 
@@ -160,7 +164,12 @@ def pieces_of(docs: DataFrame, specs: DataFrame) -> DataFrame:
     A text within the capacity is piece 0 as a whole. Beyond it, pieces 0..k-1 fill a bin each and the rest, if any, is piece k.
     """
     c = F.col("capacity")
-    both = docs.select("doc_id", "n_tokens").crossJoin(F.broadcast(specs.select("spec_id", F.col("capacity_tokens").cast("bigint").alias("capacity"))))
+    sizes = [(int(r[0]), int(r[1])) for r in specs.select("spec_id", "capacity_tokens").limit(MOST_SPECS + 1).collect()]
+    if len(sizes) > MOST_SPECS:
+        raise ValueError(f"more than {MOST_SPECS} container sizes")
+    # Each text once for each container size, which are literals of the plan.
+    each = F.array(*(F.struct(F.lit(s).cast("int").alias("spec_id"), F.lit(c).cast("bigint").alias("capacity")) for s, c in sizes)) if sizes else F.array().cast("array<struct<spec_id:int,capacity:bigint>>")
+    both = docs.select("doc_id", "n_tokens", F.explode(each).alias("spec")).select("doc_id", "n_tokens", "spec.*")
     full = F.floor(F.col("n_tokens") / c).cast("bigint")
     rest = F.col("n_tokens") - full * c
     last = F.when((rest > 0) | (full == 0), F.array(F.struct(full.alias("piece"), rest.alias("size"), F.lit(False).alias("own")))).otherwise(F.array())
@@ -177,7 +186,7 @@ def pack(docs: DataFrame, specs: DataFrame) -> DataFrame:
     n_tokens or a capacity below 1 is left out. Specs are a handful of rows (their plans are made on the driver).
     """
     spark = docs.sparkSession
-    specs = specs.where("capacity_tokens > 0").dropDuplicates(["spec_id"])
+    specs = specs.where("capacity_tokens > 0 and spec_id is not null").dropDuplicates(["spec_id"])
     items = cut_lineage(pieces_of(docs, specs).withColumn("key", F.struct("spec_id", "own", "size")).withColumn("item", F.struct("doc_id", "piece")))
     counts = items.groupBy("spec_id", "capacity", "own", "size").count().toPandas()  # at most capacity + 1 sizes a spec
     plans, bases = [], {}
