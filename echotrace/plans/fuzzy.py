@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..operators.matching import greedy_matching
-from ..operators.skew import prefix_sums, spread, top_within
+from ..operators.skew import HOT_PARTS, prefix_sums, salted_lookup, spread, top_within
 from ..session import cut_lineage
 from .detect import language_of
 
@@ -112,7 +112,10 @@ def fuzzy_detection(
         done.memory_limited = similarity < 1
         b = b.limit(0)
     postings = b.select(F.xxhash64("run_id", "k").alias("of"), "id", F.explode("minis").alias("mini")).select("id", F.xxhash64("of", "mini").alias("h"))
-    e = postings.join(postings.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "h")
+    many = cut_lineage(postings.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = many.agg(F.sum("n")).first()[0] or 0
+    hot = many.where(F.col("n") > max(1, total // HOT_PARTS)).select("h")  # fewer than HOT_PARTS
+    e = salted_lookup(postings, many, "h", hot, F.col("id"), "inner")
     if max_bucket:
         e = cut_lineage(e)
         done.bucket_truncated = e.where(F.col("n") > max_bucket).limit(1).count() > 0
