@@ -70,15 +70,20 @@ def fit_svms(rows: list[Row], y: np.ndarray, cost: np.ndarray, epochs: int = 6,
     diag = 1.0 + np.array([float(v @ v) for _, v in rows])[:, None] + half if rows else half
     live = np.flatnonzero((cost > 0).any(axis=1))
     rnd = np.random.default_rng(seed)
-    for _ in range(epochs):
-        for i in rnd.permutation(live):
+    counts, active = cost > 0, np.ones(len(rows), dtype=bool)
+    for n in range(epochs):
+        # Rows that no margin holds are passed over until the last epoch.
+        for i in rnd.permutation(live if n in (0, epochs - 1) else live[active[live]]):
             ids, v = rows[i]
-            g = y[i] * (v @ w[ids] + b) - 1.0 + alpha[i] * half[i]
-            new = np.where(cost[i] > 0, np.maximum(alpha[i] - g / diag[i], 0.0), 0.0)
-            d = (new - alpha[i]) * y[i]
+            old = alpha[i]
+            g = y[i] * (v @ w[ids] + b) - 1.0 + old * half[i]
+            new = np.maximum(old - g / diag[i], 0.0) * counts[i]
+            d = (new - old) * y[i]
             if d.any():
                 alpha[i] = new
                 w[ids] += v[:, None] * d
                 b += d
+            elif not new.any():
+                active[i] = False
     b = np.where(((y > 0) & (cost > 0)).any(axis=0), b, -1.0)
     return w.astype(np.float32), b
