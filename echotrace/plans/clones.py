@@ -6,6 +6,7 @@ clone or an instance count once, null array elements are no instances, and nulls
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -220,6 +221,64 @@ def diff_hunks(spark, sf_dir):
     return hunk_ranges(b.select("block_id", head.alias("diff")), "block_id")
 
 
+#: Rules of the queries below: name, glob and least tokens; the first that matches a path holds, else the scan's own 50 (fixed example).
+THRESHOLDS = (("tests", "**/test*/**", 25), ("services", "services/**", 70), ("vendored", "**/vendor/**", 40))
+
+
+def own_threshold(path: Column) -> tuple[Column, Column, Column]:
+    """Name, place and least tokens of the first of THRESHOLDS that matches a path."""
+    name, index, tokens = F.lit("scan"), F.lit(len(THRESHOLDS)), F.lit(50)
+    for n, (rule, glob, least) in reversed(list(enumerate(THRESHOLDS))):
+        hit = F.coalesce(path.rlike(glob_regex(glob)), F.lit(False))
+        name, index, tokens = (F.when(hit, F.lit(v)).otherwise(c) for v, c in ((rule, name), (n, index), (least, tokens)))
+    return name, index, tokens
+
+
+def rules_judge(spark, sf_dir):
+    """The rule that judges each clone: of its files' the one with the most tokens, on ties the earliest."""
+    i = clone_rows(spark, sf_dir).select("clone_id", F.explode(paths_of(F.col("instances"))).alias("path"))
+    name, index, tokens = own_threshold(F.col("path"))
+    j = i.select("clone_id", name.alias("rule"), index.alias("n"), tokens.alias("t"))
+    return j.groupBy("clone_id").agg(F.max_by("rule", F.struct("t", -F.col("n"))).alias("rule"), F.max("t").alias("min_tokens"))
+
+
+def threshold_passes(spark, sf_dir):
+    """The passes of a scan with THRESHOLDS over each run's files: the thresholds that occur, in order, and how many files allow each."""
+    f = table(spark, sf_dir, "tokenized_files").groupBy("file_id").agg(F.min("run_id").alias("run_id"), F.min(slashed(F.col("file_path"))).alias("path"))
+    own = f.select("run_id", own_threshold(F.col("path"))[2].alias("t")).groupBy("run_id", "t").agg(F.count(F.lit(1)).alias("n"))
+    up_to = Window.partitionBy("run_id").orderBy("t")  # a handful of thresholds a run
+    return own.select("run_id", F.col("t").alias("threshold"), F.row_number().over(up_to).alias("pass_no"), F.sum("n").over(up_to.rowsBetween(Window.unboundedPreceding, 0)).alias("files"))
+
+
+def function_names(spark, sf_dir):
+    """The functions of each clone's instances, each once, in the order of instances; clones without any are left out."""
+    c = clone_rows(spark, sf_dir).select("clone_id", F.posexplode("instances.instance_id").alias("no", "instance_id"))
+    named = c.join(instance_rows(spark, sf_dir).where("func_name is not null").select("instance_id", "func_name"), "instance_id")
+    first = named.groupBy("clone_id", "func_name").agg(F.min("no").alias("no"))
+    # A clone's list of names is what its report shows.
+    return first.groupBy("clone_id").agg(F.array_sort(F.collect_list(F.struct("no", "func_name"))).alias("l")).select("clone_id", F.array_join("l.func_name", ",").alias("functions"))
+
+
+def preview_lines(spark, sf_dir):
+    """A hash of the lines [start, end] of each instance's file: texts are cut to one row a file before they meet the instances, and only hashes come out."""
+    texts = table(spark, sf_dir, "tokenized_files").groupBy("file_id").agg(F.min("src_text").alias("text"))
+    i = instance_rows(spark, sf_dir).where("start_line >= 1 and end_line >= start_line").select("instance_id", "file_id", "start_line", "end_line")
+    lines = F.slice(F.split("text", "\n", -1), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
+    return i.join(texts, "file_id").where("text is not null").select("instance_id", F.md5(F.array_join(lines, "\n")).alias("lines"))
+
+
+def path_fingerprints(spark, sf_dir):
+    """FNV-1a of each file's path, as fingerprints are made."""
+    from ..functions.lexer import fnv64
+
+    @F.pandas_udf("string")
+    def stamp(paths: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else f"{fnv64(p.encode('utf-8')):016x}" for p in paths], dtype=object)
+
+    f = table(spark, sf_dir, "tokenized_files").groupBy("file_id").agg(F.min("file_path").alias("path"))
+    return f.select("file_id", stamp("path").alias("fnv"))
+
+
 def hunk_ranges(diffs: DataFrame, key: str) -> DataFrame:
     """(key, lo, hi) of each hunk in a column `diff`: +s,c is s..s+c-1, a missing count is 1, a count of 0 changes nothing."""
     pat = F.lit(r"(?m)^@@[^\n]*? \+(\d+)(?:,(\d+))?")
@@ -244,10 +303,14 @@ def _test_sql() -> str:
     return _TEST
 
 
+# The globs of THRESHOLDS as regular expressions of SQL.
+_RULE_SQL = """CASE WHEN regexp_matches(path, '^.*/test[^/]*/.*$') THEN {0} WHEN regexp_matches(path, '^services/.*$') THEN {1} WHEN regexp_matches(path, '^.*/vendor/.*$') THEN {2} ELSE {3} END"""
+
+
 _FUNCS = (
     clone_insights, total_saved, type_breakdown, impact_topk, dup_lines_per_file, duplication_pct, hotspots_topk, testprod_span, suppress_hash_prefix, suppress_glob,
     suppress_range, staged_semi, since_overlap, baseline_write, baseline_apply, churn_order, partial_copies, exact_cover_antijoin, mini_hash_index, bucket_truncation,
-    pair_budget_cut, match_threshold, diff_hunks,
+    pair_budget_cut, match_threshold, diff_hunks, rules_judge, threshold_passes, function_names, preview_lines, path_fingerprints,
 )
 QUERIES = {f.__name__: f for f in _FUNCS}
 ORACLES = {
@@ -287,5 +350,16 @@ ORACLES = {
     "match_threshold": """WITH t AS (SELECT run_id, coalesce(nullif(max(min_similarity), 0), 0.7) AS t FROM detect_runs GROUP BY 1),
       m AS (SELECT run_id, least(a_idx, b_idx) AS a, greatest(a_idx, b_idx) AS b, max(similarity) AS s FROM fuzzy_matches WHERE a_idx <> b_idx AND similarity IS NOT NULL GROUP BY 1, 2, 3)
       SELECT run_id, count(*) AS matches FROM m JOIN t USING (run_id) WHERE s >= t AND s < 1.0 GROUP BY 1""",
+    "rules_judge": f"""WITH {_C}, j AS (SELECT clone_id, {_RULE_SQL.format("'tests'", "'services'", "'vendored'", "'scan'")} AS rule, {_RULE_SQL.format(0, 1, 2, 3)} AS n, {_RULE_SQL.format(25, 70, 40, 50)} AS t FROM p)
+      SELECT clone_id, arg_max(rule, t * 10 - n) AS rule, CAST(max(t) AS INTEGER) AS min_tokens FROM j GROUP BY 1""",
+    "threshold_passes": f"""WITH f AS (SELECT file_id, min(run_id) AS run_id, min(regexp_replace(replace(file_path, '\\', '/'), '^(\\./)+', '')) AS path FROM tokenized_files GROUP BY 1),
+      o AS (SELECT run_id, CASE WHEN path IS NULL THEN 50 ELSE {_RULE_SQL.format(25, 70, 40, 50)} END AS t, count(*) AS n FROM f GROUP BY 1, 2)
+      SELECT run_id, CAST(t AS INTEGER) AS threshold, CAST(row_number() OVER (PARTITION BY run_id ORDER BY t) AS INTEGER) AS pass_no, CAST(sum(n) OVER (PARTITION BY run_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS files FROM o""",
+    "function_names": f"""WITH {_C}, n AS (SELECT clone_id, unnest(instances) AS i, generate_subscripts(instances, 1) AS no FROM c0), f AS (SELECT clone_id, func_name, min(no) AS no FROM n JOIN i0 ON i0.instance_id = n.i.instance_id WHERE func_name IS NOT NULL GROUP BY 1, 2)
+      SELECT clone_id, string_agg(func_name, ',' ORDER BY no) AS functions FROM f GROUP BY 1""",
+    "preview_lines": f"""WITH {_C}, t AS (SELECT file_id, min(src_text) AS text FROM tokenized_files GROUP BY 1)
+      SELECT instance_id, md5(array_to_string(list_slice(string_split(text, chr(10)), start_line, end_line), chr(10))) AS lines FROM i0 JOIN t USING (file_id) WHERE text IS NOT NULL AND start_line >= 1 AND end_line >= start_line""",
+    "path_fingerprints": """SELECT file_id, CASE WHEN path IS NOT NULL THEN lpad(lower(to_hex(CAST(list_reduce(list_transform(range(length(hex(encode(path))) // 2), lambda k: CAST(CAST('0x' || substr(hex(encode(path)), 2 * k + 1, 2) AS INTEGER) AS HUGEINT)),
+      lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616, 14695981039346656037::HUGEINT) AS UBIGINT))), 16, '0') END AS fnv FROM (SELECT file_id, min(file_path) AS path FROM tokenized_files GROUP BY 1)""",
     "diff_hunks": f"WITH {_B} SELECT block_id, start_line AS lo, end_line AS hi FROM b0 WHERE start_line IS NOT NULL AND end_line IS NOT NULL AND end_line >= start_line",
 }
