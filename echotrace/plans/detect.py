@@ -355,6 +355,39 @@ def lex_tokens(spark, sf_dir):
     return paths.join(one, "file_id", "left").select("file_id", spelling.alias("spelling"), F.when(~F.coalesce("path", F.lit("")).endswith(".rb"), F.coalesce("n", F.lit(0))).alias("n_tokens"))
 
 
+def mask_rows(files: DataFrame) -> DataFrame:
+    """(file_id, language, named_functions, import_lines, logic_tokens, tables) of files (file_id, path, text): what the masks find."""
+    from ..functions import lexer
+    from ..functions.masks import masks
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for f, p, text in zip(pdf["file_id"], pdf["path"], pdf["text"]):
+                lang = language_of(p)
+                t = lexer.lex(text, lang)
+                m = masks(t, lang, text)
+                rows.append((f, lang, sum(bool(n) for _, _, n in m.spans), len({x.line for x, i in zip(t, m.imports) if i}), sum(m.logic), len(m.tables)))
+            yield pd.DataFrame(rows, columns=["file_id", "language", "named_functions", "import_lines", "logic_tokens", "tables"])
+
+    return spread(files.select("file_id", "path", "text"), "file_id").mapInPandas(run, "file_id int, language string, named_functions int, import_lines int, logic_tokens int, tables int")
+
+
+def _with_tokens(spark, sf_dir) -> DataFrame:
+    ready = table(spark, sf_dir, "tokenized_files").groupBy("file_id").agg(F.max("tokens").isNotNull().alias("ok")).where("ok").select("file_id")
+    return run_files(spark, sf_dir).join(ready, "file_id", "left_semi")
+
+
+def function_counts(spark, sf_dir):
+    """Named functions of each Go, JavaScript, Python and TypeScript file."""
+    return mask_rows(_with_tokens(spark, sf_dir)).where("language in ('go', 'javascript', 'python', 'typescript')").select("file_id", "named_functions")
+
+
+def import_line_counts(spark, sf_dir):
+    """Lines of import statements outside functions of each TypeScript, Java, Ruby, C and C# file."""
+    return mask_rows(_with_tokens(spark, sf_dir)).where("language in ('typescript', 'java', 'ruby', 'c', 'csharp')").select("file_id", "import_lines")
+
+
 def covered_by_exact_copies(spark, sf_dir):
     """Per run and file: positions that begin a window of the run's length which stands, spelling and all, in another place of the run; of the ready tokens."""
     k = table(spark, sf_dir, "detect_runs").where("run_id is not null").groupBy("run_id").agg(F.coalesce(F.nullif(F.max("min_tokens"), F.lit(0)), F.lit(MIN_TOKENS)).alias("k"))
@@ -404,8 +437,14 @@ def dedup_overlap(spark, sf_dir):
     return dedup_overlapping(c.select("clone_id", F.col("clone_hash").alias("hash"), "line_count", inst.alias("instances")).where(F.size("instances") > 0), "clone_id").select("clone_id", "line_count")
 
 
-QUERIES = {f.__name__: f for f in (detect_exact_clones, detect_functions, lex_tokens, covered_by_exact_copies, fuzzy_matching, dedup_overlap)}
+QUERIES = {f.__name__: f for f in (detect_exact_clones, detect_functions, lex_tokens, function_counts, import_line_counts, covered_by_exact_copies, fuzzy_matching, dedup_overlap)}
+_EXT = "regexp_extract(lower(replace(path, '\\', '/')), '\\.([a-z]+)$', 1)"
 ORACLES: dict[str, str] = {
+    "function_counts": f"""WITH f AS (SELECT file_id, min(file_path) AS path, any_value(tokens) AS t FROM tokenized_files WHERE tokens IS NOT NULL GROUP BY 1)
+      SELECT file_id, CAST(len(list_filter(t, lambda x: x = CASE {_EXT} WHEN 'go' THEN 'func' WHEN 'py' THEN 'def' ELSE 'function' END)) AS INTEGER) AS named_functions FROM f WHERE {_EXT} IN ('go', 'py', 'js', 'ts')""",
+    "import_line_counts": f"""WITH f AS (SELECT file_id, min(file_path) AS path, min(src_text) AS t FROM tokenized_files WHERE tokens IS NOT NULL GROUP BY 1)
+      SELECT file_id, CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, CASE {_EXT} WHEN 'ts' THEN '^import ' WHEN 'java' THEN '^(import|package) ' WHEN 'rb' THEN '^require(_relative)? ' WHEN 'c' THEN '^#include' ELSE '^using ' END))) AS INTEGER) AS import_lines
+      FROM f WHERE {_EXT} IN ('ts', 'java', 'rb', 'c', 'cs')""",
     # The pass itself, pair by pair: a pair is taken when neither end stands in the list of used ones.
     "fuzzy_matching": """WITH RECURSIVE m AS (SELECT least(a_idx, b_idx) AS a, greatest(a_idx, b_idx) AS b, max(similarity) AS score FROM fuzzy_matches WHERE a_idx <> b_idx AND similarity IS NOT NULL GROUP BY 1, 2),
       p AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS n FROM m),
