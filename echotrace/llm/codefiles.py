@@ -223,8 +223,9 @@ def _rows(view: str, sample: pd.DataFrame):
         for part in dict.fromkeys(comments.split("\n")) if view == "line" else [comments] if comments else []:
             marks = {"generated": GENERATED_MARKS, "vendored": VENDORED_MARKS}
             told = [bool(marks[k].search(part)) for k in TOLD]
-            # What a path or the code tells says nothing of the comments.
-            yield look(part), told, [t or not kinds[k] for t, k in zip(told, TOLD)], i, True
+            # What a path or the code tells says nothing of the comments. Whole headers teach with their marks masked only: who writes of such
+            # banners uses their words too.
+            yield look(part), told, [(t and view == "line") or (not t and not kinds[k]) for t, k in zip(told, TOLD)], i, True
             for n, k in enumerate(TOLD):
                 if told[n] and _WORD.search(rest := marks[k].sub("", part)):
                     yield look(rest), told, [n == m for m in range(len(TOLD))], i, False
