@@ -72,7 +72,7 @@ def lexed_row(text: str | None, lang: str, run_id: int | None, k: int, whole_fil
     full = [symbol(t.kind, t.text, t.orig) if t.orig else c for t, c in zip(tokens, loose)]
     if whole_file:
         # A strict code never equals a loose one.
-        loose = [c if code else symbol("strict", t.kind, t.text, t.orig if t.kind == lexer.NAME or e else "") for t, c, code, e in zip(tokens, loose, m.logic, exact)]
+        loose = [c if inner else symbol("strict", t.kind, t.text, t.orig if t.kind == lexer.NAME or e else "") for t, c, inner, e in zip(tokens, loose, m.logic, exact)]
     pieces = [bytes((t.kind,)) + t.text.encode("latin-1") + b"\0" for t in tokens]
     named = [x for x in m.spans if x[2]]
     return {
@@ -103,10 +103,12 @@ def repeated_windows(lexed: DataFrame) -> DataFrame:
     """(file_id, path, k, run_id, pos, h) of all windows whose content stands in two places of their run."""
     w = lexed.select("file_id", "path", "k", "run_id", F.posexplode("win").alias("pos", "h")).where("h <> 0")
     counts = cut_lineage(w.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    limit = max(1, (total or 0) // HOT_PARTS)
+    if (most or 0) <= limit:  # no hash is hot
+        return w.join(counts.select("h"), "h")
     # Fewer than HOT_PARTS hashes can hold more than total/HOT_PARTS windows each.
-    hot = counts.where(F.col("n") > max(1, total // HOT_PARTS)).select("h")
-    return salted_lookup(w, counts.select("h"), "h", hot, F.xxhash64("file_id", "pos"), "inner")
+    return salted_lookup(w, counts.select("h"), "h", counts.where(F.col("n") > limit).select("h"), F.xxhash64("file_id", "pos"), "inner")
 
 
 def sweep(rows: pd.DataFrame) -> list[tuple[int, list[tuple[int, int]]]]:
