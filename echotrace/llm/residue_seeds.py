@@ -3,7 +3,7 @@
 Sources: the usual Lorem ipsum passage and Cicero, De finibus 1.32-33; reason phrases of http.HTTPStatus; the error documents that
 common web servers ship; what browsers and single-page applications say without scripts; the syntaxes of common template
 languages, mail-merge fields and printed null values. Beyond these, sentences are put together by the rules below from
-everyday synonyms. No row of any table is among them.
+everyday synonyms. None was taken from a table; stock phrases among them ("404 Not Found") stand in documents too, as they do everywhere.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ asdf asdf asdf asdfasdf jkl; qwerty qwertz azerty qwertyuiop blah blah blah bla
 _TEXT = ("text", "copy", "content", "wording", "passage", "paragraph", "body text")
 _DUMMY = ("dummy", "placeholder", "filler", "sample", "example", "temporary", "test", "demo")
 FILLER_EN = [f"This {d} {t} {x}" for (d, t, x) in product(_DUMMY, _TEXT, (
-    "is for layout only.", "is only here to fill the page.", "will be replaced.", "has no meaning.", "shows where the real text will go.", "must not be published.", "is not the final text."))]
+    "is for layout only.", "is only here to fill the page.", "will be replaced.", "is meaningless.", "shows where the real text will go.", "must not be published.", "is not the final text."))]
 FILLER_EN = FILLER_EN[::5] + [f"{d.capitalize()} {t}. Replace this {t} before publication." for d, t in product(_DUMMY, _TEXT)][::3] + """
 Your text here. Your text goes here. Text goes here. Insert text here. Add your content here. Type your text here. Body goes here. Content coming soon.
 Click here to edit this text. Click or tap here to enter text. Replace this text with your own. This text is a placeholder and will be replaced. To be replaced.
@@ -53,7 +53,7 @@ HTTP += [f"HTTP {s.value} {s.phrase}. HTTP status {s.value}. HTTP error {s.value
 _THING = ("page", "document", "file", "resource", "URL", "site", "article", "record", "image", "item")
 _LOST = (
     "was not found on this server.", "could not be found.", "does not exist.", "is no longer available.", "is temporarily unavailable.", "cannot be displayed.", "could not be loaded.",
-    "failed to load.", "has been moved or deleted.", "has been removed.", "is not available at the moment.", "is currently offline.", "timed out.", "has moved permanently.", "took too long to respond.",
+    "failed to load.", "has been moved or deleted.", "has been removed.", "is not available at the moment.", "is currently offline.", "has moved permanently.", "took too long to respond.",
 )
 LOST = [f"{a} {t} {x}" for a, t, x in product(("The", "The requested", "This", "That"), _THING, _LOST)][::9]
 ERRORS = """
@@ -86,7 +86,7 @@ SCRIPT_EN = [
         ("Please ", "You must ", "You need to ", "To continue, ", "For the full version, "),
         ("enable", "activate", "turn on", "switch on", "allow"),
         ("JavaScript", "JS", "scripts", "scripting", "script execution", "JavaScript and cookies", "active scripting", "client-side scripts"),
-        (" to view this page.", " in your browser.", " and reload the page.", " for this site.", " in your browser settings to read the text."),
+        (" to view this page.", " in your web browser.", " and reload the page.", " for this site.", " in your browser settings to read the text."),
     )
 ]
 SCRIPTS = SCRIPT_EN[::11] + """
